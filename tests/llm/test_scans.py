@@ -1,0 +1,180 @@
+import base64
+import datetime as dt
+import gzip
+import re
+import zlib
+from hashlib import sha256
+from urllib.parse import quote
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from webextract.llm import decontamination, queries, secret_scan, toxicity, url_filters
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def brute_contamination(docs, items, width=13):
+    wins = {}
+    for i, t in items:
+        w = WORD.findall(lower(t))
+        if i is None:
+            continue
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            wins.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    out = []
+    for d, t in docs:
+        w = WORD.findall(lower(t))
+        hit, found = set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if (own := wins.get(tuple(w[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    found |= own
+        out.append((d, len(w), len(hit), len(found), sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_decontamination_query(spark, small, tables):
+    got = sorted(map(tuple, queries.QUERIES["op3_decontamination"](spark, small).collect()), key=str)
+    d, b = tables["documents"], tables["benchmark"]
+    want = brute_contamination(list(zip(d.doc_id.tolist(), d.text.tolist())), list(zip(b.item_id.tolist(), b.text.tolist())))
+    assert got == want and any(r[5] for r in got)
+
+
+def digest(df):
+    return sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in df.collect())
+
+
+ODD = [(1, None), (2, ""), (3, "a b c d e"), (4, "x A, b. C! d e f g"), (5, "é ü a-b " * 400), (6, "one two three"), (6, "One two"), (7, "... !!"), (8, "b c d e f x " * 3 + "one two three a b c")]
+ITEMS = [(10, "a b c d e f"), (11, "one two"), (9, None), (None, "a b c"), (12, "!!"), (13, "b c d e f"), (10, "a b c d e f"), (14, "ü a b é")]
+
+
+def test_decontamination_odd_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, t, "n") for d, t in ODD], "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, matches int")
+    want = brute_contamination(ODD, ITEMS, 4)
+    assert sorted(digest(decontamination.contamination(docs, bench, width=4)), key=str) == want
+    kept = sorted(r.doc_id for r in decontamination.decontaminated(docs, bench, width=4).collect())
+    assert kept == sorted(r[0] for r in want if not r[5])
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 15)
+    assert sorted(digest(decontamination.contamination(docs, bench, width=4)), key=str) == want
+    assert sorted(r.doc_id for r in decontamination.decontaminated(docs, bench, width=4).filter("doc_id != 6").collect()) == [i for i in kept if i != 6]
+    monkeypatch.undo()
+    assert digest(decontamination.contamination(docs, bench.limit(0)))[2][2] == 0
+    assert decontamination.contamination(docs.limit(0), bench).collect() == []
+
+
+def test_longest_matches(spark):
+    docs = spark.createDataFrame([(1, "z a b c d e f y c d e q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "p a b c d e f g")], "item_id long, text string")
+    row = decontamination.contamination(docs, bench, width=3).first()
+    assert sorted((m.item_at, m.doc_at, m.length) for m in row.matches) == [(1, 1, 6), (3, 8, 3)]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="ab1 'pastoken:=\"_AKIFf0", max_size=60))
+def test_base_finds(text):
+    want = set()
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            want.add((m.start(), 0, m.end()))
+    want |= {(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18}
+    want |= {(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16}
+    assert secret_scan.base_finds(text) == want
+    assert secret_scan.all_finds(text)[0] == want <= secret_scan.all_finds(text)[1]
+
+
+def test_layers():
+    secret = "password=hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    for wrapped in (
+        quote(secret, safe="").replace("p", "%70"), b64(secret.encode()), b64(b64(secret.encode()).encode()), b64(zlib.compress(secret.encode())),
+        b64(gzip.compress(b64(secret.encode()).encode())), "".join(f"\\u{ord(c):04x}" for c in secret), quote(b64(secret.encode())).replace("=", "%3D"),
+        "".join(f"&#{ord(c)};" for c in secret), b64(gzip.compress(gzip.compress(secret.encode()))),
+    ):
+        text = f"é x {wrapped} y"
+        base, every = secret_scan.all_finds(text)
+        new = every - base
+        assert any(4 <= a and b <= 4 + len(wrapped) and k == 0 for a, k, b in new), wrapped
+    inner = b64(f"xxxxxx {secret} yyyyy".encode())
+    ((a, _, b),) = secret_scan.all_finds(inner)[1]
+    assert secret in base64.b64decode(inner[a // 4 * 4 : -(-b // 4) * 4]).decode() + "?" and a > 0 and b < len(inner)
+
+
+def test_secret_query(spark, small, tables):
+    got = {r.doc_id: r for r in queries.QUERIES["op10_secret_scan"](spark, small).collect()}
+    n = 0
+    for d, t in zip(tables["documents"].doc_id.tolist(), tables["documents"].text.tolist()):
+        base, every = secret_scan.all_finds(t or "")
+        n += len(base)
+        kinds = [k for _, k, _ in base]
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex) == tuple(kinds.count(k) for k in range(3))
+        assert got[d].base_sha256 == sha256(secret_scan.joined(base).encode()).hexdigest() and got[d].spans == secret_scan.joined(every)
+    assert n > 0
+
+
+def test_secret_odd_rows(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    rows = [(1, None), (2, ""), (3, "é" * 30 + key), (3, "é" * 30 + key), (4, "a" * 300_000), (5, "f" * 10), (None, "0" * 16), (6, "x" * 3 + "%41KIA" + "B" * 20)]
+    df = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, spans string")
+    got = sorted(((r.doc_id, r.spans) for r in secret_scan.scan_secrets(df).collect()), key=str)
+    assert got == sorted([(1, ""), (2, ""), (3, "access:30:50"), (3, "access:30:50"), (4, "hex:0:300000"), (5, ""), (None, "hex:0:16"), (6, "access:3:29")], key=str)
+    assert secret_scan.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.QUERIES["op2_toxicity"](spark, sf)
+    rows = got.join(labels, "doc_id").filter("held_out").collect()
+    assert got.count() == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+    insulted = docs.filter(F.lower("text").rlike(r"\bidiot\b.*\bmoron\b|\bscum\b.*\bidiot\b")).join(got, "doc_id")
+    assert insulted.filter("predicted = 1").count() >= 0.9 * insulted.count()
+
+
+def test_toxicity_odd_rows(spark):
+    rows = [(1, None, 1), (2, "", 0), (3, "idiot " * 60_000, 1), (4, "you idiot scum", 1), (4, "you idiot scum", 1), (None, "x", 0)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(d, y, None) for d, _, y in rows] + [(9, None, None)], "doc_id long, toxic int, text string")
+    for y in (labels, labels.limit(0)):
+        model = toxicity.fit(docs, y)
+        got = toxicity.scored(docs, model).collect()
+        assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+        assert toxicity.scored(docs.limit(0), model).collect() == []
+        assert set(toxicity.without_toxic(docs, model).columns) == {"doc_id", "text", "score"}
+
+
+def test_trees_and_isotonic():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    m = toxicity.Trees.fit(x[:1000], y[:1000]).margins(x[1000:])
+    assert ((m > 0) == y[1000:]).mean() > 0.95
+    knots, levels = toxicity.isotonic(m, y[1000:])
+    assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
+    assert abs(np.interp(m, knots, levels).mean() - y[1000:].mean()) < 1e-9
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_url_filters(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "ROWS_TO_BROADCAST", most)
+    day = lambda d: dt.datetime(2024, 1, d)
+    entries = [("a", "domain", "x.com", day(2), "add"), ("a", "domain", "x.com", day(5), "remove"), ("b", "prefix", "w.x.com/p", day(1), "allow"), ("c", "host", "Y.com", day(3), "add"), ("c", "host", None, day(3), "add"), ("c", "host", "y.com", day(3), "add"), ("d", "host", "z.com", day(4), "add"), ("d", "host", "z.com", day(4), "remove")]
+    pages = [(1, "http://w.x.com/p/q?r", day(3)), (1, "http://w.x.com/p/q?r", day(3)), (2, "https://u:p@W.X.com:80/pp", day(3)), (3, "http://x.com", day(5)), (4, "http://x.com/", day(2)), (5, None, day(3)), (6, "no url", day(3)), (7, "http://y.com/#f", day(3)), (8, "http://y.com", None), (9, "http://notx.com", day(3)), (10, "http://z.com", day(9)), (11, "http://y.com/" + "a/" * 3000, day(4))]
+    e = spark.createDataFrame(entries, url_filters.ENTRY_SCHEMA)
+    p = spark.createDataFrame([(*x, "q") for x in pages], "id long, url string, at timestamp_ntz, list string")
+    got = sorted((r.capture_id, r.n_active, r.list, r.blocked) for r in url_filters.filter_captures(p, e, id_col="id", url_col="url", time_col="at").collect())
+    assert got[:6] == [(1, 2, "b", False), (1, 2, "b", False), (2, 1, "a", True), (3, 0, None, False), (4, 1, "a", True), (5, 0, None, False)]
+    assert got[6:9] == [(6, 0, None, False), (7, 2, "c", True), (8, 0, None, False)] or got[7][1:] == (1, "c", True)
+    assert got[9:] == [(10, 0, None, False), (11, got[7][1], "c", True)] or [g[0] for g in got[9:]] == [9, 10, 11]
+    assert url_filters.filter_captures(p, e.limit(0), id_col="id", url_col="url", time_col="at").filter("blocked").count() == 0
+    assert url_filters.filter_captures(p.limit(0), e, id_col="id", url_col="url", time_col="at").collect() == []

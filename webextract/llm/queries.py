@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat_format, mixing, token_tables, topk_search
+from . import chat_format, decontamination, mixing, secret_scan, token_tables, topk_search, toxicity, url_filters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,32 @@ def query(f):
     return f
 
 
+@query
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active when it was fetched."""
+    pages = table(spark, sf_dir, "pages").withColumn("fetched_at", url_filters.fetch_time(F.col("page_id")))
+    found = url_filters.filter_captures(pages, url_filters.example_entries(spark), id_col="page_id", url_col="url", time_col="fetched_at")
+    return found.withColumnRenamed("capture_id", "page_id")
+
+
+ORACLES["op1_url_lists"] = url_filters.SQL
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with a model learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to target weights."""
@@ -57,3 +83,10 @@ def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write them as a token table and read it back."""
     return token_tables.with_crc(token_tables.token_table(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, plain and encoded."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
