@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat_format, decontamination, mixing, secret_scan, token_tables, topk_search, toxicity, url_filters
+from . import chat_format, decontamination, jaccard_join, mixing, secret_scan, token_tables, topk_search, toxicity, url_filters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,12 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.with_crc(token_tables.token_table(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, plain and encoded."""
