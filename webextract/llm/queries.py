@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat_format, decontamination, jaccard_join, mixing, secret_scan, token_tables, topk_search, toxicity, url_filters
+from . import chat_format, decontamination, jaccard_join, mixing, secret_scan, substring_dedup, token_tables, topk_search, toxicity, url_filters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,13 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.with_crc(token_tables.token_table(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that a document of smaller id has."""
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
