@@ -298,3 +298,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates: that of the smallest id.
+
+    Documents linked with nothing, so those without words too, stay. Of several rows of one id that have words, the one of
+    the least text (and then of the least other columns) stays. Rows of null id stay unless they are near duplicates of a
+    row that has an id.
+    """
+    near = staged(near_duplicates(docs, id_col=id_col, text_col=text_col), "groups")
+    gone = near.filter((F.col("component_id") < F.col("doc_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(id_col)).distinct()
+    if gone.limit(IDS_TO_BROADCAST + 1).count() <= IDS_TO_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = near.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = kept.filter(has_words).join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])).alias("row"))
+    single = single.select(*[F.col(c) if c == id_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.filter(~has_words).join(again, id_col, "left_semi").select(*docs.columns)).unionByName(single)

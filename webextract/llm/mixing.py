@@ -168,3 +168,14 @@ c AS (
 SELECT doc_id, size, source_size, target, sum(CASE WHEN upto <= budget THEN size ELSE 0 END)::BIGINT AS taken
 FROM c GROUP BY doc_id, size, source_size, target, k, ends, rnk
 """
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix has it (0 to ``passes`` times).
+
+    Rows that share an id, source and size share the largest of their numbers.
+    """
+    plan = fair_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).filter("copies > 0")
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).toDF("mix_id", "mix_source", "mix_size", "mix_copies")
+    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (word_count(F.col(text_col)) == F.col("mix_size"))
+    return docs.join(plan, same).withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
