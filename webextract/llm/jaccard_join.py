@@ -11,7 +11,10 @@ blocks with a chance below 1e-14.
 The blocks' keys travel packed, one row per run of texts and bucket. Sets that share a key form a group. First each
 group's smallest member is compared with the others, and what is linked is put together; then members of a group that are
 still apart are compared with each other. So a group of any number of near copies costs as many comparisons as it has
-members. A comparison first takes the Hamming distance of the sets' parity bit sketches, a lower bound of the symmetric
+members. Large groups of sets that are still apart come from passages that many documents hold. Each set gives ``spare``
+more keys than d + 1, so two linked sets share at least spare + 1: if one of them has no more than ``spare`` keys in large
+groups, they also meet in a small one. In large groups only sets with more such keys need be compared with each other.
+A comparison first takes the Hamming distance of the sets' parity bit sketches, a lower bound of the symmetric
 difference, and then, of the pairs left, the sets themselves.
 """
 
@@ -31,8 +34,12 @@ from .words import SPACED_LOWER, mix, runs, split, text_bytes, windows
 WIDTH = 5
 #: Similarity as a fraction.
 OVER, UNDER = 75, 100
-#: Bytes of text whose keys one bucket takes, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
+#: Bytes of text whose keys one bucket takes, and the least number of buckets (a power of two).
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
+#: Bytes kept of a key within its bucket. Keys that fall together make a group larger, which costs a comparison only.
+KEY_BYTES = 6
+#: Members of a small group, and the share of a band's lower end that sets give as spare keys (1 : SPARE).
+SMALL_GROUP, SPARE = 16, 8
 #: Bands below 2**SMALL have a block for each shingle.
 SMALL = 6
 #: Partners compared with a set in one task, and ids up to which a list of wanted documents is broadcast (8 bytes each).
@@ -70,10 +77,13 @@ class Sets:
         packed = np.packbits(np.bincount(place, minlength=int(at[-1])).astype(np.uint8) & 1, bitorder="little").tobytes()
         return [packed[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) of the blocks to join, over both bands of each text."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key) of the blocks to join, over both bands of each text, and for each text the bands short of spare keys.
+
+        A key's lowest bit is that of its band, and so are the flags' bits.
+        """
         n, level = self.n, np.floor(np.log2(np.maximum(self.n, 1))).astype(np.int64)
-        found = []
+        found, short = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], np.zeros(len(n), np.int32)
         for up in (0, 1):
             band = level + up
             top = n * UNDER // OVER  # the largest partner
@@ -92,14 +102,14 @@ class Sets:
             parity = np.bitwise_xor.reduceat(mix(h, 22), start)
             of, block = of[start], block[start]
             key = mix(parity + mix(block, 23) + mix((band[of] * 4096 + np.minimum(count, 4095)).astype(np.uint64), 24))
+            key = (key & ~np.uint64(1)) | (band[of] & 1).astype(np.uint64)
             order = np.lexsort((key, -count, of))
             of, key = of[order], key[order]
-            rank = np.arange(len(of)) - np.searchsorted(of, of, "left")
-            keep = rank <= differ[of]
+            wanted = differ + 1 + (1 << band) // SPARE
+            short |= np.where(joins & (np.bincount(of, minlength=len(n)) < wanted), 1 << (band & 1), 0).astype(np.int32)
+            keep = np.arange(len(of)) - np.searchsorted(of, of, "left") < wanted[of]
             found.append((of[keep], key[keep]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), short
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,63 +125,71 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def packed_keys(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    """(bucket, classes, counts, keys): for each run of texts, the keys of a bucket in the order of their classes."""
+    """(bucket, classes, counts, short, keys): for each run of texts, the keys of a bucket in the order of their classes.
+
+    A class goes by its first sum here; classes that have it in common are told apart again later.
+    """
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in runs(*text_bytes(batch.column(0))):
                 s = Sets(data, offsets)
-                of, key = s.keys()
-                classes = np.column_stack([s.sums(11), s.sums(12)])
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                of, key, short = s.keys()
+                classes, short = s.sums(11), short.astype(np.int8)
+                bucket = (key >> shift).astype(np.int64)
                 order = np.lexsort((of, bucket))
                 of, key, bucket = of[order], key[order], bucket[order]
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(0, np.int64)
                 rows = []
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     own, counts = np.unique(of[i:j], return_counts=True)
-                    rows.append((int(bucket[i]), classes[own].tobytes(), counts.astype(np.int32).tobytes(), key[i:j].tobytes()))
+                    kept = key[i:j].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+                    rows.append((int(bucket[i]), classes[own].tobytes(), counts.astype(np.int32).tobytes(), short[own].tobytes(), kept))
                 if rows:
-                    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "classes", "counts", "keys"])
+                    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "classes", "counts", "short", "keys"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, classes binary, counts binary, short binary, keys binary")
+
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, classes binary, counts binary, keys binary")
+GROUP_SCHEMA = "gid long, c1 long, bit int, keys long, members long, short boolean"
 
 
 def key_groups(packed: DataFrame) -> DataFrame:
-    """(gid, c1, c2): the classes that share a key, once for each different group of a bucket."""
+    """One row per member of each different group of a bucket: group, class, band's lowest bit, number of keys that have the
+    group, its size, and whether the class is short of spare keys."""
 
     def group(table: pa.Table) -> pa.Table:
-        classes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table["classes"]])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"]])
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]])
-        order = np.lexsort((classes[:, 1], classes[:, 0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (classes[order][1:] != classes[order][:-1]).any(axis=1)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        classes = classes[order][new]
-        of = np.repeat(number, counts)
+        whole = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
+        raw = np.zeros((sum(len(x.as_buffer()) for x in table["keys"]) // KEY_BYTES, 8), np.uint8)
+        raw[:, :KEY_BYTES] = whole("keys", np.uint8).reshape(-1, KEY_BYTES)
+        keys = raw.view(np.uint64).ravel()
+        classes, number = np.unique(whole("classes", np.int64), return_inverse=True)
+        short = np.zeros(len(classes), np.int8)
+        np.bitwise_or.at(short, number, whole("short", np.int8))
+        of = np.repeat(number.astype(np.int32), whole("counts", np.int32))
         order = np.lexsort((of, keys))
         of, keys = of[order], keys[order]
-        new[:] = True
         fresh = np.ones(len(of), bool)
         fresh[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
         of, keys = of[fresh], keys[fresh]
-        start = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(keys)))
         start, size = start[size > 1], size[size > 1]
-        if not len(start):
-            return pa.table({"gid": pa.array([], pa.int64()), "c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int64())})
-        each = mix(classes[:, 0].view(np.uint64) + mix(classes[:, 1].view(np.uint64), 31), 32)[of]
+        bit = (keys[start] & np.uint64(1)).astype(np.int64)
         total = np.zeros(len(of) + 1, np.uint64)
-        np.cumsum(each, out=total[1:])
-        gid, first = np.unique(total[start + size] - total[start], return_index=True)
-        start, size = start[first], size[first]
-        rows = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return pa.table({"gid": np.repeat(gid, size).view(np.int64), "c1": classes[of[rows], 0], "c2": classes[of[rows], 1]})
+        np.cumsum(mix(classes.view(np.uint64), 32)[of], out=total[1:])
+        gid, first, times = np.unique(total[start + size] - total[start] + mix(bit.astype(np.uint64), 33), return_index=True, return_counts=True)
+        start, size, bit = start[first], size[first], bit[first]
+        member = of[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        each = lambda x: np.repeat(x, size)
+        return pa.table({
+            "gid": each(gid).view(np.int64), "c1": classes[member], "bit": pa.array(each(bit), pa.int32()), "keys": each(times).astype(np.int64),
+            "members": each(size).astype(np.int64), "short": (short[member] >> each(bit)) & 1 > 0,
+        })
 
-    return packed.groupBy("bucket").applyInArrow(group, "gid long, c1 long, c2 long")
+    return packed.groupBy("bucket").applyInArrow(group, GROUP_SCHEMA)
 
 
 def hamming(a: bytes, b: bytes) -> int:
@@ -266,9 +284,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = staged(shingle_sets(docs, id_col, text_col), "sets")
     classes = named.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     size = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    groups = key_groups(packed_keys(docs, buckets, text_col)).distinct()
-    members = staged(groups.join(classes, ["c1", "c2"]).select("gid", "rep", "n"), "groups")
+    buckets = LEAST_BUCKETS
+    while buckets * BUCKET_BYTES < size:
+        buckets *= 2
+    groups = key_groups(packed_keys(docs, buckets, text_col)).groupBy("gid", "c1", "bit").agg(F.sum("keys").alias("keys"), F.max("members").alias("members"), F.max("short").alias("short"))
+    members = staged(groups.join(classes, "c1").select("gid", "rep", "n", "bit", "keys", "members", "short"), "groups")
     info = named.filter(F.col("n") > 0).select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch").dropDuplicates(["id"])
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -282,14 +302,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = staged(compared(first), "links")
     parts = connected_components(links)
 
-    label = lambda df: df.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    placed = staged(label(members).select("gid", "rep", "n", "part"), "placed")
-    apart = placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gid")
-    rest = placed.join(apart, "gid", "left_semi")
-    x, y = rest.toDF("gid", "a", "na", "pa"), rest.toDF("gid", "b", "nb", "pb")
-    second = x.join(y, "gid").filter((F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b")) & alike(F.col("na"), F.col("nb"))).select("a", "b")
-    second = second.join(links, ["a", "b"], "left_anti")
-    more = staged(compared(second), "links")
+    # Members still apart. ``needy``: more keys in large groups than spare ones.
+    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    large = F.col("members") > SMALL_GROUP
+    level = F.length(F.bin("n")) - 1
+    band = level + F.when(F.pmod(level, F.lit(2)) == F.col("bit"), 0).otherwise(1)
+    crowded = placed.groupBy("rep", "bit").agg(F.sum(F.when(large, F.col("keys"))).alias("crowded"))
+    placed = placed.join(crowded, ["rep", "bit"]).withColumn("needy", F.col("short") | (F.coalesce("crowded", F.lit(0)) > F.floor(F.pow(F.lit(2.0), band) / SPARE)))
+    placed = staged(placed.select("gid", "rep", "n", "part", "needy", "short", large.alias("large")), "placed")
+
+    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of members of one group in different parts; of the group's largest part, only as the second."""
+        most = x.unionByName(y).groupBy("gid", "part").count().groupBy("gid").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+        x = x.join(most, "gid").filter(F.col("part") != F.col("most")).select("gid", "rep", "n", "part").toDF("gid", "a", "na", "pa")
+        pairs = x.join(y.select("gid", "rep", "n", "part").toDF("gid", "b", "nb", "pb"), "gid").filter((F.col("pa") != F.col("pb")) & alike(F.col("na"), F.col("nb")))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    small, needy = placed.filter(~F.col("large")), placed.filter("large and needy")
+    second = apart(small, small).unionByName(apart(needy, needy))
+    if not placed.filter("large and short").isEmpty():  # hardly ever: sets short of spare keys are compared with all
+        mixed = placed.filter("large").join(placed.filter("large and short").select("gid").distinct(), "gid", "left_semi")
+        second = second.unionByName(apart(mixed, mixed))
+    more = staged(compared(second.join(links, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
