@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import article, crawl, nodes
+from .operators import article, crawl, jobs, nodes
 from .plans import rules
 from .session import table
 from .sources import html as H
@@ -535,3 +535,97 @@ def u22_canonical(spark, sf):
 def a18_can_start(spark, sf):
     running = table(spark, sf, "events").filter("event_id < 50").agg(F.count_if(F.col("event_type") == "error").alias("running"))
     return running.withColumn("can_start", F.col("running") < 3)
+
+
+# --- Jobs, caches, rules ---------------------------------------------------------------------------------------------
+
+
+def _job_events(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.element_at(F.array(*map(F.lit, (*jobs.STATES, "odd"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select((F.col("user_id") % 40).alias("job_id"), F.col("event_id").alias("at"), status.alias("status"))
+
+
+_JOB_EVENTS = "v AS (SELECT user_id % 40 AS job_id, event_id AS t, ['queued', 'running', 'completed', 'failed', 'odd'][event_id % 5 + 1] AS status FROM events)"
+
+
+@query(f"""WITH {_JOB_EVENTS}, l AS (SELECT job_id, max(row(t, status)) AS m FROM v WHERE status <> 'odd' GROUP BY job_id)
+SELECT j.job_id, coalesce(l.m[2], 'queued') AS status FROM range(50) j(job_id) LEFT JOIN l ON j.job_id = l.job_id""")
+def st11_job_states(spark, sf):
+    return jobs.job_states(spark.range(50).toDF("job_id"), _job_events(spark, sf))
+
+
+@query(f"""WITH {_JOB_EVENTS}, r AS (SELECT job_id, CASE status WHEN 'completed' THEN 'success' WHEN 'failed' THEN 'failed' ELSE 'skipped' END AS result FROM v)
+SELECT j.job_id, 'queued' AS status, count(*) FILTER (result = 'success') AS success, count(*) FILTER (result = 'failed') AS failed, count(*) FILTER (result = 'skipped') AS skipped
+FROM range(50) j(job_id) LEFT JOIN r ON j.job_id = r.job_id GROUP BY j.job_id""")
+def j10_job_results(spark, sf):
+    e = _job_events(spark, sf)
+    result = F.when(F.col("status") == "completed", "success").when(F.col("status") == "failed", "failed").otherwise("skipped")
+    return jobs.with_results(spark.range(50).select(F.col("id").alias("job_id"), F.lit("queued").alias("status")), e.select("job_id", result.alias("result")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 AND page_id % 8 <> 0 THEN length(html) END AS answer, page_id % 4 = 0 AND page_id % 8 <> 0 AS hit FROM pages")
+def j7_response_cache(spark, sf):
+    p = pages(spark, sf).withColumn("key", U.cache_key(F.col("url")))
+    stored = p.filter("page_id % 4 = 0").select("key", F.when(F.col("page_id") % 8 != 0, F.length("html").cast("long")).alias("answer"))
+    return jobs.response_cache(p.select("page_id", "key"), stored).drop("key")
+
+
+@query(f"""WITH {_PARTS} SELECT page_id, regexp_replace(lower(net), '^www\\.', '') LIKE '%.example.net' AND page_id % 2 = 0 AS kept FROM p""")
+def j5_host_rules(spark, sf):
+    """A rule table by host, joined to the pages."""
+    p = pages(spark, sf).select("page_id", U.host(F.col("url")).alias("host"))
+    listed = p.select("host").distinct().filter(F.col("host").endswith(".example.net")).withColumn("rule", F.lit(True))
+    return p.join(listed, "host", "left").select("page_id", (F.coalesce("rule", F.lit(False)) & (F.col("page_id") % 2 == 0)).alias("kept"))
+
+
+@query("""WITH f AS (SELECT user_id AS u, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 429 ELSE 500 END AS s FROM events WHERE event_id % 50 < 6)
+SELECT 'http://h/' || u AS url FROM f GROUP BY u HAVING count(*) FILTER (s < 400) = 0 AND count(*) FILTER (s = 429) > 0""")
+def g8_requeue(spark, sf):
+    e = table(spark, sf, "events").filter("event_id % 50 < 6")
+    status = F.when(F.col("event_id") % 6 == 0, 200).when(F.col("event_id") % 6 == 1, 429).otherwise(500)
+    return jobs.requeued(e.select(F.concat(F.lit("http://h/"), F.col("user_id")).alias("url"), status.alias("status")))
+
+
+@query("""WITH f AS (SELECT event_id, [200, 404, 410, 429, 403, 503, 0, 500][event_id % 8 + 1] AS s, event_id % 3 + 1 AS n FROM events)
+SELECT event_id, CASE WHEN s IN (404, 410) THEN 'gone' WHEN s IN (429, 403, 503, 0) THEN 'retry' WHEN s < 400 THEN 'done' ELSE 'stop' END AS action,
+(CASE WHEN s = 429 THEN 2.0 WHEN s IN (403, 503) THEN 5.0 * n WHEN s = 0 THEN 2.0 * n ELSE 0 END)::DOUBLE AS wait FROM f""")
+def st9_retry_plan(spark, sf):
+    s = F.element_at(F.array(*map(F.lit, (200, 404, 410, 429, 403, 503, 0, 500))), (F.col("event_id") % 8 + 1).cast("int"))
+    action, wait = jobs.retry_plan(F.when(s == 0, 0).otherwise(s), F.col("event_id") % 3 + 1, F.lit(2.0))
+    action = F.when(s == 0, "retry").otherwise(action)
+    return table(spark, sf, "events").select("event_id", action.alias("action"), wait.cast("double").alias("wait"))
+
+
+@query("WITH u AS (SELECT DISTINCT url FROM pages WHERE page_id < 30) SELECT url, row_number() OVER (ORDER BY url)::INTEGER AS seq FROM u")
+def w10_seed_order(spark, sf):
+    return jobs.ordered_seeds(pages(spark, sf).filter("page_id < 30").select("url"))
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages)
+SELECT page_id, replace(replace(replace(replace(trim(x), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM t""")
+def p5_select_by_tag(spark, sf):
+    """Elements by tag, here the first title."""
+    n = H.parse_nodes(pages(spark, sf))
+    roots = n.filter("tag = 'title'").groupBy("page_id").agg(F.min_by(F.struct("node_id", "last_desc"), "node_id").alias("r")).select("page_id", "r.*")
+    return nodes.subtree_text(n, roots).withColumnRenamed("text", "title")
+
+
+@query()
+def u12_absolute_attributes(spark, sf):
+    """Resolved hrefs of every element that has one."""
+    found = nodes.links(H.parse_nodes(pages(spark, sf)), only_a=False).join(pages(spark, sf).select("page_id", "url"), "page_id")
+    return found.select("page_id", "node_id", U.resolved(F.col("url"), F.col("href")).alias("href"))
+
+
+@query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN ' id-' || event_id || ' ' ELSE '  ' END), ''), 'new') AS request_id FROM events")
+def u20_request_id(spark, sf):
+    """A new id is random, so it is shown as ``new``."""
+    head = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" id-"), F.col("event_id"), F.lit(" "))).otherwise("  ")
+    made = T.request_id(head)
+    return table(spark, sf, "events").select("event_id", F.when(F.length(made) == 32, "new").otherwise(made).alias("request_id"))
+
+
+@query("""SELECT count(*) AS collected, round(count(*) / 10.0, 6)::DOUBLE AS per_second FROM pages""")
+def a16_progress_rate(spark, sf):
+    return pages(spark, sf).agg(F.count("*").alias("collected"), F.round(F.count("*") / F.lit(10.0), 6).alias("per_second"))
