@@ -32,8 +32,7 @@ def test_set_based_equals_tree(spark):
     got = {(r.page_id, r.node_id): (r.text_length, round(r.link_density, 9), round(r.score, 6)) for r in scored.collect()}
     tops = {r.page_id: r.node_id for r in nodes.refined(nodes.candidates(scored)).collect()}
     titles = {r.page_id: r.title for r in nodes.titles(clean, df).collect()}
-    roots = clean.join(nodes.refined(nodes.candidates(scored)).select("page_id", "node_id"), ["page_id", "node_id"])
-    texts = {r.page_id: r.text for r in nodes.subtree_text(clean, roots).collect()}
+    texts = {r.page_id: r.text for r in nodes.subtree_text(clean, nodes.refined(nodes.candidates(scored))).collect()}
     want = {}
     for page, url, html in rows:
         root = H.parse(html)

@@ -85,7 +85,7 @@ def candidates(elements: DataFrame) -> DataFrame:
 
 
 def refined(ranked: DataFrame, rounds: int = 3) -> DataFrame:
-    """(page_id, node_id) of the top candidate, moved up to ``rounds`` times to a stronger one inside it."""
+    """(page_id, node_id, last_desc, score) of the top candidate, moved up to ``rounds`` times to a stronger one inside it."""
     fields = ("node_id", "last_desc", "score", "text_length", "link_density")
     slim = staged(ranked.select("page_id", "tag", "rank", *fields), "candidates")
     now = slim.filter("rank = 1").select("page_id", F.struct(*fields).alias("t"))
@@ -98,7 +98,7 @@ def refined(ranked: DataFrame, rounds: int = 3) -> DataFrame:
         fits = fits & (F.col("score") >= low * ratio) & (F.col("text_length") >= 0.5 * length) & ((F.col("link_density") <= 0.8 * density) | (F.col("link_density") <= 0.05))
         order = F.struct((-F.col("score")).alias("s"), "link_density", "text_length", "rank")
         now = c.groupBy("page_id").agg(F.coalesce(F.min_by(F.struct(*fields), F.when(fits, order)), F.first("t")).alias("t"))
-    return now.select("page_id", "t.node_id", "t.score")
+    return now.select("page_id", "t.node_id", "t.last_desc", "t.score")
 
 
 def subtree_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -318,8 +318,7 @@ def r3_text(spark, sf):
     """Text of the chosen node, by set operations."""
     clean = _cleaned(spark, sf)
     top = nodes.refined(nodes.candidates(nodes.scored(nodes.measured(clean))))
-    roots = clean.join(top.select("page_id", "node_id"), ["page_id", "node_id"])
-    return nodes.subtree_text(clean, roots)
+    return nodes.subtree_text(clean, top)
 
 
 @query()
