@@ -14,6 +14,8 @@ from .words import _BYTE_BASE, _BYTE_VALUES, _sums, mix
 
 #: Parts kept by a worker; beyond it the store starts anew. An entry takes about 40 bytes.
 MEMO_PARTS = 1_500_000
+#: New parts that are encoded as one text.
+JOINED_PARTS = 2_000
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
 _PRINT = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
 _TAIL = np.arange(256) >= 0x80
@@ -25,20 +27,53 @@ class PartEncoder:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.token_bytes = self._token_bytes()
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+    def _token_bytes(self) -> np.ndarray:
+        """Bytes that each id stands for."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            out[i] = len(token)  # in a byte-level vocabulary, a character for each byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = len(token.content.encode())
+        return out
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _encode_parts(self, parts: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and how many each has.
+
+        Parts that begin and end at certain cuts are encoded many at a time as one text; the bytes of the ids tell where
+        a part ends.
+        """
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(parts)
+        which = np.flatnonzero(joinable).tolist()
+        for low in range(0, len(which), JOINED_PARTS):
+            own = which[low : low + JOINED_PARTS]
+            got = self._ids(b"".join([parts[i] for i in own]).decode())
+            upto = np.concatenate([[0], np.cumsum(self.token_bytes[got])])
+            ends = np.cumsum([len(parts[i]) for i in own])
+            at = np.searchsorted(upto, ends)
+            if upto[-1] == ends[-1] and (upto[at] == ends).all():
+                for i, a, b in zip(own, [0, *at[:-1].tolist()], at.tolist(), strict=True):
+                    ids[i] = got[a:b]
+            else:  # not a byte-level vocabulary
+                joinable[own] = False
+        for i in np.flatnonzero(~joinable).tolist():
+            ids[i] = self._ids(parts[i].decode())
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes], joinable: np.ndarray) -> None:
         if len(self.keys) + len(keys) > MEMO_PARTS:
             raise OverflowError
-        ids = []
-        for low in range(0, len(parts), 4096):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(parts[low : low + 4096], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        flat, sizes = self._encode_parts(parts, joinable)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used), np.int32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -68,10 +103,11 @@ class PartEncoder:
                 new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
             if not new.any():
                 break
-            raw = data.tobytes()
-            parts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            raw, low, high = data.tobytes(), starts[first[new]], ends[first[new]]
+            parts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            joinable = _SPACE[data[low]] & (_PRINT[data[high - 1]] | (_TAIL[data[high - 1]] & _LEAD[data[np.maximum(high - 2, 0)]]) & (high - low > 1))
             try:
-                self._learn(keys[new], parts)
+                self._learn(keys[new], parts, joinable)
             except OverflowError:
                 if again or len(keys) > MEMO_PARTS:
                     return self._plainly(data, offsets)

@@ -38,6 +38,16 @@ def load_tokenizer(path: str):
     return t
 
 
+_encoders: dict[str, PartEncoder] = {}
+
+
+def part_encoder(path: str) -> PartEncoder:
+    """This worker's encoder: later tasks find the parts that earlier ones have met."""
+    if path not in _encoders:
+        _encoders[path] = PartEncoder(load_tokenizer(path))
+    return _encoders[path]
+
+
 def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, append ``end_id``, and write the table at ``path`` in ascending ``id_col`` order.
 
@@ -49,7 +59,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, start = PartEncoder(load_tokenizer(tokenizer_path)), 0
+        encoder, start = part_encoder(tokenizer_path), 0
         for batch in batches:
             for low, high, data, offsets in runs(*text_bytes(batch.column(1))):
                 ids, sizes = encoder.encode(data, offsets)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes; a longer text forms a run of its own.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 
 _MASK = (1 << 64) - 1
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -67,7 +67,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             made.append(np.multiply.accumulate(a))
         have = (made[0], made[1])
-        if size <= 4 * RUN_BYTES:
+        if size <= 8 * RUN_BYTES:
             _tables[base] = have
     return have
 
