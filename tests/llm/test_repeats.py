@@ -47,12 +47,13 @@ def test_odd_rows(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, id int").repartition(4)
     want = brute(rows)
 
-    def got():
-        out = substring_dedup.without_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    def got(**options):
+        out = substring_dedup.without_repeats(df, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
         return sorted(map(tuple, out.collect()), key=str)
 
     assert got() == want
     for name, value in (("SHARD_WINDOWS", 40), ("TASK_DOCS", 3), ("AUTOMATON_WINDOWS", 30), ("ROWS_TO_BROADCAST", 1)):
         monkeypatch.setattr(substring_dedup, name, value)
     assert got() == want
+    assert got(key_bytes=1) == want  # many clashes
     assert substring_dedup.without_repeats(df.limit(0)).collect() == []

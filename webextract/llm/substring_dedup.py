@@ -5,6 +5,9 @@ windows that more than one document has, and of each its owner, the document of
 then read again and confirmed as words: those of a shard of owners are compiled to an Aho-Corasick automaton over word
 numbers, and every document that may hold one of them streams through it whole. An occurrence in a document other than
 the owner is removed. A shard with many documents is dealt to several tasks, each with the shard's automaton.
+
+Where two different windows have one hash, only the smallest document's is in an automaton. Windows of the hash that the
+automaton does not hold are then told apart by their words, and owned by the smallest document that has them.
 """
 
 from __future__ import annotations
@@ -24,21 +27,21 @@ WINDOW = 13
 #: Bytes of text whose windows one bucket takes, and the least number of buckets (a power of two).
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Owned windows of a shard and documents of a task, about; windows that one automaton holds at most.
-SHARD_WINDOWS, TASK_DOCS, AUTOMATON_WINDOWS = 60_000, 1_000, 120_000
+SHARD_WINDOWS, TASK_DOCS, AUTOMATON_WINDOWS = 60_000, 2_000, 120_000
 #: Rows of removed spans up to which they are broadcast to the last pass (about 60 bytes each).
 ROWS_TO_BROADCAST = 200_000
 #: Bytes kept of a window's hash within a bucket: with the bucket's bits, all but two of it.
 KEY_BYTES = 7
 
 
-def packed_windows(docs: DataFrame, buckets: int) -> DataFrame:
+def packed_windows(docs: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(bucket, ids, counts, keys): for each run of texts, the windows' hashes of a bucket in the order of documents."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy()
-            for low, _, data, offsets in runs(*text_bytes(batch.column(1)), 4_000_000):
+            for low, _, data, offsets in runs(*text_bytes(batch.column(1)), 2_000_000):
                 w = split(data, offsets, SPACED)
                 key, good = windows(w.hashes(), w.first, WINDOW)
                 of, key = w.text_of()[good], key[good]
@@ -49,7 +52,7 @@ def packed_windows(docs: DataFrame, buckets: int) -> DataFrame:
                 rows = []
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     own, counts = np.unique(of[i:j], return_counts=True)
-                    rows.append((int(bucket[i]), every[low + own].tobytes(), counts.astype(np.int32).tobytes(), key[i:j].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()))
+                    rows.append((int(bucket[i]), every[low + own].tobytes(), counts.astype(np.int32).tobytes(), key[i:j].view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()))
                 if rows:
                     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "ids", "counts", "keys"])
@@ -57,25 +60,25 @@ def packed_windows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "bucket int, ids binary, counts binary, keys binary")
 
 
-def _wide(keys: bytes) -> np.ndarray:
+def _wide(keys: bytes, key_bytes: int) -> np.ndarray:
     """Kept hash bytes as numbers."""
-    out = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(keys) // key_bytes, 8), np.uint8)
+    out[:, :key_bytes] = np.frombuffer(keys, np.uint8).reshape(-1, key_bytes)
     return out.view(np.uint64).ravel()
 
 
-def _kept(keys: np.ndarray) -> np.ndarray:
+def _kept(keys: np.ndarray, key_bytes: int) -> np.ndarray:
     """The kept bytes of full hashes as numbers."""
-    return keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    return keys & np.uint64((1 << 8 * key_bytes) - 1)
 
 
-def recurring(packed: DataFrame) -> DataFrame:
+def recurring(packed: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(owner, member, keys): documents that share windows with a smaller one, and the owners' own rows with their keys."""
 
     def group(table: pa.Table) -> pa.Table:
         ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]])
         of = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"]]))
-        keys = np.concatenate([_wide(x.as_py()) for x in table["keys"]])
+        keys = np.concatenate([_wide(x.as_py(), key_bytes) for x in table["keys"]])
         order = np.argsort(keys, kind="stable")
         keys, doc = keys[order], ids[of[order]]
         del order, of
@@ -119,11 +122,22 @@ class Phrases:
                 self.automaton.add_word(tuple(phrase), i)
         self.automaton.make_automaton()
 
-    def occurrences(self, hashes: np.ndarray, doc: int) -> list[int]:
-        """Last words of the windows in a document that a smaller one owns."""
+    def occurrences(self, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """(last word, owner) of all windows in a document that the automaton holds."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        numbers = tuple(np.where(self.vocabulary[at] == hashes, at + 1, 0).tolist())
-        return [end for end, i in self.automaton.iter(numbers) if self.owners[i] < doc]
+        known = self.vocabulary[at] == hashes
+        # A stretch of fewer known words than a window holds no occurrence; the others stream with a break between them.
+        edge = np.flatnonzero(np.diff(known.view(np.int8), prepend=0, append=0))
+        start, end = edge[::2], edge[1::2]
+        long_ = end - start >= WINDOW
+        start, size = start[long_], (end - start)[long_] + 1
+        if not len(start):
+            return []
+        place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        numbers = at[np.minimum(place, len(at) - 1)] + 1
+        numbers[np.cumsum(size) - 1] = 0
+        place = place.tolist()
+        return [(place[end], self.owners[i]) for end, i in self.automaton.iter(tuple(numbers.tolist()))]
 
 
 def merged(ends: list[int], width: int = WINDOW) -> list[tuple[int, int]]:
@@ -141,7 +155,7 @@ def merged(ends: list[int], width: int = WINDOW) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<a:int,b:int>>, kept string"
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(id, h, spans): word spans of each (id, text) that a document of smaller id has too, in parts to be united.
 
     ``h`` is the text's xxhash64, which tells rows of one id apart.
@@ -150,7 +164,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = LEAST_BUCKETS
     while buckets * BUCKET_BYTES < size:
         buckets *= 2
-    found = staged(recurring(packed_windows(docs, buckets)), "recurring")
+    found = staged(recurring(packed_windows(docs, buckets, key_bytes), key_bytes), "recurring")
     owners = found.filter(F.col("keys").isNotNull())
     members = found.filter(F.col("keys").isNull()).select("owner", "member").distinct()
     owned = int(owners.agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
@@ -171,16 +185,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             names = list(zip(table["shard"].to_pylist(), table["task"].to_pylist(), strict=True))
             edges = [i for i in range(len(names)) if not i or names[i] != names[i - 1]] + [len(names)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield from _stream(table.slice(a, b - a))
+                yield from _stream(table.slice(a, b - a), key_bytes)
 
-    return rows.select("shard", "task", "kind", "id", "h", "text", "keys").mapInArrow(run, "id long, h long, spans array<struct<a:int,b:int>>")
+    found = rows.select("shard", "task", "kind", "id", "h", "text", "keys").mapInArrow(run, "id long, h long, spans array<struct<a:int,b:int>>, window binary")
+    found = staged(found, "found")
+    odd = found.filter(F.col("window").isNotNull())
+    first = odd.groupBy("window").agg(F.min("id").alias("owner"))
+    later = odd.join(first, "window").filter(F.col("owner") < F.col("id"))
+    return found.filter(F.col("window").isNull()).select("id", "h", "spans").unionByName(later.select("id", "h", "spans"))
 
 
-def _stream(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _stream(table: pa.Table, key_bytes: int) -> Iterator[pa.RecordBatch]:
     """All documents of one task through the automata of its owners."""
     kinds, ids = table["kind"].to_numpy(), table["id"].to_numpy()
     sources, docs = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 1))
     phrases: list[Phrases] = []
+    owned = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sources["keys"]] or [np.zeros(0, np.uint64)]))
     held: list[np.ndarray] = []
     owners: list[int] = []
     names, blobs = ids[kinds == 0], sources["keys"]
@@ -191,7 +211,7 @@ def _stream(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for i in range(high - low):
             at = np.arange(w.first[i], w.first[i + 1])
             wanted = np.frombuffer(blobs[low + i].as_buffer(), np.uint64)
-            at = at[good[at] & np.isin(_kept(key[at]), wanted)]
+            at = at[good[at] & np.isin(_kept(key[at], key_bytes), wanted)]
             for c in range(0, len(at), AUTOMATON_WINDOWS):
                 part = hashes[at[c : c + AUTOMATON_WINDOWS, None] + np.arange(WINDOW)]
                 held.append(np.unique(part, axis=0))
@@ -206,12 +226,22 @@ def _stream(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for low, high, data, offsets in runs(*text_bytes(docs["text"])):
         w = split(data, offsets, SPACED)
         hashes, out = w.hashes(), []
+        key, good = windows(hashes, w.first, WINDOW)
+        key = _kept(key, key_bytes)
+        maybe = good & (owned[np.minimum(np.searchsorted(owned, key), len(owned) - 1)] == key) if len(owned) else np.zeros(len(key), bool)
         for i in range(high - low):
-            own, doc = hashes[w.first[i] : w.first[i + 1]], int(names[low + i])
-            ends = [e for p in phrases for e in p.occurrences(own, doc)]
+            a, b = w.first[i], w.first[i + 1]
+            doc, mark = int(names[low + i]), int(marks[low + i])
+            found = [x for p in phrases for x in p.occurrences(hashes[a:b])]
+            ends = [e for e, owner in found if owner < doc]
             if ends:
-                out.append((doc, int(marks[low + i]), [{"a": a, "b": b} for a, b in merged(ends)]))
-        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["id", "h", "spans"])
+                out.append((doc, mark, [{"a": x, "b": y} for x, y in merged(ends)], None))
+            odd = set(np.flatnonzero(maybe[a:b]).tolist()) - {e - WINDOW + 1 for e, _ in found}
+            for at in sorted(odd):  # a window whose hash is that of another one
+                text = b" ".join(bytes(data[x:y]) for x, y in zip(w.starts[a + at : a + at + WINDOW], w.ends[a + at : a + at + WINDOW], strict=True))
+                out.append((doc, mark, [{"a": at, "b": at + WINDOW}], text))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["id", "h", "spans", "window"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +274,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), spans, kept], names=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = KEY_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, removed (word spans), kept (words joined by one space).
 
     A word goes if it lies in a window that also starts in a document of smaller id; windows are those of the input. Null
@@ -253,7 +283,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = repeated_spans(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
+    parts = repeated_spans(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), key_bytes)
     spans = staged(parts.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     if spans.limit(ROWS_TO_BROADCAST + 1).count() <= ROWS_TO_BROADCAST:
         spans = F.broadcast(spans)
