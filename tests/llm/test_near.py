@@ -89,6 +89,7 @@ def test_mixed_groups(spark, monkeypatch):
     assert got(jaccard_join.near_duplicates(df)) == want
     monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)
     monkeypatch.setattr(jaccard_join, "IDS_TO_BROADCAST", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", (3, 5))
     monkeypatch.setattr(jaccard_join, "PARTNERS", 4)
     assert got(jaccard_join.near_duplicates(df.repartition(6))) == want
 

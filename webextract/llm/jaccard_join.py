@@ -42,6 +42,8 @@ KEY_BYTES = 6
 SMALL_GROUP, SPARE = 16, 8
 #: Bands below 2**SMALL have a block for each shingle.
 SMALL = 6
+#: Members of a group compared with each other in one task: of the smaller parts, and of all.
+BLOCK = (128, 1024)
 #: Partners compared with a set in one task, and ids up to which a list of wanted documents is broadcast (8 bytes each).
 PARTNERS, IDS_TO_BROADCAST = 256, 1_000_000
 
@@ -195,11 +197,8 @@ def key_groups(packed: DataFrame) -> DataFrame:
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two sketches; the longer is folded to the length of the shorter."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -215,6 +214,61 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): members (gid, rep, n, part) of one group but different parts whose sizes and sketches do not rule a link out.
+
+    Members outside a group's largest part meet all members, block by block: a block of each side goes to one task, and
+    only pairs that may be linked leave it.
+    """
+    parts = members.groupBy("gid", "part").count().groupBy("gid")
+    sizes = parts.agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top")).filter(F.col("all") > F.col("top"))
+    blocks = sizes.select("gid", "most", F.ceil((F.col("all") - F.col("top")) / BLOCK[0]).alias("left"), F.ceil(F.col("all") / BLOCK[1]).alias("right"))
+    rows = members.select("gid", "rep", "n", "part").join(blocks, "gid").join(sketches, "rep")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    first = rows.filter(F.col("part") != F.col("most")).withColumn("side", F.lit(0)).withColumn("x", own("left")).withColumn("y", every("right"))
+    both = first.unionByName(rows.withColumn("side", F.lit(1)).withColumn("y", own("right")).withColumn("x", every("left")))
+    dealt = both.select("gid", "x", "y", "side", "rep", "n", "part", "sketch").repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["gid", "x", "y"]):
+            block = np.column_stack([table[k].to_numpy() for k in ("gid", "x", "y")])
+            edges = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1).tolist(), len(block)]
+            side, rep, n, part = (table[k].to_numpy() for k in ("side", "rep", "n", "part"))
+            sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["sketch"]]
+            out: list[tuple[int, int]] = []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                middle = low + int(np.searchsorted(side[low:high], 1))
+                _compare(range(low, middle), np.arange(middle, high), rep, n, part, sketch, out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of a shorter length: halves are XORed."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _compare(left: range, right: np.ndarray, rep: np.ndarray, n: np.ndarray, part: np.ndarray, sketch: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+    """Add the pairs of a block that may be linked."""
+    lengths = np.array([len(sketch[j]) for j in right.tolist()])
+    stacks = {k: (right[lengths == k], np.stack([sketch[j] for j in right[lengths == k].tolist()])) for k in np.unique(lengths).tolist()}
+    for i in left:
+        for length, (rows, stack) in stacks.items():
+            fits = (part[rows] != part[i]) & (UNDER * np.minimum(n[rows], n[i]) >= OVER * np.maximum(n[rows], n[i]))
+            if not fits.any():
+                continue
+            rows = rows[fits]
+            words = min(length, len(sketch[i]))
+            far = np.bitwise_count(_folded(stack[fits], words) ^ _folded(sketch[i], words)).sum(axis=1)
+            good = rows[far <= (n[rows] + n[i]) * (UNDER - OVER) // (UNDER + OVER)]
+            out.extend((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for j in good.tolist())
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from batches in the order of ``keys``."""
     held: pa.Table | None = None
@@ -311,19 +365,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = placed.join(crowded, ["rep", "bit"]).withColumn("needy", F.col("short") | (F.coalesce("crowded", F.lit(0)) > F.floor(F.pow(F.lit(2.0), band) / SPARE)))
     placed = staged(placed.select("gid", "rep", "n", "part", "needy", "short", large.alias("large")), "placed")
 
-    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of members of one group in different parts; of the group's largest part, only as the second."""
-        most = x.unionByName(y).groupBy("gid", "part").count().groupBy("gid").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-        x = x.join(most, "gid").filter(F.col("part") != F.col("most")).select("gid", "rep", "n", "part").toDF("gid", "a", "na", "pa")
-        pairs = x.join(y.select("gid", "rep", "n", "part").toDF("gid", "b", "nb", "pb"), "gid").filter((F.col("pa") != F.col("pb")) & alike(F.col("na"), F.col("nb")))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    small, needy = placed.filter(~F.col("large")), placed.filter("large and needy")
-    second = apart(small, small).unionByName(apart(needy, needy))
+    sketches = info.select(F.col("id").alias("rep"), "sketch")
+    near = _apart(placed.filter(~F.col("large")), sketches).unionByName(_apart(placed.filter("large and needy"), sketches))
     if not placed.filter("large and short").isEmpty():  # hardly ever: sets short of spare keys are compared with all
-        mixed = placed.filter("large").join(placed.filter("large and short").select("gid").distinct(), "gid", "left_semi")
-        second = second.unionByName(apart(mixed, mixed))
-    more = staged(compared(second.join(links, ["a", "b"], "left_anti")), "links")
+        some = placed.filter("large and short").select("gid").distinct()
+        near = near.unionByName(_apart(placed.filter("large").join(some, "gid", "left_semi"), sketches))
+    more = staged(_linked(near.distinct().join(links, ["a", "b"], "left_anti"), docs, id_col, text_col), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
