@@ -109,6 +109,29 @@ def test_layers():
     assert secret in base64.b64decode(inner[a // 4 * 4 : -(-b // 4) * 4]).decode() + "?" and a > 0 and b < len(inner)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_and_glued_layers(spark, end):
+    rng = np.random.default_rng(5)
+    secret = "password=hunter2hunter2"
+    noise = "".join(rng.choice(list("qwertyuiop zxcvbn"), 400))
+    b64 = lambda x: base64.b64encode(x).decode()
+    fold = lambda x, n: end.join(x[i : i + n] for i in range(0, len(x), n))
+    plain, packed = b64(f"{secret} ok".encode()), [b64(f(f"{noise} {secret} {noise}".encode())) for f in (zlib.compress, gzip.compress)]
+    wrapped = [fold(b64(("x" * k + f" {secret} y").encode()), 76) for k in range(30, 60)] + [fold(x, n) for x in packed for n in (64, 76)]
+    wrapped += [f"-----BEGIN KEY-----{end}{fold(x, 64)}{end}-----END KEY-----" for x in (plain * 4, *packed)] + [fold(plain, 10)]
+    glued = [f"{before}{x}{after}" for x in (plain, *packed) for before in ("https://host/v1/", "key_", "ab-", "a", "ab", "abc") for after in ("", "/tail", "_x")]
+    cases = wrapped + [x if "=" not in x.rstrip("=") else x.replace("=", "") for x in glued]
+    df = spark.createDataFrame([(i, f"é x {w} y") for i, w in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(df).collect()}
+    for i, w in enumerate(cases):
+        base, every = secret_scan.all_finds(f"é x {w} y")
+        assert any(4 <= a and b <= 4 + len(w) and k == 0 for a, k, b in every - base), w
+        assert got[i] == secret_scan.joined(every)
+    text = "key_" + plain.rstrip("=")
+    ((a, _, b),) = secret_scan.all_finds(text)[1]
+    assert (a, b) == (4, 4 + -(-len(secret) * 8 // 6))
+
+
 def test_secret_query(spark, small, tables):
     got = {r.doc_id: r for r in queries.QUERIES["op10_secret_scan"](spark, small).collect()}
     n = 0

@@ -2,7 +2,8 @@ r"""Secrets in texts, also under nested encodings.
 
 A worklist of layers starts with the text. Each layer is scanned, and what it unwraps to is added to the list: the layer
 with its percent escapes or its \u, \x and &#; escapes decoded, and the text in each base64 run, through zlib or gzip
-where its bytes are compressed. Every layer keeps, for each of its characters, the span of the original text it came from,
+where its bytes are compressed. A run that is no text as a whole, and runs joined over single line breaks, are decoded in
+all four alignments, and every readable stretch and compressed value in them is taken. Every layer keeps, for each of its characters, the span of the original text it came from,
 so finds are given as spans of that text. A layer that was there before, by text and place, is not taken again, so the
 list comes to an end.
 """
@@ -10,7 +11,6 @@ list comes to an end.
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,6 +33,13 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+#: In decoded bytes: stretches of UTF-8 that can hold a find, the shortest of which has 16 characters; heads of gzip and zlib.
+READABLE = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}"
+)
+PACKED = re.compile(b"(?=\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32) + b")")
 #: Bytes that one compressed value may give; more is taken for a bomb and not unwrapped.
 MOST_INFLATED = 16 << 20
 
@@ -118,11 +125,10 @@ def _escapes(s: str) -> list[tuple[str, int, int]] | None:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What compressed bytes hold."""
+def _inflated(raw: bytes, d) -> bytes | None:
+    """What compressed bytes hold, by a new decompressor ``d``."""
     if not (raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)):
         return None
-    d = zlib.decompressobj(47)
     try:
         out = d.decompress(raw, MOST_INFLATED)
     except zlib.error:
@@ -130,28 +136,59 @@ def _inflated(raw: bytes) -> bytes | None:
     return out if d.eof else None
 
 
+def _unpacked(raw: bytes) -> tuple[bytes, int] | None:
+    """What compressed bytes hold, through further compression, and how many of the bytes that took."""
+    d = zlib.decompressobj(47)
+    if (packed := _inflated(raw, d)) is None:
+        return None
+    while (more := _inflated(packed, zlib.decompressobj(47))) is not None and more != packed:
+        packed = more
+    return packed, len(raw) - len(d.unused_data)
+
+
+def _decoded(body: str) -> bytes:
+    """The bytes of base64 characters, without the last one where it is one too many."""
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _readings(layer: Layer, body: str, at: np.ndarray) -> Iterator[Layer]:
+    """What base64 characters, at the places ``at``, hold anywhere: in each alignment, the readable stretches and what inflates."""
+    for skip in range(4):
+        raw, place, upto = _decoded(body[skip:]), at[skip:], 0
+        for m in READABLE.finditer(raw):
+            text = m[0].decode()
+            b = m.start() + _char_bytes(text)
+            yield Layer(text, layer.start[place[b[:-1] * 8 // 6]], layer.end[place[(b[1:] * 8 - 1) // 6]])
+        for m in PACKED.finditer(raw):
+            if (a := m.start()) < upto or (got := _unpacked(raw[a:])) is None:
+                continue
+            upto = a + got[1]
+            if (text := _readable(got[0])) is not None:
+                yield Layer(text, np.full(len(text), layer.start[place[a * 8 // 6]]), np.full(len(text), layer.end[place[(upto * 8 - 1) // 6]]))
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Runs as wholes; those that are not text as wholes, and runs joined over single line breaks, in every reading."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a = m.start()
-        packed = _inflated(raw)
-        while packed is not None and (more := _inflated(packed)) is not None and more != packed:
-            packed = more
-        text = _readable(raw if packed is None else packed)
-        if text is None:
-            continue
-        if packed is None:  # byte i lies in the characters from 8i // 6 on
-            b = _char_bytes(text)
-            first, last = a + b[:-1] * 8 // 6, a + (b[1:] * 8 - 1) // 6
-        else:
-            first, last = np.full(len(text), a), np.full(len(text), m.end() - 1)
-        yield Layer(text, layer.start[first], layer.end[last])
+        body, a = m[0].rstrip("="), m.start()
+        raw = _decoded(body) if len(body) % 4 != 1 else b""
+        packed = _unpacked(raw)
+        text = _readable(raw if packed is None else packed[0])
+        if text is not None:
+            if packed is None:  # byte i lies in the characters from 8i // 6 on
+                b = _char_bytes(text)
+                first, last = a + b[:-1] * 8 // 6, a + (b[1:] * 8 - 1) // 6
+            else:
+                first, last = np.full(len(text), a), np.full(len(text), m.end() - 1)
+            yield Layer(text, layer.start[first], layer.end[last])
+        if text is None or (packed is not None and packed[1] < len(raw)):
+            yield from _readings(layer, body, np.arange(a, a + len(body)))
+    for m in WRAPPED.finditer(layer.text):
+        body = m[0].rstrip("=")
+        at = np.array([i for i, c in enumerate(body, m.start()) if c not in "\r\n"])
+        if len(at) >= 16:
+            yield from _readings(layer, body.replace("\r", "").replace("\n", ""), at)
 
 
 def all_finds(text: str) -> tuple[Finds, Finds]:
@@ -180,6 +217,7 @@ def inner_finds(text: str) -> Finds:
 
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _B64 = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+_WRAPPED = _B64 | np.isin(np.arange(256), list(b"\r\n"))
 
 
 def _has_run(inside: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
@@ -217,7 +255,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8).tobytes()
                 raw = data.tobytes()
                 some = _has_run(_HEX[data], offsets, 16)
-                deep = _has_run(_B64[data], offsets, 16)
+                deep = _has_run(_B64[data], offsets, 16) | _has_run(_WRAPPED[data], offsets, 17)
                 signs = [(x.encode(), lower, some) for x in WORDS] + [(b"AKIA", raw, some)] + [(x, raw, deep) for x in (b"%", b"\\u", b"\\x", b"&#")]
                 for w, where, flag in signs:
                     at = where.find(w)
