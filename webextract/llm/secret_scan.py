@@ -37,11 +37,13 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/
 #: In decoded bytes: stretches of UTF-8 that can hold a find, the shortest of which has 16 characters; heads of gzip and zlib.
 READABLE = re.compile(
     rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
-    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}+"
 )
 PACKED = re.compile(b"(?=\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32) + b")")
-#: Bytes that one compressed value may give; more is taken for a bomb and not unwrapped.
-MOST_INFLATED = 16 << 20
+#: Bytes of a compressed value that are held at once; larger values are read in windows of WINDOW new bytes. Windows overlap by
+#: OVERLAP, or by the run of encoded characters at the border, up to MOST_INFLATED.
+MOST_INFLATED, WINDOW, OVERLAP = 16 << 20, 4 << 20, 1 << 16
+ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%&#;\\\r\n"
 
 Span = tuple[int, int]
 Finds = set[tuple[int, int, int]]  # start, kind, end
@@ -125,25 +127,64 @@ def _escapes(s: str) -> list[tuple[str, int, int]] | None:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _inflated(raw: bytes, d) -> bytes | None:
-    """What compressed bytes hold, by a new decompressor ``d``."""
-    if not (raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)):
-        return None
+def _pieces(packed: Iterator[bytes], d) -> Iterator[bytes]:
+    """What compressed pieces hold, by a new decompressor ``d``, in pieces of a bounded size."""
+    for more in packed:
+        while not d.eof:
+            out = d.decompress(more, 1 << 20)
+            more = d.unconsumed_tail
+            if out:
+                yield out
+            if not more and len(out) < 1 << 20:
+                break
+
+
+def _inflated(packed: Iterator[bytes]) -> tuple[bytes | None, bytes, int] | None:
+    """What compressed pieces hold, unless it is more than MOST_INFLATED, its digest, and how many bytes are left of the last
+    piece; None where the pieces are not one whole compressed value."""
+    d, kept, n, digest = zlib.decompressobj(47), [], 0, sha256()
     try:
-        out = d.decompress(raw, MOST_INFLATED)
+        for out in _pieces(packed, d):
+            n += len(out)
+            digest.update(out)
+            kept = [*kept, out] if n <= MOST_INFLATED else []
     except zlib.error:
         return None
-    return out if d.eof else None
+    return (b"".join(kept) if n <= MOST_INFLATED else None, digest.digest(), len(d.unused_data)) if d.eof else None
 
 
-def _unpacked(raw: bytes) -> tuple[bytes, int] | None:
-    """What compressed bytes hold, through further compression, and how many of the bytes that took."""
-    d = zlib.decompressobj(47)
-    if (packed := _inflated(raw, d)) is None:
+def _unpacked(raw: bytes) -> tuple[Iterator[str], int] | None:
+    """The texts in compressed bytes, through further compression, and how many of the bytes that took."""
+    make, whole, used, seen = lambda: iter((raw,)), None, 0, set()
+    while (got := _inflated(make())) is not None:
+        whole = got[0]
+        used = used or len(raw) - got[2]
+        if whole is not None:
+            make = lambda x=whole: iter((x,))
+        else:
+            make = lambda f=make: _pieces(f(), zlib.decompressobj(47))
+        if got[1] in seen:
+            break
+        seen.add(got[1])
+    if not used:
         return None
-    while (more := _inflated(packed, zlib.decompressobj(47))) is not None and more != packed:
-        packed = more
-    return packed, len(raw) - len(d.unused_data)
+    if whole is None:
+        return _windows(make()), used
+    return iter(() if (text := _readable(whole)) is None else (text,)), used
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """A long value as texts that overlap."""
+    held, fresh = bytearray(), 0
+    for x in pieces:
+        held += x
+        fresh += len(x)
+        if fresh >= WINDOW:
+            yield held.decode("utf-8", "replace")
+            del held[: max(0, len(held) - MOST_INFLATED, min(len(held) - OVERLAP, len(held.rstrip(ENCODED))))]
+            fresh = 0
+    if fresh:
+        yield held.decode("utf-8", "replace")
 
 
 def _decoded(body: str) -> bytes:
@@ -152,6 +193,11 @@ def _decoded(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
+def _all_at(text: str, start: int, end: int) -> Layer:
+    """A layer all of whose characters stand for one span."""
+    return Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
+
+
 def _readings(layer: Layer, body: str, at: np.ndarray) -> Iterator[Layer]:
     """What base64 characters, at the places ``at``, hold anywhere: in each alignment, the readable stretches and what inflates."""
     for skip in range(4):
@@ -161,11 +207,11 @@ def _readings(layer: Layer, body: str, at: np.ndarray) -> Iterator[Layer]:
             b = m.start() + _char_bytes(text)
             yield Layer(text, layer.start[place[b[:-1] * 8 // 6]], layer.end[place[(b[1:] * 8 - 1) // 6]])
         for m in PACKED.finditer(raw):
-            if (a := m.start()) < upto or (got := _unpacked(raw[a:])) is None:
+            if (a := m.start()) < upto or (got := _unpacked(memoryview(raw)[a:])) is None:
                 continue
             upto = a + got[1]
-            if (text := _readable(got[0])) is not None:
-                yield Layer(text, np.full(len(text), layer.start[place[a * 8 // 6]]), np.full(len(text), layer.end[place[(upto * 8 - 1) // 6]]))
+            for text in got[0]:
+                yield _all_at(text, layer.start[place[a * 8 // 6]], layer.end[place[(upto * 8 - 1) // 6]])
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -174,15 +220,14 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         body, a = m[0].rstrip("="), m.start()
         raw = _decoded(body) if len(body) % 4 != 1 else b""
         packed = _unpacked(raw)
-        text = _readable(raw if packed is None else packed[0])
-        if text is not None:
-            if packed is None:  # byte i lies in the characters from 8i // 6 on
-                b = _char_bytes(text)
-                first, last = a + b[:-1] * 8 // 6, a + (b[1:] * 8 - 1) // 6
-            else:
-                first, last = np.full(len(text), a), np.full(len(text), m.end() - 1)
-            yield Layer(text, layer.start[first], layer.end[last])
-        if text is None or (packed is not None and packed[1] < len(raw)):
+        if packed is not None:
+            for text in packed[0]:
+                yield _all_at(text, layer.start[a], layer.end[m.end() - 1])
+        elif (text := _readable(raw)) is not None:  # byte i lies in the characters from 8i // 6 on
+            b = _char_bytes(text)
+            yield Layer(text, layer.start[a + b[:-1] * 8 // 6], layer.end[a + (b[1:] * 8 - 1) // 6])
+            continue
+        if packed is None or packed[1] < len(raw):
             yield from _readings(layer, body, np.arange(a, a + len(body)))
     for m in WRAPPED.finditer(layer.text):
         body = m[0].rstrip("=")
@@ -200,21 +245,29 @@ def all_finds(text: str) -> tuple[Finds, Finds]:
 def inner_finds(text: str) -> Finds:
     """Finds of the layers under the text."""
     n = len(text)
-    work, seen, out = [Layer(text, np.arange(n), np.arange(1, n + 1))], set(), set()
+    work, seen, out = [iter((Layer(text, np.arange(n), np.arange(1, n + 1)),))], set(), set()
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if not layer.text or (key := layer.key()) in seen:
             continue
         if seen:
             out |= {(int(layer.start[a]), k, int(layer.end[b - 1])) for a, k, b in base_finds(layer.text)}
         seen.add(key)
-        for pattern, decode in ((PERCENT, _percent), (ESCAPES, _escapes)):
-            if (more := _replaced(layer, pattern, decode)) is not None:
-                work.append(more)
-        work += _base64(layer)
+        work.append(_under(layer))
     return out
 
 
+def _under(layer: Layer) -> Iterator[Layer]:
+    """The layers that one unwraps to."""
+    for pattern, decode in ((PERCENT, _percent), (ESCAPES, _escapes)):
+        if (more := _replaced(layer, pattern, decode)) is not None:
+            yield more
+    yield from _base64(layer)
+
+
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _B64 = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 _WRAPPED = _B64 | np.isin(np.arange(256), list(b"\r\n"))
