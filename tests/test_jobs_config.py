@@ -32,6 +32,18 @@ def test_jobs(spark):
     assert [r.url for r in jobs.requeued(f).collect()] == ["a"]
 
 
+def test_ordered_seeds(spark):
+    urls = [f"http://h/{i * 7919 % 5000}" for i in range(6000)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = jobs.ordered_seeds(spark.createDataFrame([(u,) for u in [*urls, None]], "url string").repartition(5))
+        assert [tuple(r) for r in got.orderBy("seq").collect()] == [(u, i) for i, u in enumerate(sorted(set(urls)), 1)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString() and jobs.ordered_seeds(got.limit(0)).collect() == []
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "p.html").write_text("<title>T</title><article><p>" + "Words of text. " * 60 + "</p></article>")
     assert main(["extract", "--file", f"{tmp_path}/p.html", "-o", "text"]) == 0

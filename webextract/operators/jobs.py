@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..session import staged
 
 #: A job's states, in the order in which it goes through them.
 STATES = ("queued", "running", "completed", "failed")
@@ -52,5 +53,13 @@ def retry_plan(status: Column, attempt: Column, host_delay: Column) -> tuple[Col
 
 
 def ordered_seeds(seeds: DataFrame) -> DataFrame:
-    """(url) -> (url, seq): sorted, each once. Seeds are a crawl's few starts."""
-    return seeds.filter(F.col("url").isNotNull()).distinct().withColumn("seq", F.row_number().over(W.orderBy("url")))
+    """(url) -> (url, seq): sorted, each once. A range sort; each partition's rows are numbered from where the ones before end."""
+    made = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    own = seeds.filter(F.col("url").isNotNull()).distinct().orderBy("url").select("url", made.alias("id"))
+    own = staged(own, "seeds").select("url", F.shiftright("id", 33).alias("part"), (F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("at"))
+    offsets, n = [], 0
+    for part, rows in sorted(own.groupBy("part").count().collect()):
+        offsets.append((part, n))
+        n += rows
+    before = seeds.sparkSession.createDataFrame(offsets, "part long, before long")
+    return own.join(F.broadcast(before), "part").select("url", (F.col("before") + F.col("at")).cast("int").alias("seq"))
