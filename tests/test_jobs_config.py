@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__
+from webextract import queries
 from webextract.__main__ import main
 from webextract.operators import jobs
 from webextract.plans import config
@@ -32,6 +33,13 @@ def test_jobs(spark):
     assert [r.url for r in jobs.requeued(f).collect()] == ["a"]
 
 
+def test_can_start_query_uses_the_operator(spark, monkeypatch):
+    calls, own = [], jobs.can_start
+    monkeypatch.setattr(jobs, "can_start", lambda *a: calls.append(a[1]) or own(*a))
+    row = queries.QUERIES["a18_can_start"](spark, "/root/testdata/sf0.001").first()
+    assert calls == [3] and row.can_start == (row.running < 3)
+
+
 def test_ordered_seeds(spark):
     urls = [f"http://h/{i * 7919 % 5000}" for i in range(6000)]
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")

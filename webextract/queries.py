@@ -532,8 +532,8 @@ def u22_canonical(spark, sf):
 
 @query("SELECT count(*) AS running, count(*) < 3 AS can_start FROM (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 50)")
 def a18_can_start(spark, sf):
-    running = table(spark, sf, "events").filter("event_id < 50").agg(F.count_if(F.col("event_type") == "error").alias("running"))
-    return running.withColumn("can_start", F.col("running") < 3)
+    states = table(spark, sf, "events").filter("event_id < 50").select(F.when(F.col("event_type") == "error", "running").otherwise("queued").alias("status"))
+    return jobs.can_start(states, 3)
 
 
 # --- Jobs, caches, rules ---------------------------------------------------------------------------------------------
