@@ -59,6 +59,12 @@ def test_sitemaps(spark):
     assert sorted(map(tuple, got.collect())) == [("https://r/i.xml", "https://r/1"), ("i.xml", "https://a/1")]
 
 
+def test_deep_sitemaps(spark):
+    docs = [(f"{i}.xml", f"<sitemapindex><loc>{i + 1}.xml</loc><loc>0.xml</loc></sitemapindex>", 200) for i in range(22)] + [("22.xml", "<urlset><loc>https://a/1</loc></urlset>", 200)]
+    got = sitemaps.load(spark.createDataFrame([("0.xml",)], "source string"), spark.createDataFrame(docs, "source string, xml string, status int"))
+    assert [tuple(r) for r in got.collect()] == [("0.xml", "https://a/1")]
+
+
 def test_breadth_first(spark):
     edges = [("a", 0, "b"), ("a", 1, "c"), ("b", 0, "d"), ("c", 0, "d"), ("c", 1, "a"), ("d", 0, "e"), ("e", 0, "f"), ("b", 1, "x")]
     url = lambda n: f"http://h/{n}"

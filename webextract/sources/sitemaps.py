@@ -43,24 +43,22 @@ def is_local(source: Column) -> Column:
     return ~source.rlike("(?i)^https?://") & (source.contains("/") | source.endswith(".xml"))
 
 
-def load(sources: DataFrame, documents: DataFrame, most_levels: int = 20) -> DataFrame:
+def load(sources: DataFrame, documents: DataFrame) -> DataFrame:
     """(source) and known documents (source, xml, status) -> (source, url) of all sitemaps that are reached.
 
-    Indexes are followed level by level with a join per level; a document is read once for each start. Local indexes lead to
-    local documents only. Documents that are missing or of status 400 and above give nothing.
+    Indexes are followed level by level with a join per level, until a level is empty; a document is read once for each start,
+    which also ends cycles. Local indexes lead to local documents only. Documents that are missing or of status 400 and above give nothing.
     """
     good = documents.filter(F.coalesce(F.col("status"), F.lit(200)) < 400).select(F.col("source").alias("at"), is_index("xml").alias("index"), locations("xml").alias("urls"))
     good = staged(good, "sitemaps")
     level = sources.select("source", F.col("source").alias("at")).distinct()
-    seen, found = level, None
-    for _ in range(most_levels):
+    seen = level
+    while True:
         here = level.join(good, "at")
-        urls = here.filter(~F.col("index")).select("source", F.explode("urls").alias("url"))
-        found = urls if found is None else found.unionByName(urls)
         following = here.filter("index").select("source", F.col("at").alias("parent"), F.explode("urls").alias("at"))
         following = following.filter(~is_local(F.col("parent")) | is_local(F.col("at"))).select("source", "at").distinct()
         level = staged(following.join(seen, ["source", "at"], "left_anti"), "sitemaps")
         if level.isEmpty():
             break
         seen = staged(seen.unionByName(level), "sitemaps")
-    return found
+    return seen.join(good, "at").filter(~F.col("index")).select("source", F.explode("urls").alias("url"))
