@@ -72,6 +72,18 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     assert decontamination.contamination(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_blocks_give_the_same_rows(spark, monkeypatch):
+    odd = [*ODD, *ODD[3:5], (None, "x a b c d e f"), (None, "x a b c d e f"), (None, "clean"), (8, "clean words"), (6, "nothing of it")]
+    items = [*ITEMS, (10, "z a b c d e"), (10, "b c d e f x"), ("é", "a b c d")]
+    docs = spark.createDataFrame([(d, t, "n") for d, t in odd], "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(i if i is None else str(i), t) for i, t in items], "item_id string, text string")
+    run = lambda f: sorted(map(repr, f(docs, bench, width=4).collect()))
+    want = [run(f) for f in (decontamination.contamination, decontamination.decontaminated)]
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 15)
+    assert [run(f) for f in (decontamination.contamination, decontamination.decontaminated)] == want
+    assert len(want[0]) == len(odd) > len(want[1])
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "z a b c d e f y c d e q")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "p a b c d e f g")], "item_id long, text string")

@@ -42,6 +42,7 @@ class BenchmarkIndex:
         self.at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.length = sizes[self.item]
         self.names = np.array(item_ids, object)
+        self.rank = np.unique(np.array([x.encode() for x in item_ids], object), return_inverse=True)[1] if item_ids else np.zeros(0, np.int64)
         self.shortest = int(self.length.min()) if len(self.length) else width
         self.low = self._keys(ids, w.first[self.item] + self.at, self.length)
         raw = np.frombuffer(self.low.tobytes(), np.uint8).reshape(-1, 4 * width).copy()
@@ -89,7 +90,10 @@ class BenchmarkIndex:
         follows[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (doc_at[1:] - item_at[1:] == doc_at[:-1] - item_at[:-1]) & (doc_at[1:] == doc_at[:-1] + 1)
         first = np.flatnonzero(~follows)
         last = np.append(first[1:], len(doc)) - 1
-        return doc[first], item[first], item_at[first], doc_at[first], doc_at[last] - doc_at[first] + size[last]
+        doc, item, item_at, doc_at, size = doc[first], item[first], item_at[first], doc_at[first], doc_at[last] - doc_at[first] + size[last]
+        # Items of one id in one order, so that matches do not tell how the items were cut into blocks.
+        order = np.lexsort((size, doc_at, doc_at - item_at, self.rank[item], doc))
+        return doc[order], item[order], item_at[order], doc_at[order], size[order]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, list[tuple]]]]]:
         """For each shard: (first row, end row, words of each row, [(row, matches)] of the rows that have any)."""
@@ -129,14 +133,28 @@ def _index(block: DataFrame, width: int) -> BenchmarkIndex:
     return BenchmarkIndex([r[0] for r in rows], [r[1] for r in rows], width)
 
 
+#: Two hashes of a text, by which blocks' rows are put together.
+HASHES = {"__text_hash_a": lambda text: F.xxhash64(text), "__text_hash_b": lambda text: F.xxhash64(F.lit("b"), text)}
+
+
+def _hashed(df: DataFrame, text_col: str) -> DataFrame:
+    return df.withColumns({k: f(F.col(text_col)) for k, f in HASHES.items()})
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (ids as strings, sorted), matches, contaminated.
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased; null and empty texts have none.
     Items of null id or text, or without words, match nothing; items of fewer than ``width`` words match as wholes. Rows of
     ``benchmark`` that repeat count once. With a benchmark of more than one block, rows of ``docs`` alike in id and text
-    give one row. Other columns are not read.
+    (by 128 bits of hashes) are judged together and given back as often as they came. Other columns are not read.
     """
+    out = _judged(docs, benchmark_blocks(benchmark, item_col, item_text_col), width, id_col, text_col)
+    return out.drop(*HASHES)
+
+
+def _judged(docs: DataFrame, blocks: list[DataFrame], width: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``contamination``, with the text's hashes where there is more than one block."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def scanned(index: BenchmarkIndex, hashed: bool) -> DataFrame:
@@ -151,26 +169,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
                             batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array([covered(m) for m in matches], pa.int64()),
                             pa.array([sorted({x[0] for x in m}) for m in matches], pa.list_(pa.string())),
                             pa.array([[dict(zip(("item_id", "item_at", "doc_at", "length"), x, strict=True)) for x in m] for m in matches], pa.list_(_MATCH_TYPE)),
-                            *([batch.column(2).slice(a, b - a)] if hashed else []),
+                            *(batch.column(2 + k).slice(a, b - a) for k in range(len(HASHES) if hashed else 0)),
                         ],
-                        names=["doc_id", "n_words", "n_hit", "items", "matches", *(["h"] if hashed else [])],
+                        names=["doc_id", "n_words", "n_hit", "items", "matches", *(HASHES if hashed else [])],
                     )
 
-        return rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, SCHEMA + ", h long") if hashed else rows.mapInArrow(run, SCHEMA)
+        return _hashed(rows, "text").mapInArrow(run, SCHEMA + "".join(f", {k} long" for k in HASHES)) if hashed else rows.mapInArrow(run, SCHEMA)
 
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col)
     if len(blocks) == 1:
         out = scanned(_index(blocks[0], width), False)
     else:
-        parts = [staged(scanned(_index(b, width), True), "matches") for b in blocks]
+        parts = [staged(scanned(_index(b, width), True).withColumn("block", F.lit(i)), "matches") for i, b in enumerate(blocks)]
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        merged = every.groupBy("doc_id", "h").agg(
-            F.max("n_words").alias("n_words"),
+        once = every.groupBy("doc_id", *HASHES, "block").agg(
+            F.count("*").alias("rows"), F.max("n_words").alias("n_words"), F.first("items").alias("items"), F.first("matches").alias("matches")
+        )
+        merged = once.groupBy("doc_id", *HASHES).agg(
+            F.max("rows").alias("rows"), F.max("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"),
-        )
+            F.flatten(F.collect_list("matches")).alias("matches"),
+        )
+        key = lambda m: F.struct(m["item_id"].alias("i"), (m["doc_at"] - m["item_at"]).alias("d"), m["doc_at"].alias("a"), m["length"].alias("n"), m.alias("m"))
+        merged = merged.withColumn("matches", F.transform(F.array_sort(F.transform("matches", key)), lambda k: k["m"]))
         spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_at"].alias("a"), (m["doc_at"] + m["length"]).alias("b"))))
         fold = F.aggregate(
             spans,
@@ -178,16 +200,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
             lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto")),
             lambda s: s["n"].cast("long"),
         )
-        out = merged.select("doc_id", "n_words", fold.alias("n_hit"), "items", "matches")
+        out = merged.select("doc_id", "n_words", fold.alias("n_hit"), "items", "matches", "rows", *HASHES)
+        out = out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the contaminated documents."""
+    """``docs``, all columns, without the contaminated rows; each row is judged by its own text."""
     blocks = benchmark_blocks(benchmark, item_col, item_text_col)
     if len(blocks) > 1:
-        bad = contamination(docs, benchmark, width=width, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
-        return docs.join(bad.filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        bad = _judged(texts, blocks, width, "doc_id", "text").filter("contaminated").select(*HASHES).distinct()
+        return _hashed(docs, text_col).join(bad, list(HASHES), "left_anti").select(*docs.columns)
     index, column = _index(blocks[0], width), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
