@@ -181,6 +181,14 @@ def test_secret_odd_rows(spark):
     assert secret_scan.scan_secrets(df.limit(0)).collect() == []
 
 
+def test_toxicity_calibrates_few_rows(spark, small, monkeypatch):
+    models, own = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: models.append(own(*a, **k)) or models[-1])
+    rows = queries.QUERIES["op2_toxicity"](spark, small).collect()
+    (model,) = models
+    assert model.trees is not None and model.knots is not None and len(rows) and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

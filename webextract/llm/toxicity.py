@@ -197,6 +197,10 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([e for lv in levels for e in (lv[2], lv[3])]), np.array([lv[0] for lv in levels for _ in (0, 1)])
 
 
+#: Calibration rows below which rows of the trees' part are used as well, out of fold.
+FEW_ROWS = 200
+
+
 @dataclass
 class Model:
     """Lexicon, trees and calibration; without trees every score is ``rate``."""
@@ -271,7 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, t
     """A model from a bounded sample of labelled rows outside the held-out fifth.
 
     Labels of null id or value are left out; of repeated ones the highest counts. With no labels, or only one kind, the
-    model gives the label's rate.
+    model gives the label's rate. Scores are calibrated on the third part of the sample; where that has fewer than FEW_ROWS
+    rows, also on the second part, by trees of the other four fifths of it. Only where these rows are of one kind are scores
+    not calibrated.
     """
     sample = labelled_sample(docs, labels, ~held_out(F.col("doc_id")), sample_rows, text_col)
     lexicon = learn_lexicon(sample)
@@ -287,8 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, t
         return Model(lexicon, rate=float(y.mean()) if len(y) else 0.0)
     trees = Trees.fit(x[part == 1], y[part == 1])
     model = Model(lexicon, trees)
-    if (part == 2).sum() >= 200 and y[part == 2].min() < y[part == 2].max():
-        model.knots, model.levels = isotonic(trees.margins(x[part == 2]), y[part == 2])
+    margins, known = trees.margins(x[part == 2]), y[part == 2]
+    if len(known) < FEW_ROWS:
+        own, kind = x[part == 1], y[part == 1]
+        fold = np.arange(len(kind)) % 5  # rows are sorted by label, so folds have their share of both
+        for i in range(5):
+            if len(set(kind[fold != i].tolist())) == 2:
+                margins = np.append(margins, Trees.fit(own[fold != i], kind[fold != i]).margins(own[fold == i]))
+                known = np.append(known, kind[fold == i])
+    if len(known) and known.min() < known.max():
+        model.knots, model.levels = isotonic(margins, known)
     return model
 
 
