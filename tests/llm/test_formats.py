@@ -34,6 +34,23 @@ def test_parts_encode_like_whole_texts(given):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_parts_of_one_polynomial(tokenizer, monkeypatch):
+    """Parts that a polynomial modulo a power of two does not tell apart have their own ids, and so have parts of one hash."""
+    u = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    v = u.translate(str.maketrans("ab", "ba"))
+
+    def check():
+        e = PartEncoder(tokenizer)
+        for given in ([u], [v], [u, v, "one two", "two one"], ["one", "six"]):
+            ids, sizes = e.encode(*words.text_bytes(pa.array(given)))
+            assert ids.tolist() == [i for x in given for i in tokenizer.encode(x, add_special_tokens=False).ids]
+
+    check()
+    own = words.byte_hashes
+    monkeypatch.setattr("webextract.llm.encoding.byte_hashes", lambda d, a, b, seed=0: own(d, a, b, seed) % np.uint64(3) if seed == 3 else own(d, a, b, seed))
+    check()
+
+
 def test_part_store_starts_anew(tokenizer, monkeypatch):
     monkeypatch.setattr("webextract.llm.encoding.MEMO_PARTS", 3)
     e = PartEncoder(tokenizer)

@@ -2,15 +2,16 @@ r"""Whole texts to token ids, encoding each distinct piece of text once.
 
 A byte-level pre-tokenizer of the usual pattern never puts a non-space and the white space after it into one piece, so a
 text may be cut before such white space and the parts encoded by themselves with the same result. Parts recur; their ids
-are kept in sorted arrays by a 64-bit hash, and only parts not seen before go through the tokenizer. Cuts are made where
-they are certain: before a space, tab or line break that follows printable ASCII or a two-byte character above U+00BF.
+are kept in sorted arrays by a 64-bit hash, and only parts not seen before go through the tokenizer. Parts of one hash that
+differ in length or in a second hash are noticed, and their run of texts is encoded plainly. Cuts are made where they are
+certain: before a space, tab or line break that follows printable ASCII or a two-byte character above U+00BF.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .words import _BYTE_BASE, _BYTE_VALUES, _sums, mix
+from .words import byte_hashes
 
 #: Parts kept by a worker; beyond it the store starts anew. An entry takes about 40 bytes.
 MEMO_PARTS = 1_000_000
@@ -31,7 +32,7 @@ class PartEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.marks, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _token_bytes(self) -> np.ndarray:
@@ -70,7 +71,7 @@ class PartEncoder:
             ids[i] = self._ids(parts[i].decode())
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes], joinable: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, marks: np.ndarray, parts: list[bytes], joinable: np.ndarray) -> None:
         if len(self.keys) + len(keys) > MEMO_PARTS:
             raise OverflowError
         flat, sizes = self._encode_parts(parts, joinable)
@@ -80,7 +81,8 @@ class PartEncoder:
         at = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.sizes = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.sizes, where, sizes)
+        self.keys, self.marks = np.insert(self.keys, where, keys), np.insert(self.marks, where, marks)
+        self.at, self.sizes = np.insert(self.at, where, at), np.insert(self.sizes, where, sizes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
@@ -93,21 +95,26 @@ class PartEncoder:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        sums, down = _sums(_BYTE_VALUES[data], _BYTE_BASE)
-        hashes = mix((sums[ends] - sums[starts]) * down[starts], 3)
-        keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, of = np.unique(byte_hashes(data, starts, ends, 3), return_index=True, return_inverse=True)
+        every = self._marks(data, starts, ends)
+        marks = every[first]
+        if (marks[of] != every).any():
+            return self._plainly(data, offsets)
         for again in (False, True):
             at = np.searchsorted(self.keys, keys)
             new = np.ones(len(keys), bool)
             if len(self.keys):
-                new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+                near = np.minimum(at, len(self.keys) - 1)
+                new = self.keys[near] != keys
+                if (self.marks[near] != marks)[~new].any():
+                    return self._plainly(data, offsets)
             if not new.any():
                 break
             raw, low, high = data.tobytes(), starts[first[new]], ends[first[new]]
             parts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             joinable = _SPACE[data[low]] & (_PRINT[data[high - 1]] | (_TAIL[data[high - 1]] & _LEAD[data[np.maximum(high - 2, 0)]]) & (high - low > 1))
             try:
-                self._learn(keys[new], parts, joinable)
+                self._learn(keys[new], marks[new], parts, joinable)
             except OverflowError:
                 if again or len(keys) > MEMO_PARTS:
                     return self._plainly(data, offsets)
@@ -123,6 +130,11 @@ class PartEncoder:
         upto = np.concatenate([[0], after])
         return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
+    @staticmethod
+    def _marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tell parts of one hash apart: another hash, and the length in its low bits."""
+        return (byte_hashes(data, starts, ends, 17) << np.uint64(16)) | (ends - starts).astype(np.uint64) & np.uint64(0xFFFF)
+
     def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids = [self.tokenizer.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)

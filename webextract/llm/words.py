@@ -1,7 +1,7 @@
 """Words of many texts at once: numpy over the UTF-8 bytes of an Arrow column.
 
-A word's hash is a polynomial modulo 2**64 over random byte values, taken from a running sum, so its cost does not
-depend on the number or length of the words. Null texts count as empty.
+A word's hash takes eight bytes at a time, each scrambled into the last by a finaliser that is not linear, so no words are
+of one hash by their structure, as they would be for a polynomial modulo a power of two. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are worked on in runs of about this many bytes; a longer text forms a run of its own.
 RUN_BYTES = 500_000
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
 _MASK = (1 << 64) - 1
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -28,21 +33,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(256, dtype=np.uint64), 7)
-
-
 @dataclass(frozen=True)
 class Alphabet:
-    """Which bytes belong to words, and what each stands for."""
+    """Which bytes belong to words, and what each stands for (none: itself)."""
 
     inside: np.ndarray
-    value: np.ndarray
+    to: np.ndarray | None
 
 
 def _alphabet(separators: set[int], lower: bool) -> Alphabet:
     inside = np.array([b not in separators for b in range(256)])
-    to = np.array([b + 32 if lower and 65 <= b <= 90 else b for b in range(256)])
-    return Alphabet(inside, np.where(inside, _BYTE_VALUES[to], np.uint64(0)))
+    return Alphabet(inside, np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8) if lower else None)
 
 
 _SPACE = {0x20, *range(0x09, 0x0E)}
@@ -53,30 +54,22 @@ SPACED_LOWER = _alphabet(_SPACE, lower=True)
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 ALNUM_LOWER = _alphabet({*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}, lower=True)
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, RUN_BYTES + 1)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        have = (made[0], made[1])
-        if size <= 8 * RUN_BYTES:
-            _tables[base] = have
-    return have
-
-
-def _sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return total, down
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64), seed + 1)
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    whole = np.arange(len(starts)) if int(size.max()) <= LONG_WORD else np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, int(size[whole].max(initial=0)), 8):
+        live = whole if at == 0 else whole[size[whole] > at]
+        chunk = eight[starts[live] + at] & _FIRST_BYTES[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ chunk, seed + 2)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,19 +103,18 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # of each text, and one more
-    sums: np.ndarray
-    down: np.ndarray
+    plain: np.ndarray  # the bytes that count, so after lower-casing
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return mix((self.sums[self.ends] - self.sums[self.starts]) * self.down[self.starts])
+        return byte_hashes(self.plain, self.starts, self.ends)
 
     def prefix_hashes(self, length: int) -> np.ndarray:
         """Hashes of the words' first ``length`` bytes."""
-        return mix((self.sums[np.minimum(self.ends, self.starts + length)] - self.sums[self.starts]) * self.down[self.starts], length)
+        return byte_hashes(self.plain, self.starts, np.minimum(self.ends, self.starts + length), length)
 
     def text_of(self) -> np.ndarray:
         """The text each word belongs to."""
@@ -141,8 +133,7 @@ def split(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
     after[edge[edge > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    sums, down = _sums(alphabet.value[data], _BYTE_BASE)
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), sums, down)
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), data if alphabet.to is None else alphabet.to[data])
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +142,22 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int, short: bool = Fal
     With ``short``, a text of fewer words, but not none, has one window: all of them.
     """
     n = len(hashes)
-    ends = np.repeat(first[1:], np.diff(first))
-    to = np.arange(n) + width
-    good = to <= ends
+    good = np.arange(n) + width <= np.repeat(first[1:], np.diff(first))
+    # Of 1, 2, 4, ... words; two of the last, which may overlap, make up the width.
+    out, span = hashes, 1
+    while span < width:
+        step = min(span, width - span)
+        out = mix(out * _ODD + np.concatenate([out[step:], np.zeros(min(step, n), np.uint64)]), width)
+        span += step
     if short:
         counts = np.diff(first)
-        good[first[:-1][(counts > 0) & (counts < width)]] = True
-    to = np.minimum(to, ends)
-    sums, down = _sums(hashes, _WORD_BASE)
-    at = np.arange(n)
-    return mix((sums[to] - sums[at]) * down[at], width), good
+        which = np.flatnonzero((counts > 0) & (counts < width))
+        at, counts = first[which], counts[which]
+        few = mix(counts.astype(np.uint64), width + 1)
+        for k in range(width - 1):
+            live = np.flatnonzero(counts > k)
+            few[live] = mix(few[live] * _ODD + hashes[at[live] + k], width + 2)
+        out = out.copy() if out is hashes else out
+        out[at] = few
+        good[at] = True
+    return out, good
