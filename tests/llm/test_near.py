@@ -87,7 +87,8 @@ def test_mixed_groups(spark, monkeypatch):
     want = brute_groups(rows)
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, rep int")
     assert got(jaccard_join.near_duplicates(df)) == want
-    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)
+    for name, value in (("SMALL_GROUP", 3), ("DEALT", 2), ("BLOCK_BYTES", 4000)):
+        monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(jaccard_join, "IDS_TO_BROADCAST", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", (3, 5))
     monkeypatch.setattr(jaccard_join, "PARTNERS", 4)
@@ -99,6 +100,33 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, component_id string")
     assert got(jaccard_join.near_duplicates(df)) == brute_groups(rows)
     assert jaccard_join.near_duplicates(df.limit(0)).collect() == []
+    assert jaccard_join.one_of_each(df.limit(0)).collect() == []
+
+
+def test_two_texts_of_one_id(spark):
+    """Each text of an id is linked by itself, whichever comes first; rows of no id link others."""
+    rng = random.Random(3)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(3))
+    near = lambda w, n: " ".join(w[n:])
+    rows = [(5, near(a, 0)), (5, near(b, 0)), (9, near(b, 3)), (12, near(c, 0)), (None, near(c, 14)), (13, near(c, 28)), (None, "x y"), (None, "x y")]
+    want = brute_groups(rows)
+    assert (9, 93, 5) in want and (13, 68, 12) in want
+    for order in (rows, rows[::-1]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+            assert got(jaccard_join.near_duplicates(df)) == want
+            kept = jaccard_join.one_of_each(df.selectExpr("doc_id", "text", "map('a', 1) AS near_key", "1 AS id", "2 AS h1")).collect()
+            assert sorted((r.doc_id for r in kept), key=str) == [12, 5, 5, None]
+
+
+def test_words_of_one_polynomial(spark):
+    """Words that a polynomial modulo a power of two does not tell apart (Thue-Morse) are told apart."""
+    u = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    v = u.translate(str.maketrans("ab", "ba"))
+    h = words.split(*words.text_bytes(pa.array([f"{u} {v}"])), words.SPACED).hashes()
+    assert h[0] != h[1]
+    rows = [(1, " ".join([u] + ["x"] * 4)), (2, " ".join([v] + ["x"] * 4))]
+    assert got(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 1, 1), (2, 1, 2)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -114,10 +142,19 @@ def test_linked_sets_share_a_key(seed, n):
     a, b = map(shingles, texts)
     s = jaccard_join.Sets(*words.text_bytes(pa.array(texts)))
     assert s.n.tolist() == [len(a), len(b)]
-    of, key, _ = s.keys()
-    if 100 * len(a & b) >= 75 * len(a | b):
-        assert set(key[of == 0].tolist()) & set(key[of == 1].tolist())
-    assert jaccard_join.hamming(*s.sketches()) <= len(a ^ b)
+    of, key, spare = s.keys()
+    if 100 * len(a & b) >= 75 * len(a | b):  # whatever the order of keys, the first of them have one in common
+        order = rng.permutation(1 << 16)
+        for bit in (0, 1):
+            first = []
+            for i in (0, 1):
+                own = sorted(key[(of == i) & (key & np.uint64(1) == bit)].tolist(), key=lambda k: (order[k & 0xFFFF], k))
+                first.append(set(own[: max(0, len(own) - max(0, int(spare[bit][i])))]))
+            if first[0] & first[1]:
+                break
+        else:
+            raise AssertionError
+    assert jaccard_join.hamming(*map(jaccard_join.sketch, s.each())) <= len(a ^ b)
 
 
 def test_components(spark):
