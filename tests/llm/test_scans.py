@@ -4,15 +4,17 @@ import gzip
 import re
 import zlib
 from hashlib import sha256
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webextract.llm import decontamination, queries, secret_scan, toxicity, url_filters
+from webextract.llm import words as words_module
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -66,7 +68,9 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     assert kept == sorted(r[0] for r in want if not r[5])
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 15)
     assert sorted(digest(decontamination.contamination(docs, bench, width=4)), key=str) == want
-    assert sorted(r.doc_id for r in decontamination.decontaminated(docs, bench, width=4).filter("doc_id != 6").collect()) == [i for i in kept if i != 6]
+    monkeypatch.setattr(decontamination, "SHARD_SUFFIXES", 3)
+    assert sorted(digest(decontamination.contamination(docs, bench, width=4)), key=str) == want
+    assert sorted(r.doc_id for r in decontamination.decontaminated(docs, bench, width=4).collect()) == kept
     monkeypatch.undo()
     assert digest(decontamination.contamination(docs, bench.limit(0)))[2][2] == 0
     assert decontamination.contamination(docs.limit(0), bench).collect() == []
@@ -84,6 +88,16 @@ def test_decontamination_blocks_give_the_same_rows(spark, monkeypatch):
     assert len(want[0]) == len(odd) > len(want[1])
 
 
+def test_decontamination_tells_words_apart(spark):
+    """Words that a polynomial modulo a power of two does not tell apart are not taken for each other."""
+    u = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    v = u.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, " ".join([u] * 13)), (2, " ".join([v] * 13))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join([v] * 13))], "item_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {1: 0, 2: 13}
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "z a b c d e f y c d e q")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "p a b c d e f g")], "item_id long, text string")
@@ -144,6 +158,64 @@ def test_wrapped_and_glued_layers(spark, end):
     assert (a, b) == (4, 4 + -(-len(secret) * 8 // 6))
 
 
+def test_members_and_binary_values():
+    """A gzip value of several members is one value, and what is not text in a compressed value hides no secret."""
+    secret = b"password=hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    noise = bytes(range(256)) * 40
+    members = gzip.compress(b"some words " * 9) + gzip.compress(b"x password=hun") + gzip.compress(b"ter2hunter2 y")
+    for raw in (members, gzip.compress(members), gzip.compress(noise + b" " + secret + b" " + noise), members + b"\x1f\x8b\x08junk"):
+        text = f"é {b64(raw)} x"
+        base, every = secret_scan.all_finds(text)
+        assert any(k == 0 and a >= 2 for a, k, b in every - base)
+
+
+def plain_layers(text):
+    """Texts under a text, by the rules as they are stated, without places: a fixpoint."""
+    todo, seen = [text], set()
+    while todo:
+        t = todo.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        todo.append(re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: unquote(m[0]) if "\ufffd" not in unquote(m[0]) else m[0], t))
+        todo.append(re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});", lambda m: chr(int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)), t))
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", t):
+            body = m[0].rstrip("=")
+            if len(body) % 4 == 1:
+                continue
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            for f in (gzip.decompress, zlib.decompress, bytes):
+                try:
+                    todo.append(f(raw).decode())
+                except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+                    pass
+    return seen
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["quote", "unicode", "html", "base64", "gzip", "zlib"]), max_size=4), st.sampled_from(["token: abcDEF123456789", "AKIA" + "Q" * 16, "0123456789abcdef" * 2]), st.text(alphabet="é zy", max_size=9))
+def test_spans_against_plain_unwrapping(layers, secret, around):
+    """Each find of a layer that plain unwrapping reaches comes as a span, and spans read back to the finds."""
+    wrap = {
+        "quote": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "html": lambda t: "".join(f"&#{ord(c)};" for c in t), "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    }
+    inner = f"zz {secret} zz"
+    for name in layers:
+        inner = wrap[name](inner)
+    text = f"{around} {inner} {around}"
+    wanted = {(k, t[a:b]) for t in plain_layers(text) for a, k, b in secret_scan.base_finds(t)}
+    base, every = secret_scan.all_finds(text)
+    assert len(every) >= (1 if layers else 0) + len(base - every) and base <= every
+    assert all(len(around) < a < b <= len(around) + 1 + len(inner) for a, _, b in every)
+    kinds = {k for k, _ in wanted}
+    assert kinds <= {k for _, k, _ in every}
+    if not layers:
+        assert every == base
+
+
 @pytest.mark.parametrize("times", [1, 2])
 def test_large_inflated_layers(times):
     size, window = 17 << 20, 4 << 20
@@ -200,6 +272,62 @@ def test_toxicity_held_out_accuracy(spark):
     assert insulted.filter("predicted = 1").count() >= 0.9 * insulted.count()
 
 
+def plain_features(text, lexicon):
+    """The features of one text, word by word."""
+    keys = {(int(n), int(k)): w for n, k, w in zip(lexicon.lengths, lexicon.keys, lexicon.weights)}
+    words = WORD.findall(lower(text))
+    hashed = lambda w, n: (words_module.byte_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), n)[0],)
+    learnt = [keys.get((0, int(hashed(w.encode(), 0)[0])), 0.0) for w in words]
+    begun = [max(keys.get((n, int(hashed(w.encode()[:n], n)[0])), 0.0) for n in (4, 5, 6)) for w in words]
+    fixed = [w in toxicity.INSULTS for w in words]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    hits = [i for i in range(len(words)) if fixed[i] or learnt[i] > 0 or begun[i] > 0]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hits)
+    raw, n = text.encode(), max(1, len(words))
+    spaced = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    m, share = max(1, len(spaced)), lambda x: sum(b in x for b in raw) / max(1, len(raw))
+    shout = sum(sum(map(letter, w)) > 1 and all(65 <= b <= 90 for b in w if letter(b)) for w in spaced)
+    mixed = sum(any(map(letter, w)) and any(48 <= b <= 57 or b in b"#$%&*@" for b in w) for w in spaced)
+    return [
+        np.log1p(len(words)), np.log1p(sum(fixed)), sum(fixed) / n, np.log1p(sum(learnt)), sum(x > 0 for x in learnt) / n, np.log1p(sum(begun)), sum(x > 0 for x in begun) / n,
+        max([*learnt, *begun, 0.0]), near / max(1, len(hits)), len(you) / n, share(range(65, 91)), shout / m, share(b"!"), share(b"?"), share(b"#$%&*@;:.,-_"), mixed / m, sum(len(w) > 20 for w in spaced) / m,
+    ]
+
+
+def test_features_against_plain_counting(tables):
+    pool = words_module.split(*words_module.text_bytes(pa.array(["you stupid scum verdant marking house"])), words_module.ALNUM_LOWER)
+    keys = np.concatenate([pool.hashes()[3:], pool.prefix_hashes(4)[2:5]])
+    order = np.argsort(keys)
+    lexicon = toxicity.Lexicon(keys[order], np.arange(6)[order] + 2.5, np.array([0, 0, 0, 4, 4, 4])[order])
+    given = ["", "  ", "You STUPID scum! h0use? markings verdant", "é" * 30 + " a1 B2 $x", *tables["documents"].text.dropna().tolist()[:60]]
+    got = toxicity.features(*words_module.text_bytes(pa.array(given)), lexicon)
+    assert np.allclose(got, [plain_features(t, lexicon) for t in given])
+
+
+def test_scores_against_plain_walk():
+    """Margins by walking each tree, and calibration as the nearest rising step function, found by brute force."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3)).round(1)
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(float)
+    trees = toxicity.Trees.fit(x, y, trees=7)
+    for row, margin in zip(x, trees.margins(x)):
+        total = trees.start
+        for feature, at, value in trees.splits:
+            node = 0
+            while node < len(feature):
+                j = feature[node]
+                node = 2 * node + 1 + int(sum(e < row[j] for e in trees.edges[j]) > at[node])
+            total += value[node - len(feature)]
+        assert np.isclose(total, margin)
+    m, v = rng.normal(size=12), rng.integers(0, 2, 12).astype(float)
+    v = v[np.argsort(m)]
+    m = np.sort(m)
+    low = [max(min(v[a : b + 1].mean() for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]  # min-max formula
+    knots, levels = toxicity.isotonic(m, v)
+    assert np.allclose(np.interp(m, knots, levels), low)
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(1, None, 1), (2, "", 0), (3, "idiot " * 60_000, 1), (4, "you idiot scum", 1), (4, "you idiot scum", 1), (None, "x", 0)]
     docs = spark.createDataFrame([(d, t, "s") for d, t, _ in rows], "doc_id long, text string, score string")

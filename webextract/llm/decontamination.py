@@ -1,15 +1,17 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Documents are worked on in shards of bounded size. A shard's words become their numbers in the benchmark's vocabulary
-(others are breaks, as no match can hold them), and its suffixes, up to the length of a window, are sorted. Every suffix
-of the benchmark is looked up by binary search, which gives all places where its window occurs; windows that follow each
-other in item and document are joined to longest verbatim matches. The benchmark goes to the tasks in blocks of a bounded
-size; the documents' texts are not shuffled.
+(others are breaks, as no match can hold them); of its suffixes, those that begin with a stretch of such words as long as
+the shortest window are kept, up to the length of a window, and sorted. Every suffix of the benchmark is looked up in the
+shard by binary search, which gives all places where its window occurs; windows that follow each other in item and document
+are joined to longest verbatim matches. The benchmark goes to the tasks in blocks of a bounded size, whose suffixes each
+worker sorts out once; the documents' texts are not shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .words import ALNUM_LOWER, Words, runs, split, text_bytes
 WINDOW = 13
 #: Bytes of benchmark text that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Kept suffixes and bytes of text that make a shard.
+SHARD_SUFFIXES, SHARD_BYTES = 500_000, 64 << 20
 MATCH = "struct<item_id:string,item_at:int,doc_at:int,length:int>"
 SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, matches array<{MATCH}>"
 _MATCH_TYPE = pa.struct([("item_id", pa.string()), ("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())])
@@ -57,9 +61,9 @@ class BenchmarkIndex:
         rows = np.where(step[None] < length[:, None], ids[np.minimum(at[:, None] + step, len(ids) - 1)], 0)
         return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.width}").ravel()
 
-    def matches(self, w: Words) -> tuple[np.ndarray, ...]:
-        """(document of the run, item, place in the item, place in the document, length) of all longest matches."""
-        none = (np.zeros(0, np.int64),) * 5
+    def suffixes(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words that a suffix begins with, document of the run, place) of the suffixes that may hold an item's window."""
+        none = (np.zeros(0, f"S{4 * self.width}"), np.zeros(0, np.int64), np.zeros(0, np.int64))
         if not len(w.starts) or not len(self.low):
             return none
         hashes = w.hashes()
@@ -73,17 +77,21 @@ class BenchmarkIndex:
         places = np.flatnonzero(ahead >= self.shortest)
         if not len(places):
             return none
-        keys = self._keys(ids, places, np.minimum(ahead[places], self.width))
+        doc = np.searchsorted(w.first, places, "right") - 1
+        return self._keys(ids, places, np.minimum(ahead[places], self.width)), doc, places - w.first[doc]
+
+    def matches(self, keys: np.ndarray, doc: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, place in the item, place in the document, length) of all longest matches of a shard's suffixes."""
         order = np.argsort(keys, kind="stable")
-        suffixes, keys = places[order], keys[order]
+        keys = keys[order]
         left, right = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         found = np.maximum(right - left, 0)
         if not found.any():
-            return none
+            return (np.zeros(0, np.int64),) * 5
         which = np.repeat(np.arange(len(found)), found)
-        place = suffixes[np.repeat(left - (np.cumsum(found) - found), found) + np.arange(int(found.sum()))]
-        doc = np.searchsorted(w.first, place, "right") - 1
-        item, item_at, doc_at, size = self.item[which], self.at[which], place - w.first[doc], self.length[which]
+        suffix = order[np.repeat(left - (np.cumsum(found) - found), found) + np.arange(int(found.sum()))]
+        doc, doc_at = doc[suffix], doc_at[suffix]
+        item, item_at, size = self.item[which], self.at[which], self.length[which]
         order = np.lexsort((doc_at, doc_at - item_at, item, doc))
         doc, item, item_at, doc_at, size = (x[order] for x in (doc, item, item_at, doc_at, size))
         follows = np.zeros(len(doc), bool)
@@ -95,16 +103,49 @@ class BenchmarkIndex:
         order = np.lexsort((size, doc_at, doc_at - item_at, self.rank[item], doc))
         return doc[order], item[order], item_at[order], doc_at[order], size[order]
 
-    def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, list[tuple]]]]]:
-        """For each shard: (first row, end row, words of each row, [(row, matches)] of the rows that have any)."""
-        for a, b, data, offsets in runs(*text_bytes(texts)):
-            w = split(data, offsets, ALNUM_LOWER)
-            doc, item, item_at, doc_at, length = self.matches(w)
-            rows = []
-            edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else []
-            for i, j in zip(edges[:-1], edges[1:], strict=True) if len(edges) else ():
-                rows.append((int(doc[i]), list(zip(self.names[item[i:j]], item_at[i:j].tolist(), doc_at[i:j].tolist(), length[i:j].tolist(), strict=True))))
-            yield a, b, w.counts, rows
+    def scan(self, batches: Iterator[pa.RecordBatch], column: int, keep: list[int]) -> Iterator[tuple[pa.Table, np.ndarray, list[list[tuple]]]]:
+        """For each shard: its rows in the columns ``keep``, the number of words and the matches of each row."""
+        held: list[pa.RecordBatch] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts: list[np.ndarray] = []
+        rows = size = found = 0
+
+        def shard() -> tuple[pa.Table, np.ndarray, list[list[tuple]]]:
+            out: list[list[tuple]] = [[] for _ in range(rows)]
+            if found:
+                doc, item, item_at, doc_at, length = self.matches(*map(np.concatenate, zip(*parts, strict=True)))
+                for i, *m in zip(doc.tolist(), self.names[item], item_at.tolist(), doc_at.tolist(), length.tolist(), strict=True):
+                    out[i].append(tuple(m))
+            return pa.Table.from_batches(held), np.concatenate(counts), out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch.select(keep))
+            for a, _, data, offsets in runs(*text_bytes(batch.column(column))):
+                w = split(data, offsets, ALNUM_LOWER)
+                keys, doc, doc_at = self.suffixes(w)
+                if len(keys):
+                    parts.append((keys, doc + rows + a, doc_at))
+                counts.append(w.counts)
+                size, found = size + len(data), found + len(keys)
+            rows += batch.num_rows
+            if found >= SHARD_SUFFIXES or size >= SHARD_BYTES:
+                yield shard()
+                held, parts, counts, rows, size, found = [], [], [], 0, 0, 0
+        if held:
+            yield shard()
+
+
+_indexes: dict[str, BenchmarkIndex] = {}
+
+
+def worker_index(name: str, item_ids: list[str], texts: list[str], width: int) -> BenchmarkIndex:
+    """This worker's index of a block; that of the last block is kept."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = BenchmarkIndex(item_ids, texts, width)
+    return _indexes[name]
 
 
 def covered(matches: list[tuple]) -> int:
@@ -128,9 +169,11 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[D
     return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _index(block: DataFrame, width: int) -> BenchmarkIndex:
+def _index(block: DataFrame, width: int) -> Callable[[], BenchmarkIndex]:
+    """A function that gives a worker the block's index."""
     rows = block.orderBy("item_id", "text").collect()  # at most about BLOCK_BYTES
-    return BenchmarkIndex([r[0] for r in rows], [r[1] for r in rows], width)
+    name, ids, texts = uuid.uuid4().hex, [r[0] for r in rows], [r[1] for r in rows]
+    return lambda: worker_index(name, ids, texts, width)
 
 
 #: Two hashes of a text, by which blocks' rows are put together.
@@ -157,24 +200,19 @@ def _judged(docs: DataFrame, blocks: list[DataFrame], width: int, id_col: str, t
     """Rows of ``contamination``, with the text's hashes where there is more than one block."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def scanned(index: BenchmarkIndex, hashed: bool) -> DataFrame:
+    def scanned(index: Callable[[], BenchmarkIndex], hashed: bool) -> DataFrame:
+        more = list(HASHES) if hashed else []
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, counts, found in index.scan(batch.column(1)):
-                    matches: list[list[tuple]] = [[] for _ in range(b - a)]
-                    for i, m in found:
-                        matches[i] = m
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array([covered(m) for m in matches], pa.int64()),
-                            pa.array([sorted({x[0] for x in m}) for m in matches], pa.list_(pa.string())),
-                            pa.array([[dict(zip(("item_id", "item_at", "doc_at", "length"), x, strict=True)) for x in m] for m in matches], pa.list_(_MATCH_TYPE)),
-                            *(batch.column(2 + k).slice(a, b - a) for k in range(len(HASHES) if hashed else 0)),
-                        ],
-                        names=["doc_id", "n_words", "n_hit", "items", "matches", *(HASHES if hashed else [])],
-                    )
-
-        return _hashed(rows, "text").mapInArrow(run, SCHEMA + "".join(f", {k} long" for k in HASHES)) if hashed else rows.mapInArrow(run, SCHEMA)
+            for held, counts, found in index().scan(batches, 1, [0, *range(2, 2 + len(more))]):
+                columns = {
+                    "doc_id": held["doc_id"], "n_words": pa.array(counts.astype(np.int64)), "n_hit": pa.array([covered(m) for m in found], pa.int64()),
+                    "items": pa.array([sorted({x[0] for x in m}) for m in found], pa.list_(pa.string())),
+                    "matches": pa.array([[dict(zip(("item_id", "item_at", "doc_at", "length"), x, strict=True)) for x in m] for m in found], pa.list_(_MATCH_TYPE)),
+                }
+                yield from pa.table(columns | {k: held[k] for k in more}).to_batches(max_chunksize=4096)
+
+        return (_hashed(rows, "text") if more else rows).mapInArrow(run, SCHEMA + "".join(f", {k} long" for k in more))
 
     if len(blocks) == 1:
         out = scanned(_index(blocks[0], width), False)
@@ -206,20 +244,22 @@ def _judged(docs: DataFrame, blocks: list[DataFrame], width: int, id_col: str, t
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the contaminated rows; each row is judged by its own text."""
+    """``docs``, all columns of any name, without the contaminated rows; each row is judged by its own text.
+
+    Null texts, and texts without words, stay; rows alike in text stay or go together; very long texts are judged whole, and
+    no rows give none. Of the benchmark, rows of null id or text and items without words match nothing.
+    """
     blocks = benchmark_blocks(benchmark, item_col, item_text_col)
     if len(blocks) > 1:
         texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         bad = _judged(texts, blocks, width, "doc_id", "text").filter("contaminated").select(*HASHES).distinct()
         return _hashed(docs, text_col).join(bad, list(HASHES), "left_anti").select(*docs.columns)
     index, column = _index(blocks[0], width), docs.columns.index(text_col)
+    every = list(range(len(docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, counts, found in index.scan(batch.column(column)):
-                keep = np.ones(b - a, bool)
-                for i, m in found:
-                    keep[i] = not is_contaminated(int(counts[i]), covered(m))
-                yield batch.slice(a, b - a).filter(pa.array(keep))
+        for held, counts, found in index().scan(batches, column, every):
+            keep = pa.array([not is_contaminated(int(n), covered(m)) for n, m in zip(counts.tolist(), found, strict=True)], pa.bool_())
+            yield from held.filter(keep).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,6 +40,7 @@ READABLE = re.compile(
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}+"
 )
 PACKED = re.compile(b"(?=\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32) + b")")
+GZIP = b"\x1f\x8b\x08"
 #: Bytes of a compressed value that are held at once; larger values are read in windows of WINDOW new bytes. Windows overlap by
 #: OVERLAP, or by the run of encoded characters at the border, up to MOST_INFLATED.
 MOST_INFLATED, WINDOW, OVERLAP = 16 << 20, 4 << 20, 1 << 16
@@ -127,30 +128,50 @@ def _escapes(s: str) -> list[tuple[str, int, int]] | None:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _pieces(packed: Iterator[bytes], d) -> Iterator[bytes]:
-    """What compressed pieces hold, by a new decompressor ``d``, in pieces of a bounded size."""
-    for more in packed:
-        while not d.eof:
-            out = d.decompress(more, 1 << 20)
-            more = d.unconsumed_tail
-            if out:
-                yield out
-            if not more and len(out) < 1 << 20:
-                break
+class _Inflated:
+    """What compressed pieces hold, in pieces of a bounded size: a zlib value, or gzip members, which are one value."""
+
+    def __init__(self, packed: Iterator[bytes]):
+        self.packed = packed
+        self.left: int | None = None  # bytes of the last piece after the last whole value; None where there is no whole one
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, rest = zlib.decompressobj(47), b""
+        for more in self.packed:
+            more, rest, full = rest + more if rest else more, b"", False
+            while len(more) or full:
+                if d is None:
+                    if len(more) < len(GZIP) and GZIP.startswith(more):
+                        rest = more
+                        break
+                    if not more.startswith(GZIP):
+                        return
+                    d = zlib.decompressobj(31)
+                try:
+                    out = d.decompress(more, 1 << 20)
+                except zlib.error:
+                    return
+                if out:
+                    yield out
+                if d.eof:
+                    more, d, full = d.unused_data, None, False
+                    self.left = len(more)
+                else:
+                    more, full = d.unconsumed_tail, len(out) == 1 << 20
 
 
 def _inflated(packed: Iterator[bytes]) -> tuple[bytes | None, bytes, int] | None:
     """What compressed pieces hold, unless it is more than MOST_INFLATED, its digest, and how many bytes are left of the last
-    piece; None where the pieces are not one whole compressed value."""
-    d, kept, n, digest = zlib.decompressobj(47), [], 0, sha256()
-    try:
-        for out in _pieces(packed, d):
-            n += len(out)
-            digest.update(out)
-            kept = [*kept, out] if n <= MOST_INFLATED else []
-    except zlib.error:
-        return None
-    return (b"".join(kept) if n <= MOST_INFLATED else None, digest.digest(), len(d.unused_data)) if d.eof else None
+    piece; None where the pieces do not begin with a whole compressed value."""
+    pieces, kept, n, digest = _Inflated(packed), [], 0, sha256()
+    for out in pieces:
+        n += len(out)
+        digest.update(out)
+        if n <= MOST_INFLATED:
+            kept.append(out)
+        else:
+            kept.clear()
+    return None if pieces.left is None else (b"".join(kept) if n <= MOST_INFLATED else None, digest.digest(), pieces.left)
 
 
 def _unpacked(raw: bytes) -> tuple[Iterator[str], int] | None:
@@ -162,7 +183,7 @@ def _unpacked(raw: bytes) -> tuple[Iterator[str], int] | None:
         if whole is not None:
             make = lambda x=whole: iter((x,))
         else:
-            make = lambda f=make: _pieces(f(), zlib.decompressobj(47))
+            make = lambda f=make: iter(_Inflated(f()))
         if got[1] in seen:
             break
         seen.add(got[1])
@@ -170,7 +191,7 @@ def _unpacked(raw: bytes) -> tuple[Iterator[str], int] | None:
         return None
     if whole is None:
         return _windows(make()), used
-    return iter(() if (text := _readable(whole)) is None else (text,)), used
+    return iter((whole.decode("utf-8", "replace"),)), used
 
 
 def _windows(pieces: Iterator[bytes]) -> Iterator[str]:

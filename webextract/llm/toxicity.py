@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .words import ALNUM_LOWER, SPACED, Words, runs, split, text_bytes
 
-#: Labelled rows that a model is fitted on, at most about; and the learnt lexicon's size.
-SAMPLE_ROWS, LEXICON_SIZE = 24_000, 3_000
+#: Labelled rows that a model is fitted on, at most about. What is learnt from them, the lexicon too, is bounded by them.
+SAMPLE_ROWS = 24_000
 #: Lengths of the word beginnings that a lexicon learns; 0 stands for whole words.
 PREFIXES = (0, 4, 5, 6)
 #: A lexicon entry is in this many toxic texts at least, and so many times likelier in toxic texts.
@@ -226,17 +227,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int, text_col: str = "text") -> DataFrame:
-    """text, toxic and part (0 lexicon, 1 trees, 2 calibration) of about ``rows`` labelled documents at most, by hash."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text, toxic and part (0 lexicon, 1 trees, 2 calibration) of about ``rows`` labelled documents at most, by hash; none
+    of the held-out fifth."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, known.count()))
     key = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     part = F.when(key(2) < 400_000, 0).when(key(2) < 800_000, 1).otherwise(2)
     chosen = known.filter(key(1) < F.lit(int(share * 1_000_000))).select("doc_id", "toxic", part.alias("part"))
-    return docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part")
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
+def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and beginnings far likelier in toxic texts; texts are counted once for each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +261,10 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     best = (
         counts.groupBy("key", "length").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_LOG_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "key", "length").limit(size).collect()
+        .select("key", "length", "odds").collect()
     )
     keys = np.array([r["key"] for r in best], np.int64).view(np.uint64)
-    order = np.argsort(keys)
+    order = np.lexsort((np.array([r["length"] for r in best], np.int64), keys))
     return Lexicon(keys[order], np.array([r["odds"] for r in best])[order], np.array([r["length"] for r in best], np.int64)[order])
 
 
@@ -271,15 +274,16 @@ def _apply(batches: Iterator[pa.RecordBatch], column: int, f) -> Iterator[tuple[
             yield batch.slice(a, b - a), f(data, offsets)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from a bounded sample of labelled rows outside the held-out fifth.
 
-    Labels of null id or value are left out; of repeated ones the highest counts. With no labels, or only one kind, the
-    model gives the label's rate. Scores are calibrated on the third part of the sample; where that has fewer than FEW_ROWS
+    Labels of null id or value are left out; of repeated ones the highest counts. Null texts count as empty, very long ones
+    are taken whole, rows that repeat an id each count. With no labels, no documents, or only one kind of label, the model
+    gives the label's rate. Other columns are not read. Scores are calibrated on the third part of the sample; where that has fewer than FEW_ROWS
     rows, also on the second part, by trees of the other four fifths of it. Only where these rows are of one kind are scores
     not calibrated.
     """
-    sample = labelled_sample(docs, labels, ~held_out(F.col("doc_id")), sample_rows, text_col)
+    sample = staged(labelled_sample(docs, labels, sample_rows, id_col, text_col), "sample")
     lexicon = learn_lexicon(sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +326,11 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more."""
+    """``docs``, all columns of any name, without the rows that score ``threshold`` or more.
+
+    Each row is judged by its own whole text, so repeated rows stay or go together; null texts count as empty. No rows give
+    none.
+    """
     column = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
