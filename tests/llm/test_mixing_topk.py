@@ -61,5 +61,18 @@ def test_mix_repeated_rows(spark):
     assert len(rows) == 7 and all(r.taken in (0, 2, 4) for r in rows)
 
 
+def test_mixed_rows_are_the_mix(spark):
+    """The rows given are as many as the mix takes, alike or not, whatever their columns are called."""
+    rows = [(1, "a b", "x")] * 5 + [(2, "c d", "y")] * 3 + [(None, "q r s", "x")] * 4 + [(1, "e f", "x"), (3, None, None), (4, "", "y"), (5, "z " * 9000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS mix_row", "2 AS `Mix_Copies`", "map(1, 2) AS `a.b`", "3 AS size")
+    plan = mixing.fair_mix(df)
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    assert got.count() == plan.agg(F.sum("copies")).first()[0]
+    words = got.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert words == plan.agg(F.sum("taken")).first()[0] <= 1.5 * plan.agg(F.sum("size")).first()[0]
+    assert mixing.mixed(df.limit(0)).collect() == []
+
+
 def test_registered():
     assert {"op4_source_mix", "op5_bit_sliced_topk"} <= queries.ORACLES.keys()

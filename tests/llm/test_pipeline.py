@@ -47,7 +47,7 @@ def test_stages_against_brute_force(spark, small, tables):
 def test_odd_rows(spark, small):
     rows = [(1, "a b", "en", None, 3), (1, "a b", "en", None, 3), (1, "a c", "en", "s", 3), (2, None, None, "s", None), (3, "", "fr", "s", 0), (4, "A  b", "en", None, 3), (None, "q r s", "en", "s", 5), (5, "z " * 30_000, "en", "s", 9)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
-    assert rows_of(jaccard_join.one_of_each(docs)) == sorted([rows[0], rows[3], rows[4], rows[6], rows[7]], key=str)
+    assert rows_of(jaccard_join.one_of_each(docs)) == sorted([rows[0], *rows[2:5], *rows[6:]], key=str)
     mixed = rows_of(mixing.mixed(docs))
     assert set(mixed) <= set(rows) and all(mixed.count(r) <= 2 * rows.count(r) for r in rows)
     for _, stage in corpus_pipeline.STAGES:

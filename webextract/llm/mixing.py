@@ -61,9 +61,10 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, p
 
 def fair_mix(
     docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2, seed: str = "mix",
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, finish, copies, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, finish, copies, taken, and, with
+    ``row_col``, row: that number, which rows are told apart by.
 
     ``copies`` (0 to ``passes``) is how often the mix has the document and ``taken`` is copies * size. Sources in code
     point order, null last, weigh as ``weights`` repeat. Documents of no words never use the budget: they are taken with
@@ -73,6 +74,7 @@ def fair_mix(
     sized = staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
             F.col(source_col).alias("source"),
             F.when(F.col(source_col).isNull(), "~").otherwise(F.concat(F.lit("="), F.col(source_col))).alias("skey"),
             word_count(F.col(text_col)).alias("size"),
@@ -92,11 +94,11 @@ def fair_mix(
     offsets = sums.select("skey", "block", F.coalesce(F.sum("block_size").over(earlier), F.lit(0)).alias("served")).join(
         targets.drop("source"), "skey"
     )
-    inside = W.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("skey", "block").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
     placed = sized.withColumn("within", F.sum("size").over(inside)).join(offsets, ["skey", "block"])
     placed = staged(
         placed.select(
-            "doc_id", "source", "size", "key", "source_size", "rank", "weight", "target", "level", "budget",
+            "doc_id", "row", "source", "size", "key", "source_size", "rank", "weight", "target", "level", "budget",
             (F.col("served") + F.col("within")).alias("ends"),
         ),
         "mix-places",
@@ -135,9 +137,8 @@ def fair_mix(
         taken = [F.lit(0)]
     copies = sum(taken[1:], taken[0])
     return placed.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", F.col("ends") / F.col("weight"), copies.alias("copies")
-    ).toDF("doc_id", "source", "size", "source_size", "weight", "target", "finish", "copies").withColumn(
-        "taken", F.col("size") * F.col("copies")
+        "doc_id", "source", "size", "source_size", "weight", "target", (F.col("ends") / F.col("weight")).alias("finish"),
+        copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["row"] if row_col else []),
     )
 
 
@@ -171,11 +172,17 @@ FROM c GROUP BY doc_id, size, source_size, target, k, ends, rnk
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, each row as often as the mix has it (0 to ``passes`` times).
+    """``docs``, all columns of any name, each row as often as the mix has it (0 to ``passes`` times).
 
-    Rows that share an id, source and size share the largest of their numbers.
+    Rows are told apart by a number of their own, written with them, so repeated rows, ties and rows of null id or source
+    have their own shares and no more than the mix is taken. Documents of no words (null and empty texts) come with the
+    passes that end before the cut. No rows give none.
     """
-    plan = fair_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).toDF("mix_id", "mix_source", "mix_size", "mix_copies")
-    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (word_count(F.col(text_col)) == F.col("mix_size"))
-    return docs.join(plan, same).withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    row, copies = "mix_row", "mix_copies"
+    while any(c.lower() in (row, copies) for c in docs.columns):
+        row, copies = row + "_", copies + "_"
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = fair_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, row_col=row, **options)
+    plan = plan.filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    joined = docs.join(plan, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != row])
