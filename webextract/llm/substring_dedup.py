@@ -1,8 +1,10 @@
 """Removing passages that documents repeat: repeated-phrase automata.
 
-A window is 13 consecutive words. Window hashes travel packed, one row per run of texts and bucket; a bucket finds the
-windows that more than one document has, and of each its owner, the document of smallest id. The owners' passages are
-then read again and confirmed as words: those of a shard of owners are compiled to an Aho-Corasick automaton over word
+A window is 13 consecutive words. Of the documents of a run of texts that have a window, the one of smallest id owns it for
+the others: no more is needed to remove it there. So only that one's hash goes on, and a window that any share of all
+documents has is in a bucket once for each run. The hashes travel packed, one row per run and bucket; a bucket finds the
+windows that more than one run has, and of each its owner, the document of smallest id. The owners' passages are then read
+again and confirmed as words: those of a shard of owners are compiled to an Aho-Corasick automaton over word
 numbers, and every document that may hold one of them streams through it whole. An occurrence in a document other than
 the owner is removed. A shard with many documents is dealt to several tasks, each with the shard's automaton.
 
@@ -28,23 +30,30 @@ WINDOW = 13
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Owned windows of a shard and documents of a task, about; windows that one automaton holds at most.
 SHARD_WINDOWS, TASK_DOCS, AUTOMATON_WINDOWS = 60_000, 2_000, 120_000
-#: Rows of removed spans up to which they are broadcast to the last pass (about 60 bytes each).
-ROWS_TO_BROADCAST = 200_000
+#: Bytes of removed spans up to which they are broadcast to the last pass (16 a span and 48 a document).
+SPANS_TO_BROADCAST = 32 << 20
 #: Bytes kept of a window's hash within a bucket: with the bucket's bits, all but two of it.
 KEY_BYTES = 7
 
 
 def packed_windows(docs: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(bucket, ids, counts, keys): for each run of texts, the windows' hashes of a bucket in the order of documents."""
+    """(bucket, ids, counts, keys): for each run of texts, the windows' hashes of a bucket in the order of documents.
+
+    Rows of the buckets after the last are done with: they pass on what the run itself has found. From ``buckets`` on, ids
+    are pairs of owner and member, and from twice that on, owners with counts of keys and these.
+    """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy()
-            for low, _, data, offsets in runs(*text_bytes(batch.column(1)), 2_000_000):
+            for low, high, data, offsets in runs(*text_bytes(batch.column(1)), 2_000_000):
                 w = split(data, offsets, SPACED)
-                key, good = windows(w.hashes(), w.first, WINDOW)
-                of, key = w.text_of()[good], key[good]
+                hashes, ids = w.hashes(), every[low:high]
+                key, good = windows(hashes, w.first, WINDOW)
+                at = np.flatnonzero(good)
+                of, key = w.text_of()[at], key[at]
+                of, key, pairs = _firsts(ids, of, key, at, hashes)
                 bucket = (key >> shift).astype(np.int16 if buckets < 32768 else np.int64)
                 order = np.argsort(bucket, kind="stable")
                 of, key, bucket = of[order], key[order], bucket[order]
@@ -52,7 +61,15 @@ def packed_windows(docs: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) ->
                 rows = []
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     own, counts = np.unique(of[i:j], return_counts=True)
-                    rows.append((int(bucket[i]), every[low + own].tobytes(), counts.astype(np.int32).tobytes(), key[i:j].view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()))
+                    rows.append((int(bucket[i]), ids[own].tobytes(), counts.astype(np.int32).tobytes(), key[i:j].view(np.uint8).reshape(-1, 8)[:, :key_bytes].tobytes()))
+                if len(pairs[0]):
+                    owner, member, key = pairs
+                    place = int(owner[0] % buckets)
+                    found = np.unique(np.column_stack([owner, member]), axis=0)
+                    rows.append((buckets + place, found.tobytes(), b"", b""))
+                    own = np.unique(np.rec.fromarrays([owner, _kept(key, key_bytes)], names="owner,key"))
+                    names, counts = np.unique(own.owner, return_counts=True)
+                    rows.append((2 * buckets + place, names.tobytes(), counts.astype(np.int32).tobytes(), np.ascontiguousarray(own.key).tobytes()))
                 if rows:
                     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "ids", "counts", "keys"])
@@ -60,6 +77,32 @@ def packed_windows(docs: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) ->
     return docs.select("id", "text").mapInArrow(run, "bucket int, ids binary, counts binary, keys binary")
 
 
+def _firsts(ids: np.ndarray, of: np.ndarray, key: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Windows (text, hash) of a run without those that a text of a smaller id has as well, and these as (owner, member,
+    hash). Windows of one hash are told apart by their words; ``at`` is where each begins."""
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(key), bool)
+    again[1:] = key[order[1:]] == key[order[:-1]]
+    if not again.any():
+        return of, key, (np.zeros(0, np.int64),) * 3
+    some = again.copy()
+    some[:-1] |= again[1:]
+    order, again = order[some], again[some]  # windows whose hash is in the run more than once
+    start = np.flatnonzero(~again)
+    group = np.cumsum(~again) - 1
+    doc = ids[of[order]]
+    least = np.lexsort((doc, group))[start]  # of each hash, a window in the text of smallest id
+    step = np.arange(WINDOW)
+    same = (hashes[at[order][:, None] + step] == hashes[at[order[least]][group][:, None] + step]).all(axis=1)
+    later = same & (doc > doc[least][group])
+    out = np.ones(len(key), bool)
+    out[order[later]] = False
+    repeated = same & (doc == doc[least][group])
+    repeated[least] = False
+    out[order[repeated]] = False  # once for each text of smallest id
+    return of[out], key[out], (doc[least][group][later], doc[later], key[order[later]])
+
+
 def _wide(keys: bytes, key_bytes: int) -> np.ndarray:
     """Kept hash bytes as numbers."""
     out = np.zeros((len(keys) // key_bytes, 8), np.uint8)
@@ -72,10 +115,25 @@ def _kept(keys: np.ndarray, key_bytes: int) -> np.ndarray:
     return keys & np.uint64((1 << 8 * key_bytes) - 1)
 
 
-def recurring(packed: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+def recurring(packed: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(owner, member, keys): documents that share windows with a smaller one, and the owners' own rows with their keys."""
 
+    def found(owner: np.ndarray, member: np.ndarray, keys: list[bytes | None]) -> pa.Table:
+        return pa.table({"owner": pa.array(owner, pa.int64()), "member": pa.array(member, pa.int64()), "keys": pa.array(keys, pa.binary())})
+
     def group(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket >= 2 * buckets:
+            names = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]])
+            blobs = []
+            for counts, keys in zip(table["counts"], table["keys"], strict=True):
+                ends = 8 * np.cumsum(np.frombuffer(counts.as_buffer(), np.int32), dtype=np.int64)
+                keys = keys.as_py()
+                blobs += [keys[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            return found(names, names, blobs)
+        if bucket >= buckets:
+            pairs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]]).reshape(-1, 2)
+            return found(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
         ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["ids"]])
         of = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"]]))
         keys = np.concatenate([_wide(x.as_py(), key_bytes) for x in table["keys"]])
@@ -84,10 +142,12 @@ def recurring(packed: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
         del order, of
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         if not len(start):
-            return pa.table({"owner": pa.array([], pa.int64()), "member": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
+            return found([], [], [])
         low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
         size = np.diff(np.append(start, len(keys)))
         shared = low < high
+        if not shared.any():
+            return found([], [], [])
         rows = np.repeat(shared, size)
         pairs = np.column_stack([np.repeat(low[shared], size[shared]), doc[rows]])
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
@@ -99,10 +159,7 @@ def recurring(packed: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
         owner, key = owner[order], key[order]
         own, first = np.unique(owner, return_index=True)
         blobs = [key[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True)]
-        return pa.table({
-            "owner": np.concatenate([pairs[:, 0], own]), "member": np.concatenate([pairs[:, 1], own]),
-            "keys": pa.array([None] * len(pairs) + blobs, pa.binary()),
-        })
+        return found(np.concatenate([pairs[:, 0], own]), np.concatenate([pairs[:, 1], own]), [None] * len(pairs) + blobs)
 
     return packed.groupBy("bucket").applyInArrow(group, "owner long, member long, keys binary")
 
@@ -117,7 +174,7 @@ class Phrases:
         self.owners = owners
         self.vocabulary = np.unique(np.concatenate([w.ravel() for w in windows_]))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, w in enumerate(windows_):
+        for i, w in sorted(enumerate(windows_), key=lambda x: -owners[x[0]]):  # of a window's owners the smallest stays
             for phrase in (np.searchsorted(self.vocabulary, w) + 1).tolist():
                 self.automaton.add_word(tuple(phrase), i)
         self.automaton.make_automaton()
@@ -164,7 +221,7 @@ def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     buckets = LEAST_BUCKETS
     while buckets * BUCKET_BYTES < size:
         buckets *= 2
-    found = staged(recurring(packed_windows(docs, buckets, key_bytes), key_bytes), "recurring")
+    found = staged(recurring(packed_windows(docs, buckets, key_bytes), buckets, key_bytes), "recurring")
     owners = found.filter(F.col("keys").isNotNull())
     members = found.filter(F.col("keys").isNull()).select("owner", "member").distinct()
     owned = int(owners.agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
@@ -285,7 +342,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = repeated_spans(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), key_bytes)
     spans = staged(parts.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    if spans.limit(ROWS_TO_BROADCAST + 1).count() <= ROWS_TO_BROADCAST:
+    if (spans.agg(F.sum(48 + 16 * F.size("spans").cast("long"))).first()[0] or 0) <= SPANS_TO_BROADCAST:
         spans = F.broadcast(spans)
     joined = rows.withColumn("h", F.xxhash64("text")).join(spans, ["id", "h"], "left")
     return joined.select("id", "text", "spans").mapInArrow(_cleaned, SCHEMA)
