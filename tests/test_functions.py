@@ -56,13 +56,15 @@ def test_sitemaps(spark):
     docs = [("i.xml", "<sitemapindex><sitemap><loc>i.xml</loc></sitemap><sitemap><loc> s.xml </loc></sitemap><sitemap><loc>https://r/s.xml</loc></sitemap></sitemapindex>", None), ("s.xml", "<urlset xmlns='n'><url><loc>https://a/1</loc></url><url><loc/></url></urlset>", 200), ("https://r/s.xml", "<urlset><loc>https://r/1</loc></urlset>", 200), ("https://r/i.xml", "<sitemapindex><loc>https://r/s.xml</loc><loc>https://r/bad.xml</loc></sitemapindex>", 200), ("https://r/bad.xml", "<urlset><loc>https://r/2</loc></urlset>", 404), ("m.xml", "<oops", None)]
     known = spark.createDataFrame(docs, "source string, xml string, status int")
     got = sitemaps.load(spark.createDataFrame([("i.xml",), ("https://r/i.xml",), ("m.xml",), ("none.xml",)], "source string"), known)
-    assert sorted(map(tuple, got.collect())) == [("https://r/i.xml", "https://r/1"), ("i.xml", "https://a/1")]
+    assert sorted(map(tuple, got.collect())) == [("https://r/i.xml", [0, 0], "https://r/1"), ("i.xml", [1, 0], "https://a/1")]
+    assert [r.x for r in spark.createDataFrame([("a/b",), ("s.xml",), ("http://h/s.xml",), ("s",)], "s string").select(sitemaps.is_local(F.col("s")).alias("x")).collect()] == [True, True, False, False]
+    assert spark.range(1).select(sitemaps.is_local(F.lit("s"), F.lit(True)).alias("x")).first().x
 
 
 def test_deep_sitemaps(spark):
     docs = [(f"{i}.xml", f"<sitemapindex><loc>{i + 1}.xml</loc><loc>0.xml</loc></sitemapindex>", 200) for i in range(22)] + [("22.xml", "<urlset><loc>https://a/1</loc></urlset>", 200)]
     got = sitemaps.load(spark.createDataFrame([("0.xml",)], "source string"), spark.createDataFrame(docs, "source string, xml string, status int"))
-    assert [tuple(r) for r in got.collect()] == [("0.xml", "https://a/1")]
+    assert [(r.source, r.url) for r in got.collect()] == [("0.xml", "https://a/1")]
 
 
 def test_breadth_first(spark):
@@ -73,6 +75,14 @@ def test_breadth_first(spark):
     assert run() == [("a", 0, None), ("b", 1, "a"), ("c", 1, "a"), ("d", 2, "b"), ("e", 3, "d")]
     assert run(max_pages=3) == [("a", 0, None), ("b", 1, "a"), ("c", 1, "a")]
     assert run(follow_links=False) == [("a", 0, None)]
+    pages = spark.createDataFrame([(1, url("a"), "<a href=b>b</a><a href='/c#x'>c</a>"), (2, url("b"), "<a href=/d>d</a><a href=/a>a</a>"), (3, url("c"), "")], "page_id long, url string, html string")
+    config = crawl.CrawlConfig(seeds=("h/c", "h/a"), sitemaps=("s.xml",), allow_prefixes=("HTTP://H", "::"), max_depth=5)
+    maps = spark.createDataFrame([("s.xml", "<urlset><loc>http://h/z</loc><loc>http://other/z</loc><loc>http://h/a</loc></urlset>", 200)], "source string, xml string, status int")
+    got = crawl.breadth_first(spark, config, crawl.from_pages(pages), sitemap_documents=maps).orderBy("seq").collect()
+    assert [(r.url[-1], r.depth, r.seq) for r in got] == [("c", 0, 1), ("a", 0, 2), ("z", 0, 3), ("b", 1, 4), ("d", 2, 5)]
+    skipped = crawl.breadth_first(spark, config, crawl.from_pages(pages), skip=spark.createDataFrame([(url("a"),)], "url string"))
+    assert {r.url[-1] for r in skipped.collect()} == {"c", "a"}
+    assert sorted((r.src[-1], r.pos, r.dst[-1]) for r in crawl.page_edges(pages).collect()) == [("a", 0, "b"), ("a", 1, "c"), ("b", 0, "d"), ("b", 1, "a")]
 
 
 def test_links_and_manifest(spark, tmp_path):
@@ -83,6 +93,17 @@ def test_links_and_manifest(spark, tmp_path):
     crawl.write_manifest(crawl.manifest(results, crawl.CrawlConfig(), "j", "a", "b", 1.5), f"{tmp_path}/manifest.json")
     said = json.loads((tmp_path / "manifest.json").read_text())
     assert said["total_pages"] == 2 and said["config"]["max_pages"] == 100 and len(said["results"]) == 2
+    crawl.write_manifest(crawl.manifest(results.limit(0), crawl.CrawlConfig(), "j", "a", "b", 1.5), f"{tmp_path}/empty.json")
+    assert json.loads((tmp_path / "empty.json").read_text())["results"] == []
+    seq = results.withColumn("seq", F.when(F.col("url") == "", 1).otherwise(2))
+    crawl.write_manifest(crawl.manifest(seq, crawl.CrawlConfig(), "j", "a", "b", 1.5), f"{tmp_path}/manifest.json")
+    assert [r["url"] for r in json.loads((tmp_path / "manifest.json").read_text())["results"]] == ["", "http://h/d/p"]
+    good = results.filter("url <> ''")
+    (tmp_path / "blocked").write_text("")
+    left = crawl.write_markdown(good, f"{tmp_path}/blocked").first()
+    assert left.status == "failed" and left.error.startswith("Write failed: ") and left.file_path is None
+    assert crawl.write_markdown(good, f"{tmp_path}/md").first().status == "success"
+    assert (tmp_path / "md/h__d__p.md").read_text() == '---\nurl: http://h/d/p\ntitle: "P"\nextracted_at: t\nword_count: 2\n---\n\nsome text'
     back = crawl.load_manifest(spark, f"{tmp_path}/manifest.json")
     assert back.first().successful == 2 and crawl.load_manifest(spark, f"{tmp_path}/none.json") is None
     (tmp_path / "bad.json").write_text("{nope")
@@ -108,6 +129,27 @@ def test_state_steps():
     assert lim[0] == 2
 
 
+def test_waits_and_rings(spark):
+    rows = [(k, float(t), i, i % 3 == 0) for k in (1, 2) for i, t in enumerate([0, 1, 1, 50, 290, 300, 301, 301, 600, 1000])]
+    df = spark.createDataFrame(rows, "key long, ts double, seq long, limited boolean")
+    for size in (3, 100):
+        got = {(r.key, r.seq): r.share for r in state.recent_limit_share(df, ring=size).collect()}
+        for k, ts, seq, _ in rows:
+            near = [x for x in rows if x[0] == k and x[2] <= seq][-size:]
+            near = [x[3] for x in near if x[1] > ts - 300]
+            assert got[k, seq] == pytest.approx(sum(near) / len(near))
+    waits = df.withColumn("delay", F.lit(2.0) + F.col("seq"))
+    got = {(r.key, r.seq): r.start for r in state.one_after_another(waits).collect()}
+    for k in (1, 2):
+        last = -1e18
+        for _, ts, seq, _ in (r for r in rows if r[0] == k):
+            last = max(ts, last + 2.0 + seq)
+            assert got[k, seq] == pytest.approx(last)
+    assert {r.seq for r in state.ring(df, 2).collect()} == {8, 9}
+    snaps = spark.createDataFrame([("u", 0, "a"), ("u", 1, "b"), ("u", 2, "b"), ("v", 0, "b")], "key string, n int, fp string")
+    assert [(r.key, r.n) for r in state.stable_snapshots(snaps, "key", ["n"], "fp").collect()] == [("u", 2)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i % 3, 1e9 + i * 7, i, i % 11 == 0) for i in range(200)]
     df = spark.createDataFrame(rows, "key long, ts double, seq long, limited boolean").withColumn("at", F.timestamp_seconds("ts"))

@@ -1,4 +1,8 @@
-import random
+import json
+import os
+import pathlib
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webextract.operators import article, nodes
+from webextract.plans import rules
 from webextract.sources import html as H
 
 PAGES = {
@@ -104,6 +109,90 @@ def test_host_rules(host, html, want):
     assert H.parse(content).elements("body")[0].string() == want
 
 
+@pytest.mark.parametrize("html", [
+    "<div>" * 10_000 + "word, " * 300, "<p><b>text of it" * 10_000, "<article>" + "<span>" * 10_000 + "word " * 300, "<ul><li>x " * 5_000, "<blockquote><p>text " * 5_000,
+    "<article>" + "<a href=x>privacy policy</a> " * 5_000, "<div class=share>" * 3_000 + "<a href=q>privacy policy</a> " * 3_000, "<div><p>x</p></div>" * 10_000,
+], ids=["nested", "open", "spans", "lists", "quotes", "links", "hints", "siblings"])
+def test_degenerate_pages(html):
+    """No page breaks the extraction or takes more than its share of time."""
+    began = time.time()
+    got = article.extract(html, "https://example.com/a")
+    assert got["error"] is None and got["success"]
+    assert len(H.node_rows(H.parse(html))) < 100_000 and time.time() - began < 20
+    assert len(got["content"]) < 20 * len(html) + 1_000_000
+
+
+def test_formatting_goes_on_three_times():
+    root = H.parse("<p><b>t" * 50)
+    assert max(len([1 for x in p.walk() if x.tag == "b"]) for p in root.elements("p")) == 4
+    assert [p.string() for p in root.elements("p")] == ["t"] * 50
+
+
+def naive_sanitize(node, boilerplate=True):
+    """The steps one by one, each measured on the tree as it is."""
+    content = lambda n: bool(n.string()) or any(article.is_image_source(i.attrs.get("src")) for i in n.elements("img"))
+    inside = lambda n: n is node or (n.parent is not None and inside(n.parent))
+    for n in node.elements("a"):
+        if not content(n):
+            n.remove()
+    for n in node.elements("img"):
+        if not article.is_image_source(n.attrs.get("src")):
+            n.remove()
+    for tag in rules.BOILERPLATE_TAGS if boilerplate else ():
+        for n in node.elements(tag):
+            text = n.string()
+            if not text or not inside(n):
+                continue
+            density, c, size = min(1.0, sum(len(a.string()) for a in n.elements("a")) / len(text)), n.class_id.strip().lower(), len(text)
+            hint, strong = any(x in c for x in rules.BOILERPLATE_HINTS), any(x in c for x in rules.STRONG_HINTS)
+            phrase = any(p in " ".join(text.lower().split()) for p in rules.BOILERPLATE_PHRASES)
+            tests = ((strong, size < 5000 or density > 0.08), (hint, size < 2500 and density > 0.05), (article.is_unlikely(n.class_id), size < 1600 or density > 0.2), (phrase and hint, density > 0.08 or size < 1200), (phrase, density > 0.35), (phrase and strong, size < 2500))
+            if any(a and b for a, b in tests):
+                n.remove()
+    for tag in ("li", "p", "div"):
+        for n in node.elements(tag):
+            if not content(n):
+                n.remove()
+
+
+block = st.recursive(
+    st.sampled_from(["see", "also", "Privacy  ", " policy", "x" * 700, "word " * 300, "", "<img src=t.gif>", "<img src=/a/photo.png>", "<a href=/>", "<a href=/>link</a>"]),
+    lambda c: st.tuples(st.sampled_from(["div", "p", "section", "ul", "li", "a", "span", "aside"]), st.sampled_from(["", " class=share", " id=comment", " class=body", " class='hidden'"]), st.lists(c, max_size=4)), max_leaves=20,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(block, max_size=4))
+def test_sanitize_equals_steps(parts):
+    show = lambda t: t if isinstance(t, str) else f"<{t[0]}{t[1]}>{' '.join(map(show, t[2]))}</{t[0]}>"
+    html = "".join(map(show, parts))
+    a, b = H.parse(html), H.parse(html)
+    article.sanitize(a)
+    naive_sanitize(b)
+    assert article.to_html(a, safe=False) == article.to_html(b, safe=False)
+
+
+def test_statuses(spark):
+    good, sparse = "<article><p>" + "Some words here. " * 60 + "</p></article>", "<p>gone</p>"
+    rows = [(1, 200, good), (2, 404, good), (3, 410, sparse), (4, 403, good), (5, 500, good), (6, None, good), (7, 301, good), (8, 404, None), (9, 200, None)]
+    df = spark.createDataFrame([(i, f"https://example.com/{i}", h, s) for i, s, h in rows], "page_id long, url string, html string, status int")
+    got = {r.page_id: r for r in article.extract_articles(df, status_col="status").collect()}
+    assert [got[i].success for i in range(1, 10)] == [True, True, False, False, False, True, True, False, False]
+    assert got[2].warnings == ["Extracted after HTTP 404 (SPA/client-rendered)"] and got[1].warnings == []
+    assert (got[3].error, got[4].error, got[8].error, got[9].error) == ("HTTP 410", "HTTP 403", "HTTP 404", "No HTML") and got[4].title == ""
+
+
+CORPUS = sorted(pathlib.Path(os.environ["WEBEXTRACT_CORPUS"]).glob("*/*/meta.json")) if os.environ.get("WEBEXTRACT_CORPUS") else []
+
+
+@pytest.mark.parametrize("meta", [m for m in CORPUS if all((m.parent / f"{x}.html").exists() for x in ("raw", "expected"))], ids=lambda m: m.parent.name)
+def test_corpus(meta):
+    """Text of whole pages in a folder of host/case/{meta.json, raw.html, expected.html}, where one is named."""
+    text = lambda h: re.sub(r"\s+([,.;:!?])", r"\1", " ".join(H.parse(h).string().split()))
+    got = article.extract((meta.parent / "raw.html").read_text(), json.loads(meta.read_text())["url"])
+    assert got["success"] and text(got["content"]) == text((meta.parent / "expected.html").read_text())
+
+
 def test_articles_frame(spark):
     df, rows = frame(spark)
     got = article.extract_articles(df.unionByName(spark.createDataFrame([(999, None, None)], df.schema)))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans import rules
 
-SPACE = r"(?U)\s+"
+#: White space, as a class without Unicode lookups.
+SPACES = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = f"[{SPACES}]+"
 
 
 def normalized(text: Column) -> Column:
@@ -17,7 +22,7 @@ def normalized(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0))
 
 
 def excerpt(text: Column, length: int = rules.EXCERPT_CHARS) -> Column:
@@ -74,7 +79,7 @@ def is_unlikely(class_id: Column) -> Column:
 def is_extractable(html: Column) -> Column:
     """Whether a page sent with an error status may still hold an article."""
     low = F.lower(html)
-    return (F.length(html) >= 500) & (low.contains("<article") | low.contains("<main") | low.contains("</p>"))
+    return (F.length(html) >= rules.EXTRACTABLE_CHARS) & reduce(or_, [low.contains(x) for x in rules.EXTRACTABLE_SIGNS])
 
 
 def decoded(data: Column) -> Column:
@@ -149,7 +154,7 @@ def low_words_warning(words: Column, least: int) -> Column:
 
 def status_route(status: Column, html: Column) -> Column:
     """What becomes of a response: extract, try (a missing page that may hold an article), or fail."""
-    missing = status.isin(404, 410)
+    missing = status.isin(*rules.GONE)
     return F.when(missing & is_extractable(html), "try").when(status >= 400, "fail").otherwise("extract")
 
 

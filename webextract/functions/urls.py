@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,23 @@ def admitted(url: Column, allow: list[str], deny: list[str]) -> Column:
     return (starts(allow) if allow else F.lit(True)) & ~(starts(deny) if deny else F.lit(False))
 
 
+def normal_prefixes(spark: SparkSession, prefixes: Iterable[str]) -> list[str]:
+    """Prefixes in the crawl form of URLs; invalid ones are left out."""
+    rows = spark.createDataFrame([(p,) for p in prefixes], "p string").select(normalized(F.col("p")).alias("p")).collect()
+    return [r.p for r in rows if r.p]
+
+
+def on_hosts(url: Column, hosts: Iterable[str]) -> Column:
+    """Whether an http(s) URL's authority is one of ``hosts``."""
+    return scheme(url).isin("http", "https") & netloc(url).isin(*hosts)
+
+
+def log_context(url: Column) -> Column:
+    """url and url_hash for logs, without credentials and query; an empty map where there is no URL."""
+    there = F.coalesce(url, F.lit("")) != ""
+    return F.when(there, F.create_map(F.lit("url"), stripped(url), F.lit("url_hash"), stable_hash(url))).otherwise(F.create_map().cast("map<string,string>"))
+
+
 def bypasses_proxy(host_port: Column, patterns: list[str]) -> Column:
     """Whether a host is on the bypass list: *, .suffix, *suffix, host:port (by host) or the exact name; no host always is."""
     h = F.lower(host_port)
@@ -184,6 +201,20 @@ def absolute_srcset(base: str, srcset: str) -> str:
     return ", ".join(out)
 
 
+@F.pandas_udf(T.StringType())
+def resolved_srcset(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(base, srcset) -> the srcset with absolute URLs; as it is where one cannot be resolved."""
+
+    def one(base: str | None, srcset: str | None) -> str | None:
+        try:
+            return None if srcset is None else absolute_srcset(base or "", srcset)
+        except ValueError:
+            return srcset
+
+    for base, srcset in parts:
+        yield pd.Series([one(b, s) for b, s in zip(base, srcset, strict=True)], dtype=object)
+
+
 def cache_key(url: Column, min_words: int = rules.MIN_WORDS, min_chars: int = 500, images: bool = True, code: bool = True, safe: bool = True) -> Column:
     """Key of a response cache."""
     return F.concat_ws("|", url, *[F.lit(str(int(x))) for x in (min_words, min_chars, images, code, safe)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import absolute_srcset
 from ..plans import rules
+from ..session import spread
 from ..sources.html import VOID, Node, parse
 
 ARTICLE_SCHEMA = (
@@ -28,10 +30,12 @@ ARTICLE_SCHEMA = (
 
 @dataclass(frozen=True)
 class Options:
-    """What an extraction may be asked for."""
+    """What an extraction may be asked for. ``images`` and ``code`` tell answers apart in a cache and change nothing else."""
 
     min_words: int = rules.MIN_WORDS
     safe_markdown: bool = True
+    images: bool = True
+    code: bool = True
 
 
 def _pattern(parts) -> re.Pattern:
@@ -85,9 +89,7 @@ def host_of(url: str) -> str:
 def clean(root: Node, host: str) -> None:
     """Remove what is no content: tags (for some hosts fewer) and roles."""
     kept = rules.KEPT_TAGS.get(host, ())
-    for n in root.elements():
-        if (n.tag in rules.STRIP_TAGS and n.tag not in kept) or n.attrs.get("role") in rules.STRIP_ROLES:
-            n.remove()
+    Node.remove_all(n for n in root.elements() if (n.tag in rules.STRIP_TAGS and n.tag not in kept) or n.attrs.get("role") in rules.STRIP_ROLES)
 
 
 class Measures:
@@ -95,7 +97,9 @@ class Measures:
 
     def __init__(self, root: Node):
         self.of: dict[Node, tuple[int, int, int, int, float]] = {}  # characters, texts, commas, link length, points
+        self.last: dict[Node, int] = {}  # place of the last descendant
         for n in reversed([root, *root.walk()]):
+            self.last[n] = self.last[n.children[-1]] if n.children else n.order
             if n.tag is None:
                 t = n.text.strip()
                 self.of[n] = (len(t), 1 if t else 0, t.count(","), 0, 0.0)
@@ -120,6 +124,10 @@ class Measures:
         size = self.length(n)
         return self.of[n][3] / size if size else 0.0
 
+    def is_inside(self, n: Node, top: Node) -> bool:
+        """Whether a node is a strict descendant."""
+        return top.order < n.order <= self.last[top]
+
     def score(self, n: Node) -> float:
         base = rules.TAG_SCORES.get(n.tag, 0) + class_weight(n.class_id) + self.of[n][4]
         d = self.density(n)
@@ -134,14 +142,6 @@ def ranked_candidates(root: Node, m: Measures) -> list[Node]:
     return sorted(seen, key=lambda n: -m.score(n))
 
 
-def is_inside(n: Node, top: Node) -> bool:
-    while n.parent is not None:
-        n = n.parent
-        if n is top:
-            return True
-    return False
-
-
 def top_candidate(root: Node, m: Measures) -> Node | None:
     """The node that holds the article; the first body where there is no candidate."""
     ranked = ranked_candidates(root, m)
@@ -153,7 +153,7 @@ def top_candidate(root: Node, m: Measures) -> Node | None:
         options = []
         for c in ranked:
             size, d = m.length(c), m.density(c)
-            if c is best or size < rules.MIN_CANDIDATE_CHARS or not is_inside(c, best):
+            if c is best or size < rules.MIN_CANDIDATE_CHARS or not m.is_inside(c, best):
                 continue
             ratio = 0.3 if density > 0.06 and d < 0.03 and size < 0.4 * length else 0.85
             if c.tag == "article" and d < 0.7 * density:
@@ -222,45 +222,92 @@ def is_image_source(src: str | None) -> bool:
     return s.startswith(("/", "./", "../")) or described(s)
 
 
-def has_content(n: Node) -> bool:
-    return bool(n.string()) or any(is_image_source(i.attrs.get("src")) for i in n.elements("img"))
+class Contents:
+    """Of every element below a node: length of its text, of its links' texts, and whether it has text or a good image; and
+    the text itself in one line, so that a phrase is found in a subtree by its place. All bottom-up, in one go."""
+
+    def __init__(self, root: Node):
+        self.of: dict[Node, tuple[int, int, int, bool]] = {}  # characters, texts, link length, good image
+        self.line: dict[Node, tuple[int, int]] = {}  # where the subtree's text lies in the line
+        nodes = [root, *root.walk()]
+        words, at = [], 0
+        for n in nodes:
+            if n.tag is None and (text := " ".join(n.text.lower().split())):
+                self.line[n] = (at, at + len(text))
+                words.append(text)
+                at += len(text) + 1
+        text = " ".join(words)
+        self.phrases = [(len(p), [m.start() for m in re.finditer(f"(?={re.escape(p)})", text)]) for p in rules.BOILERPLATE_PHRASES]
+        for n in reversed(nodes):
+            if n.tag is None:
+                t = n.text.strip()
+                self.of[n] = (len(t), 1 if t else 0, 0, False)
+                continue
+            chars = texts = links = 0
+            image = n.tag == "img" and is_image_source(n.attrs.get("src"))
+            low = high = None
+            for c in n.children:
+                a = self.of[c]
+                chars, texts, links, image = chars + a[0], texts + a[1], links + a[2], image or a[3]
+                if c.tag == "a":
+                    links += self.length(c)
+                if c in self.line:
+                    low, high = self.line[c][0] if low is None else low, self.line[c][1]
+            self.of[n] = (chars, texts, links, image)
+            if low is not None:
+                self.line[n] = (low, high)
+
+    def length(self, n: Node) -> int:
+        chars, texts = self.of[n][:2]
+        return chars + max(texts - 1, 0)
 
+    def has_content(self, n: Node) -> bool:
+        """Text, or an image worth keeping below."""
+        return self.of[n][1] > 0 or any(self.of[c][3] for c in n.children)
 
-def is_boilerplate(n: Node) -> bool:
-    """The block test on the tree as it is."""
-    text = n.string()
-    if not text:
-        return False
-    size = len(text)
-    density = min(1.0, sum(len(a.string()) for a in n.elements("a")) / size)
-    c = n.class_id.strip()
-    hint, strong = bool(_HINT.search(c)), bool(_STRONG.search(c))
-    low = " ".join(text.lower().split())
-    phrase = any(p in low for p in rules.BOILERPLATE_PHRASES)
-    return (
-        (strong and (size < 5000 or density > 0.08)) or (hint and size < 2500 and density > 0.05)
-        or (is_unlikely(n.class_id) and (size < 1600 or density > 0.2)) or (phrase and hint and (density > 0.08 or size < 1200))
-        or (phrase and density > 0.35) or (phrase and strong and size < 2500)
-    )
+    def has_phrase(self, n: Node) -> bool:
+        low, high = self.line.get(n, (0, 0))
+        return any((i := bisect_left(places, low)) < len(places) and places[i] + size <= high for size, places in self.phrases)
+
+    def is_boilerplate(self, n: Node) -> bool:
+        """The block test."""
+        size = self.length(n)
+        if not size:
+            return False
+        density = min(1.0, self.of[n][2] / size)
+        c = n.class_id.strip()
+        hint, strong = bool(_HINT.search(c)), bool(_STRONG.search(c))
+        phrase = self.has_phrase(n)
+        return (
+            (strong and (size < 5000 or density > 0.08)) or (hint and size < 2500 and density > 0.05)
+            or (is_unlikely(n.class_id) and (size < 1600 or density > 0.2)) or (phrase and hint and (density > 0.08 or size < 1200))
+            or (phrase and density > 0.35) or (phrase and strong and size < 2500)
+        )
 
 
 def sanitize(node: Node, boilerplate: bool = True) -> None:
-    """Remove empty links, bad images, boilerplate blocks and empty blocks below a node."""
-    for n in node.elements("a"):
-        if not has_content(n):
-            n.remove()
-    for n in node.elements("img"):
-        if not is_image_source(n.attrs.get("src")):
-            n.remove()
+    """Remove empty links, bad images, boilerplate blocks and empty blocks below a node.
+
+    Empty links and bad images change nothing that is measured; boilerplate is measured anew for each tag, and of nested
+    blocks of one tag the outer one goes. So each step is linear in the page.
+    """
+    now = Contents(node)
+    Node.remove_all(n for n in node.elements("a") if not now.has_content(n))
+    Node.remove_all(n for n in node.elements("img") if not is_image_source(n.attrs.get("src")))
     if boilerplate:
         for tag in rules.BOILERPLATE_TAGS:
-            for n in node.elements(tag):
-                if n.parent is not None and is_inside(n, node) and is_boilerplate(n):
-                    n.remove()
+            if not (blocks := node.elements(tag)):
+                continue
+            now, gone = Contents(node), []
+            upto = -1  # the place of the last node of a block that goes
+            for n in blocks:
+                if n.order > upto and now.is_boilerplate(n):
+                    gone.append(n)
+                    upto = max((x.order for x in n.walk()), default=n.order)
+            Node.remove_all(gone)
+    now = Contents(node)
     for tag in ("li", "p", "div"):
-        for n in node.elements(tag):
-            if not has_content(n):
-                n.remove()
+        Node.remove_all(n for n in node.elements(tag) if not now.has_content(n))
 
 
 def absolutize(node: Node, base: str) -> None:
@@ -288,6 +335,24 @@ BLOCKS = frozenset(
 )
 
 
+#: Elements nested deeper than this are not rendered; what they hold is.
+MOST_DEPTH = 250
+
+
+def flattened(node: Node) -> None:
+    """Put the children of elements that lie too deep in these elements' place."""
+    todo = [(node, 0)]
+    while todo:
+        n, depth = todo.pop()
+        if depth < MOST_DEPTH:
+            todo.extend((c, depth + 1) for c in n.children)
+        elif any(c.tag is not None and c.children for c in n.children):
+            below = [c for c in n.walk() if c.tag is None or not c.children]
+            n.children = []
+            for c in below:
+                n.append(c)
+
+
 def is_safe_url(url: str) -> bool:
     return not url.strip().lower().startswith(("javascript:", "vbscript:", "data:text/html"))
 
@@ -410,9 +475,12 @@ def excerpt_of(text: str, length: int = rules.EXCERPT_CHARS) -> str:
     return (cut[:at] if at > 0.7 * length else cut).rstrip() + "..."
 
 
+def _failed(url: str, error: str) -> dict:
+    return {"url": url, "title": "", "content": "", "markdown": "", "excerpt": "", "word_count": 0, "success": False, "error": error, "author": None, "date_published": None, "language": None, "warnings": []}
+
+
 def extract(html: str | bytes, url: str = "", options: Options = Options()) -> dict:
-    """The article of one page."""
-    out = {"url": url, "title": "", "content": "", "markdown": "", "excerpt": "", "word_count": 0, "success": False, "error": None, "author": None, "date_published": None, "language": None, "warnings": []}
+    """The article of one page; whatever a page holds, a failure is its own row and no one else's."""
     if isinstance(html, bytes):
         try:
             html = html.decode()
@@ -421,27 +489,56 @@ def extract(html: str | bytes, url: str = "", options: Options = Options()) -> d
     try:
         root = parse(html)
     except Exception as e:  # whatever the tokenizer meets in a page
-        return out | {"error": f"Failed to parse HTML: {e}"}
+        return _failed(url, f"Failed to parse HTML: {e}")
+    try:
+        return _article(root, url, options)
+    except Exception as e:
+        return _failed(url, f"{type(e).__name__}: {e}")
+
+
+def _article(root: Node, url: str, options: Options) -> dict:
     host = host_of(url)
     clean(root, host)
-    out["title"] = title_of(root, url)
+    out = _failed(url, "Could not find main content") | {"title": title_of(root, url)}
     node = top_candidate(root, Measures(root))
     if node is None:
-        return out | {"error": "Could not find main content"}
+        return out
     node = moved(node, host)
     if url:
         absolutize(node, url)
     sanitize(node, host not in rules.KEEP_BOILERPLATE)
     for s in rules.REMOVE.get(host, ()):
-        for n in select(node, s):
-            n.remove()
-    content, markdown, text = to_html(node, options.safe_markdown), to_markdown(node, options.safe_markdown), node.string()
+        Node.remove_all(select(node, s))
+    text = node.string()
+    flattened(node)
+    content, markdown = to_html(node, options.safe_markdown), to_markdown(node, options.safe_markdown)
     if host == "infoworld.com":
         content, markdown, text = (_ARTIFACT.sub("", x) for x in (content, markdown, text))
     words = len(text.split())
     if words < options.min_words:
         out["warnings"] = [f"Content below minimum word count ({words} < {options.min_words})"]
-    return out | {"content": content, "markdown": markdown, "excerpt": excerpt_of(text), "word_count": words, "success": True}
+    return out | {"content": content, "markdown": markdown, "excerpt": excerpt_of(text), "word_count": words, "success": True, "error": None}
+
+
+def looks_extractable(html: str) -> bool:
+    """Whether the answer to a missing page may still be an article."""
+    low = html.lower()
+    return len(html) >= rules.EXTRACTABLE_CHARS and any(t in low for t in rules.EXTRACTABLE_SIGNS)
+
+
+def extract_response(html: str | None, status: int | None, url: str = "", options: Options = Options()) -> dict:
+    """The article of an answer with its HTTP status; none is taken as good.
+
+    404 and 410 may be pages made by scripts: what looks like an article is extracted with a warning. Other statuses from
+    400 on fail, and so does an answer without a body.
+    """
+    if status is not None and status >= 400:
+        if status in rules.GONE and html is not None and looks_extractable(html):
+            got = extract(html, url, options)
+            if got["success"]:
+                return got | {"warnings": [*got["warnings"], f"Extracted after HTTP {status} (SPA/client-rendered)"]}
+        return _failed(url, f"HTTP {status}")
+    return extract(html, url, options) if html is not None else _failed(url, "No HTML")
 
 
 _TYPES = [
@@ -451,17 +548,18 @@ _TYPES = [
 ]
 
 
-def extract_articles(pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """(page_id, url, html) -> one article row per page; pages of null html fail."""
+def extract_articles(pages: DataFrame, options: Options = Options(), status_col: str | None = None) -> DataFrame:
+    """(page_id, url, html), and a status where ``status_col`` names it -> one article row per page; pages of null html fail."""
     schema = pa.schema(_TYPES)
+    status = F.lit(None) if status_col is None else F.col(status_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
+            for low in range(0, batch.num_rows, 64):
                 rows = []
-                for page, url, html in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
-                    got = extract(html, url or "", options) if html is not None else extract("", url or "", options) | {"success": False, "error": "No HTML", "warnings": []}
+                for page, url, html, code in zip(*(c.to_pylist() for c in batch.slice(low, 64).columns), strict=True):
+                    got = extract_response(html, code, url or "", options)
                     rows.append([page, *(got[k] for k, _ in _TYPES[1:])])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _TYPES, strict=True)], schema=schema)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, ARTICLE_SCHEMA)
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", status.cast("int").alias("status"))).mapInArrow(run, ARTICLE_SCHEMA)

@@ -42,24 +42,32 @@ def requeued(fetched: DataFrame) -> DataFrame:
     return ok.filter("ok = 0 and limited = 1").select("url")
 
 
+#: What stands for a status where a fetch ended without one: connection or read timeout, any other error.
+TIMED_OUT, BROKEN = 0, -1
+
+
 def retry_plan(status: Column, attempt: Column, host_delay: Column) -> tuple[Column, Column]:
-    """(action, wait) of a discovery fetch: done, gone, retry after a wait, or stop."""
-    action = (
-        F.when(status < 400, "done").when(status.isin(404, 410), "gone").when(status.isin(429, 403, 503), "retry")
-        .when(status == 0, "retry").otherwise("stop")
-    )
+    """(action, wait) of a discovery fetch: done, gone (404, 410), retry after a wait, or stop (any other error than a timeout)."""
+    action = F.when(status == BROKEN, "stop").when(status == TIMED_OUT, "retry").when(status < 400, "done").when(status.isin(404, 410), "gone").otherwise("retry")
     wait = F.when(status == 429, host_delay).when(status.isin(403, 503), 5.0 * attempt).when(status == 0, host_delay * attempt).otherwise(0.0)
     return action, wait
 
 
-def ordered_seeds(seeds: DataFrame) -> DataFrame:
-    """(url) -> (url, seq): sorted, each once. A range sort; each partition's rows are numbered from where the ones before end."""
+def numbered(df: DataFrame, *order, name: str = "seq") -> DataFrame:
+    """``df`` with its rows numbered from 1 in the order given, which must be strict: a range sort, whose partitions are
+    numbered from where the ones before them end, so no task holds more than its range."""
     made = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
-    own = seeds.filter(F.col("url").isNotNull()).distinct().orderBy("url").select("url", made.alias("id"))
-    own = staged(own, "seeds").select("url", F.shiftright("id", 33).alias("part"), (F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("at"))
+    columns = df.columns
+    own = staged(df.orderBy(*order).withColumn(name, made), "numbered").withColumn("part_of_order", F.shiftright(name, 33))
     offsets, n = [], 0
-    for part, rows in sorted(own.groupBy("part").count().collect()):
+    for part, rows in sorted(own.groupBy("part_of_order").count().collect()):
         offsets.append((part, n))
         n += rows
-    before = seeds.sparkSession.createDataFrame(offsets, "part long, before long")
-    return own.join(F.broadcast(before), "part").select("url", (F.col("before") + F.col("at")).cast("int").alias("seq"))
+    before = df.sparkSession.createDataFrame(offsets, "part_of_order long, rows_before long")
+    at = F.col("rows_before") + F.col(name).bitwiseAND((1 << 33) - 1) + 1
+    return own.join(F.broadcast(before), "part_of_order").select(*columns, at.alias(name))
+
+
+def ordered_seeds(seeds: DataFrame) -> DataFrame:
+    """(url) -> (url, seq): sorted, each once."""
+    return numbered(seeds.filter(F.col("url").isNotNull()).select("url").distinct(), "url").select("url", F.col("seq").cast("int").alias("seq"))

@@ -15,24 +15,24 @@ from ..functions import urls as U
 from ..plans import rules
 from ..session import staged
 
+
 def _under(is_root: Column) -> Column:
     """Whether a node lies in the subtree of an earlier node, or of itself, for which ``is_root`` holds."""
     upto = W.partitionBy("page_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
     return F.coalesce(F.max(F.when(is_root, F.col("last_desc"))).over(upto) >= F.col("node_id"), F.lit(False))
 
 
-def is_stripped(host: Column | None = None) -> Column:
-    """Nodes that cleaning removes: by tag, for some hosts fewer, and by role."""
+def is_stripped(kept_tags: Column | None = None) -> Column:
+    """Nodes that cleaning removes: by tag, but for those that the host's rules keep, and by role."""
     strip = F.col("tag").isin(*rules.STRIP_TAGS)
-    if host is not None:
-        for name, kept in rules.KEPT_TAGS.items():
-            strip = strip & ~((host == name) & F.col("tag").isin(*kept))
+    if kept_tags is not None:
+        strip = strip & ~F.coalesce(F.array_contains(kept_tags, F.col("tag")), F.lit(False))
     return F.coalesce(strip | F.coalesce(F.col("attrs")["role"], F.lit("")).isin(*rules.STRIP_ROLES), F.lit(False))
 
 
-def cleaned(nodes: DataFrame, host: Column | None = None) -> DataFrame:
-    """Nodes without the subtrees of stripped tags and roles."""
-    return nodes.withColumn("gone", _under(is_stripped(host))).filter(~F.col("gone")).drop("gone")
+def cleaned(nodes: DataFrame, kept_tags: Column | None = None) -> DataFrame:
+    """Nodes without the subtrees of stripped tags and roles; ``kept_tags`` is an array column, as host rules have it."""
+    return nodes.withColumn("gone", _under(is_stripped(kept_tags))).filter(~F.col("gone")).drop("gone")
 
 
 def _totals(nodes: DataFrame, **sums: Column) -> DataFrame:
@@ -101,6 +101,26 @@ def refined(ranked: DataFrame, rounds: int = 3) -> DataFrame:
     return now.select("page_id", "t.node_id", "t.last_desc", "t.score")
 
 
+def chosen(elements: DataFrame) -> DataFrame:
+    """(page_id, node_id, last_desc, score) of the node that holds the article: the refined top candidate, or the first body
+    of pages without candidates."""
+    elements = staged(elements, "elements")
+    top = refined(candidates(elements))
+    body = F.min_by(F.struct("node_id", "last_desc", "score"), F.when(F.col("tag") == "body", F.col("node_id"))).alias("b")
+    bodies = elements.groupBy("page_id").agg(body).filter(F.col("b").isNotNull())
+    found = bodies.join(top.select("page_id", F.struct("node_id", "last_desc", "score").alias("t")), "page_id", "left")
+    return found.select("page_id", F.coalesce("t", "b").alias("n")).select("page_id", "n.*")
+
+
+def select_tags(nodes: DataFrame, tags: list[str], root: Column | None = None) -> DataFrame:
+    """(page_id, place, node_id, tag) of the elements with one of ``tags``: by tag in the order given, then in document order;
+    those for which ``root`` holds come last."""
+    order = F.array_position(F.array(*map(F.lit, tags)), F.col("tag"))
+    last = F.coalesce(root, F.lit(False)) if root is not None else F.lit(False)
+    found = nodes.filter(F.col("tag").isin(*tags)).select("page_id", "node_id", "tag", order.alias("o"), last.alias("l"))
+    return found.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("l", "o", "node_id")).alias("place"), "node_id", "tag")
+
+
 def subtree_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(page_id, text) of each root (page_id, node_id, last_desc): texts of the subtree joined by one space."""
     r = roots.select("page_id", F.col("node_id").alias("root"), F.col("last_desc").alias("upto"))

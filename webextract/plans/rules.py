@@ -79,6 +79,10 @@ STRONG_HINTS = (
 )
 BOILERPLATE_TAGS = ("div", "section", "aside", "ul", "ol", "p")
 
+# Statuses of pages that are gone, and what an article sent with one looks like.
+GONE = (404, 410)
+EXTRACTABLE_CHARS, EXTRACTABLE_SIGNS = 500, ("<article", "<main", "</p>")
+
 # Attributes that hold URLs.
 URL_ATTRIBUTES = {
     "a": ("href",), "img": ("src", "srcset"), "source": ("src", "srcset"), "video": ("src", "poster"), "audio": ("src",),

@@ -11,12 +11,12 @@ from pyspark.sql.window import Window as W
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import article, crawl, jobs, nodes
-from .plans import rules
-from .session import table
+from .operators import article, crawl, discovery, fetch, hosts, jobs, nodes
+from .plans import observe, rules
+from .session import staged, table
 from .sources import html as H
 from .sources import sitemaps
-from .streaming import state
+from .streaming import state, storage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,7 +116,7 @@ def u17_cache_key(spark, sf):
     return pages(spark, sf).select("page_id", U.cache_key(F.col("url")).alias("cache_key"))
 
 
-@query("SELECT event_id, least(0.3 * (event_id % 12), 1.5) AS delay FROM events")
+@query("SELECT event_id, least(0.3 * (event_id % 12), 1.5)::DOUBLE AS delay FROM events")
 def u18_backoff(spark, sf):
     return table(spark, sf, "events").select("event_id", T.backoff(F.col("event_id") % 12).alias("delay"))
 
@@ -138,12 +138,6 @@ def p29_proxy_bypass(spark, sf):
     return pages(spark, sf).select("page_id", U.bypasses_proxy(U.netloc(F.col("url")), [".example.org", "m.thther.example.org:8080", "*.example.net"]).alias("bypass"))
 
 
-@query(f"WITH {_PARTS} SELECT page_id, sch IN ('http', 'https') AND net IN (SELECT net FROM p WHERE page_id < 5) AS same_host FROM p")
-def p28_same_host(spark, sf):
-    p = pages(spark, sf).select("page_id", "url", U.netloc(F.col("url")).alias("net"))
-    seeds = p.filter("page_id < 5").select("net", F.lit(True).alias("seed")).distinct()
-    return p.join(seeds, "net", "left").select("page_id", F.coalesce("seed", F.lit(False)).alias("same_host"))
-
 
 _LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)"""
 
@@ -255,11 +249,6 @@ def p18_boilerplate(spark, sf):
 _IMAGES = ("https://example.com/assets/my-pixel.gif", "/pixel.gif", "photo-1x1-ratio.png", "https://tracking.example.com/image.jpg", "t.gif", "data:image/png;base64,AA", "data:text/html,x", "../a", "//cdn.example.com/x", "big.jpeg?w=1", "javascript:x", "")
 
 
-@query("SELECT page_id, [true, false, true, false, false, true, false, true, true, true, false, false][(page_id % 12 + 1)::INTEGER] AND true AS image, page_id % 12 NOT IN (6, 10) AS safe FROM pages".replace("true, false, false][", "false, false, false]["))
-def p12_image_source(spark, sf):
-    src = F.element_at(F.array(*map(F.lit, _IMAGES)), (F.col("page_id") % 12 + 1).cast("int"))
-    return pages(spark, sf).select("page_id", T.is_image_source(src).alias("image"), U.is_safe(src).alias("safe"))
-
 
 # --- Pages -----------------------------------------------------------------------------------------------------------
 
@@ -280,45 +269,13 @@ def p1_parse(spark, sf):
     return H.parse_nodes(pages(spark, sf)).groupBy("page_id").agg(n("li", "items"), n("a", "links"), n("p", "paragraphs"))
 
 
-@query("SELECT page_id, 0::BIGINT AS stripped, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, 0::BIGINT AS items FROM pages")
-def p2_clean(spark, sf):
-    n = lambda c, name: F.count_if(c).alias(name)
-    return _cleaned(spark, sf).groupBy("page_id").agg(n(F.col("tag").isin(*rules.STRIP_TAGS), "stripped"), n(F.col("tag") == "p", "paragraphs"), n(F.col("tag") == "li", "items"))
-
 
 @query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
 def w8_title(spark, sf):
     return nodes.titles(_cleaned(spark, sf), pages(spark, sf))
 
 
-def _measured(spark, sf):
-    return nodes.scored(nodes.measured(_cleaned(spark, sf)))
-
-
-@query()
-def a8_content_score(spark, sf):
-    """Text length, link density and score of every element."""
-    return _measured(spark, sf).select("page_id", "node_id", "tag", "text_length", F.round("link_density", 9).alias("link_density"), F.round("score", 9).alias("score"))
-
 
-@query("SELECT page_id, 'article' AS tag, 1 AS rank FROM pages")
-def w3_rank(spark, sf):
-    """Candidates by rank; the pages have one article each and nothing else."""
-    return nodes.candidates(_measured(spark, sf)).filter("rank = 1").select("page_id", "tag", "rank")
-
-
-@query()
-def w5_refine(spark, sf):
-    top = nodes.refined(nodes.candidates(_measured(spark, sf)))
-    return top.select("page_id", "node_id", F.round("score", 9).alias("score"))
-
-
-@query()
-def r3_text(spark, sf):
-    """Text of the chosen node, by set operations."""
-    clean = _cleaned(spark, sf)
-    top = nodes.refined(nodes.candidates(nodes.scored(nodes.measured(clean))))
-    return nodes.subtree_text(clean, top)
 
 
 @query()
@@ -341,12 +298,6 @@ def snk7_text(spark, sf):
     return crawl.render(article.extract_articles(pages(spark, sf)), "text")
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
-def j9_fetch_snapshot(spark, sf):
-    """SRC4: wanted URLs joined with a snapshot of pages."""
-    wanted = pages(spark, sf).filter("page_id % 3 = 0").select("url")
-    return wanted.join(pages(spark, sf), "url").select("page_id", "url")
-
 
 @query("SELECT page_id, html FROM pages")
 def src1_bytes(spark, sf):
@@ -361,10 +312,6 @@ def _results(spark, sf):
     return crawl.crawl_results(article.extract_articles(pages(spark, sf)), F.lit("2024-01-01T00:00:00+00:00"))
 
 
-@query("SELECT count(*) AS total_pages, count(*) AS successful, 0::BIGINT AS failed, 0::BIGINT AS skipped FROM pages")
-def a10_manifest_counts(spark, sf):
-    return crawl.counters(_results(spark, sf))
-
 
 @query("""WITH e AS (SELECT event_id, value > 0 AS ok, event_id % 5 AS w FROM events)
 SELECT event_id, CASE WHEN ok AND w > 0 THEN 'success' WHEN ok THEN 'skipped' ELSE 'failed' END AS status,
@@ -374,36 +321,6 @@ def a11_classify(spark, sf):
     return table(spark, sf, "events").select("event_id", status.alias("status"), error.alias("error"))
 
 
-@query()
-def snk1_markdown_files(spark, sf):
-    text = crawl.markdown_file(F.col("url"), F.col("title"), F.col("extracted_at"), F.col("word_count"), F.col("markdown"))
-    return _results(spark, sf).select("file_path", text.alias("text"))
-
-
-@query()
-def snk3_manifest(spark, sf):
-    parts = crawl.manifest(_results(spark, sf), crawl.CrawlConfig(), "job", "2024-01-01T00:00:00", "2024-01-01T01:00:00", 3600.0)
-    return parts.select("kind", "json")
-
-
-@query(rf"""WITH {_PARTS}, u AS (SELECT DISTINCT sch || '://' || lower(net) || {_PATH} || {_QUERY} AS url, page_id FROM p WHERE page_id < 20),
-s AS (SELECT url, row_number() OVER (ORDER BY page_id)::BIGINT AS seq, page_id FROM u),
-{_LINKS}, e AS (SELECT s.seq AS pseq, l.pos, s.url AS parent, regexp_extract(l.url, '^([a-z]+://[^/?#]*)', 1) || href AS url FROM l JOIN s USING (page_id)),
-d AS (SELECT url, min(row(pseq, pos, parent)) AS m FROM e WHERE url NOT IN (SELECT url FROM s) GROUP BY url),
-k AS (SELECT url, m[3] AS parent, row_number() OVER (ORDER BY m[1], m[2], url) AS r FROM d)
-SELECT url, 0 AS depth, NULL::VARCHAR AS parent, seq FROM s
-UNION ALL SELECT url, 1 AS depth, parent, (r + (SELECT count(*) FROM s))::BIGINT AS seq FROM k WHERE r + (SELECT count(*) FROM s) <= 100""")
-def g5_breadth_first(spark, sf):
-    """Seeds: the first twenty pages; links lead out of the snapshot, so one round finds all."""
-    seeds = tuple(r[0] for r in pages(spark, sf).filter("page_id < 20").orderBy("page_id").select("url").collect())
-    return crawl.breadth_first(spark, crawl.CrawlConfig(seeds=seeds), crawl.page_edges(pages(spark, sf)))
-
-
-@query("""SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0""")
-def g6_collected(spark, sf):
-    p = pages(spark, sf)
-    return p.filter("page_id % 2 = 0").select("url").union(p.filter("page_id % 3 = 0").select("url")).distinct()
-
 
 @query("SELECT page_id, url FROM pages WHERE page_id % 4 <> 0")
 def j2_not_visited(spark, sf):
@@ -412,18 +329,6 @@ def j2_not_visited(spark, sf):
     return p.join(p.filter("page_id % 4 = 0").select("url"), "url", "left_anti").select("page_id", "url")
 
 
-@query("""SELECT 'm.xml' AS source, u AS url FROM (VALUES ('https://a.example/1'), ('https://a.example/2'), ('https://a.example/3')) t(u)""")
-def src9_sitemaps(spark, sf):
-    """SRC7-SRC9 on an index of two sitemaps, one of another namespace, that also names itself."""
-    loc = lambda *u: "".join(f"<url><loc> {x} </loc></url>" for x in u)
-    docs = [
-        ("m.xml", f"<sitemapindex>{loc('a.xml', 'm.xml', 'b.xml', 'https://far.example/s.xml')}</sitemapindex>"),
-        ("a.xml", f'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{loc("https://a.example/1", "https://a.example/2")}</urlset>'),
-        ("b.xml", f"<urlset>{loc('https://a.example/3')}</urlset>"), ("c.xml", "<broken"),
-    ]
-    known = spark.createDataFrame([(*d, 200) for d in docs], "source string, xml string, status int")
-    return sitemaps.load(spark.createDataFrame([("m.xml",), ("c.xml",)], "source string"), known)
-
 
 # --- State ------------------------------------------------------------------------------------------------------------
 
@@ -461,16 +366,6 @@ def a12_recent_rate(spark, sf):
     return state.recent_limit_share(keyed_events(spark, sf)).select("seq", F.round("share", 9).alias("share"))
 
 
-@query(f"""WITH {_EVENTS}, {_ORDERED} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS r FROM e) WHERE r <= 100""")
-def w13_ring(spark, sf):
-    w = W.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))
-    return keyed_events(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 100").select("key", "seq")
-
-
-@query(f"""WITH {_EVENTS} SELECT key, count(*) AS requests, sum(CASE WHEN limited THEN 1 ELSE 0 END)::BIGINT AS limits FROM e GROUP BY key""")
-def a13_host_stats(spark, sf):
-    return keyed_events(spark, sf).groupBy("key").agg(F.count("*").alias("requests"), F.count_if("limited").alias("limits"))
-
 
 @query(f"""WITH {_EVENTS}, l AS (SELECT key, max(row(ts, seq)) AS m FROM e GROUP BY key ORDER BY m DESC LIMIT 25) SELECT key, m[2] AS seq FROM l""")
 def w11_lru(spark, sf):
@@ -502,19 +397,6 @@ def st7_throttle(spark, sf):
     return state.throttled(keyed_events(spark, sf), 30.0).select("key", "seq", F.round("start", 3).alias("start"))
 
 
-@query("""WITH r AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' ELSE 'skipped' END AS status FROM pages)
-SELECT page_id, status, sum((status = 'success')::INT) OVER w::BIGINT AS successful, sum((status = 'failed')::INT) OVER w::BIGINT AS failed,
-sum((status = 'skipped')::INT) OVER w::BIGINT AS skipped, count(*) OVER w AS fetched FROM r WINDOW w AS (ORDER BY page_id ROWS UNBOUNDED PRECEDING) QUALIFY page_id < 10000""".replace(" QUALIFY page_id < 10000", ""))
-def st12_progress(spark, sf):
-    status = F.element_at(F.array(*map(F.lit, ("success", "failed", "skipped"))), (F.col("page_id") % 3 + 1).cast("int"))
-    return crawl.progress(pages(spark, sf).select("page_id", "url", status.alias("status")), "page_id").drop("url")
-
-
-@query(f"""WITH {_EVENTS} SELECT event_type AS name, (key % 5)::VARCHAR || 'xx' AS status_group, count(*) AS n, round(sum(value), 6) AS total, max(value) AS largest FROM e GROUP BY ALL""")
-def a15_metrics(spark, sf):
-    """Counters and timers by tags."""
-    e = keyed_events(spark, sf).withColumn("tags", F.create_map(F.lit("status_group"), F.concat((F.col("key") % 5).cast("string"), F.lit("xx"))))
-    return e.groupBy(F.col("event_type").alias("name"), F.col("tags")["status_group"].alias("status_group")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("largest"))
 
 
 @query("""SELECT event_id, 'app.' || event_type || ':' || (event_id % 9) || CASE WHEN event_id % 2 = 0 THEN '|c' ELSE '|ms' END || '|#user:' || user_id AS line FROM events""")
@@ -530,11 +412,6 @@ def u22_canonical(spark, sf):
     return table(spark, sf, "events").select("event_id", T.canonical_json(m).alias("payload"))
 
 
-@query("SELECT count(*) AS running, count(*) < 3 AS can_start FROM (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 50)")
-def a18_can_start(spark, sf):
-    states = table(spark, sf, "events").filter("event_id < 50").select(F.when(F.col("event_type") == "error", "running").otherwise("queued").alias("status"))
-    return jobs.can_start(states, 3)
-
 
 # --- Jobs, caches, rules ---------------------------------------------------------------------------------------------
 
@@ -570,61 +447,536 @@ def j7_response_cache(spark, sf):
     return jobs.response_cache(p.select("page_id", "key"), stored).drop("key")
 
 
-@query(f"""WITH {_PARTS} SELECT page_id, regexp_replace(lower(net), '^www\\.', '') LIKE '%.example.net' AND page_id % 2 = 0 AS kept FROM p""")
+
+
+@query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN ' id-' || event_id || ' ' ELSE '  ' END), ''), 'new') AS request_id FROM events")
+def u20_request_id(spark, sf):
+    """A new id is random, so it is shown as ``new``."""
+    head = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" id-"), F.col("event_id"), F.lit(" "))).otherwise("  ")
+    made = T.request_id(head)
+    return table(spark, sf, "events").select("event_id", F.when(F.length(made) == 32, "new").otherwise(made).alias("request_id"))
+
+
+# --- Images, hosts, snapshots ----------------------------------------------------------------------------------------
+
+_NAMES = "(" + "|".join(x.replace(".", r"\.") for x in rules.TRACKING_FILES) + ")"
+#: The rule of images worth keeping, over a column src.
+_IMAGE = rf"""(CASE WHEN trim(src) = '' THEN false
+  WHEN src LIKE 'data:%' THEN regexp_matches(src, '^data:image/({"|".join(rules.DATA_IMAGES)})')
+  WHEN regexp_matches(src, '^[^?#]*?(^|/){_NAMES}([?#]|$)') OR regexp_matches(src, '^([a-z]*:)?//({"|".join(x.replace(".", r"[.]") for x in rules.TRACKING_DOMAINS)})') THEN false
+  WHEN regexp_matches(src, '^(https?:)?//') THEN NOT contains(regexp_extract(src, '([^/?#]*)([?#].*)?$', 1), '.') OR regexp_matches(src, '[^/?#.][^/?#]+[.]({"|".join(rules.IMAGE_EXTENSIONS)})([?#].*)?$')
+  WHEN regexp_matches(src, '^[.]{{0,2}}/') THEN true
+  ELSE regexp_matches(src, '[^/]{{2,}}[.]({"|".join(rules.IMAGE_EXTENSIONS)})$') END)"""
+_SOURCES = "s AS (SELECT page_id, [" + ", ".join(f"'{x}'" for x in _IMAGES) + "][(page_id % 12 + 1)::INTEGER] AS src FROM pages)"
+
+
+def _image_source():
+    return F.element_at(F.array(*map(F.lit, _IMAGES)), (F.col("page_id") % 12 + 1).cast("int"))
+
+
+@query(f"WITH {_SOURCES} SELECT page_id, {_IMAGE} AS image, NOT regexp_matches(lower(trim(src)), '^(javascript:|vbscript:|data:text/html)') AS safe FROM s")
+def p12_image_source(spark, sf):
+    """P11-P15."""
+    src = _image_source()
+    return pages(spark, sf).select("page_id", T.is_image_source(src).alias("image"), U.is_safe(src).alias("safe"))
+
+
+@query(f"WITH {_PARTS} SELECT page_id, sch IN ('http', 'https') AND net IN (SELECT net FROM p WHERE page_id < 5) AS same_host FROM p")
+def p28_same_host(spark, sf):
+    """The first five pages are seeds."""
+    p = pages(spark, sf)
+    return crawl.on_seed_hosts(p, p.filter("page_id < 5")).select("page_id", "same_host")
+
+
+_HOSTS = sorted({*rules.KEPT_TAGS, *rules.KEEP_BOILERPLATE, *rules.MOVE_TO, *rules.REMOVE, "plain.example"})
+_sql_map = lambda f: "MAP {" + ", ".join(f"'{h}': {f(h)}" for h in _HOSTS) + "}"
+
+
+@query(f"""WITH h AS (SELECT page_id, [{", ".join(f"'{h}'" for h in _HOSTS)}][(page_id % {len(_HOSTS)} + 1)::INTEGER] AS host FROM pages)
+SELECT page_id, {_sql_map(lambda h: len(rules.KEPT_TAGS.get(h, ())))}[host] AS kept, {_sql_map(lambda h: str(h in rules.KEEP_BOILERPLATE).lower())}[host] AS keeps_boilerplate,
+{_sql_map(lambda h: len(rules.REMOVE.get(h, ())))}[host] AS removes, {_sql_map(lambda h: repr(rules.MOVE_TO.get(h, ("",))[0]))}[host] AS first_move FROM h""")
 def j5_host_rules(spark, sf):
-    """A rule table by host, joined to the pages."""
-    p = pages(spark, sf).select("page_id", U.host(F.col("url")).alias("host"))
-    listed = p.select("host").distinct().filter(F.col("host").endswith(".example.net")).withColumn("rule", F.lit(True))
-    return p.join(listed, "host", "left").select("page_id", (F.coalesce("rule", F.lit(False)) & (F.col("page_id") % 2 == 0)).alias("kept"))
+    """Rules of hosts joined to pages, whose hosts are made from their ids."""
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    p = pages(spark, sf).select("page_id", F.concat(F.lit("https://WWW."), host, F.lit("/x")).alias("url"))
+    r = hosts.with_rules(p, hosts.host_rules(spark))
+    return r.select("page_id", F.size("kept_tags").alias("kept"), "keeps_boilerplate", F.size("removes").alias("removes"), F.coalesce(F.try_element_at("moves_to", F.lit(1)), F.lit("")).alias("first_move"))
 
 
-@query("""WITH f AS (SELECT user_id AS u, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 429 ELSE 500 END AS s FROM events WHERE event_id % 50 < 6)
-SELECT 'http://h/' || u AS url FROM f GROUP BY u HAVING count(*) FILTER (s < 400) = 0 AND count(*) FILTER (s = 429) > 0""")
-def g8_requeue(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 50 < 6")
-    status = F.when(F.col("event_id") % 6 == 0, 200).when(F.col("event_id") % 6 == 1, 429).otherwise(500)
-    return jobs.requeued(e.select(F.concat(F.lit("http://h/"), F.col("user_id")).alias("url"), status.alias("status")))
+@query("SELECT page_id, page_id % 5 <> 0 AS known, CASE WHEN page_id % 5 <> 0 THEN length(html) END AS length, CASE WHEN page_id % 5 <> 0 THEN 200 END AS status FROM pages")
+def j9_fetch_snapshot(spark, sf):
+    """SRC4: wanted URLs, in another writing, joined with a snapshot of four fifths of the pages."""
+    p = pages(spark, sf)
+    wanted = p.select("page_id", F.concat(F.lit(" "), F.regexp_replace(F.col("url"), "#.*$", ""), F.lit("#top ")).alias("url"))
+    got = fetch.from_snapshot(wanted, p.filter("page_id % 5 <> 0").select("url", "html"))
+    return got.select("page_id", F.col("error").isNull().alias("known"), F.length("html").cast("long").alias("length"), "status")
 
 
-@query("""WITH f AS (SELECT event_id, [200, 404, 410, 429, 403, 503, 0, 500][event_id % 8 + 1] AS s, event_id % 3 + 1 AS n FROM events)
-SELECT event_id, CASE WHEN s IN (404, 410) THEN 'gone' WHEN s IN (429, 403, 503, 0) THEN 'retry' WHEN s < 400 THEN 'done' ELSE 'stop' END AS action,
-(CASE WHEN s = 429 THEN 2.0 WHEN s IN (403, 503) THEN 5.0 * n WHEN s = 0 THEN 2.0 * n ELSE 0 END)::DOUBLE AS wait FROM f""")
-def st9_retry_plan(spark, sf):
-    s = F.element_at(F.array(*map(F.lit, (200, 404, 410, 429, 403, 503, 0, 500))), (F.col("event_id") % 8 + 1).cast("int"))
-    action, wait = jobs.retry_plan(F.when(s == 0, 0).otherwise(s), F.col("event_id") % 3 + 1, F.lit(2.0))
-    action = F.when(s == 0, "retry").otherwise(action)
-    return table(spark, sf, "events").select("event_id", action.alias("action"), wait.cast("double").alias("wait"))
+@query("""SELECT 'http://h/' || page_id AS url, [NULL, 200, 404, 200, 503][(page_id % 5 + 1)::INTEGER] AS status, [3, 3, 1, 1, 3][(page_id % 5 + 1)::INTEGER] AS attempts, page_id % 5 = 0 AS broken FROM pages""")
+def st8_fetch_retries(spark, sf):
+    """SRC4, C3: a user's function, which raises, recovers at the third try, or answers at once."""
+    seen: dict[str, int] = {}
 
+    def answer(url: str) -> tuple[str, int]:
+        kind, seen[url] = int(url.rsplit("/", 1)[-1]) % 5, seen.get(url, 0) + 1
+        if kind == 0:
+            raise OSError("no route")
+        return "x", {1: 429 if seen[url] < 3 else 200, 2: 404, 3: 200, 4: 503}[kind]
 
-@query("WITH u AS (SELECT DISTINCT url FROM pages WHERE page_id < 30) SELECT url, row_number() OVER (ORDER BY url)::INTEGER AS seq FROM u")
-def w10_seed_order(spark, sf):
-    return jobs.ordered_seeds(pages(spark, sf).filter("page_id < 30").select("url"))
+    urls = pages(spark, sf).select(F.concat(F.lit("http://h/"), F.col("page_id")).alias("url"))
+    got = fetch.fetched(urls, answer, sleep=lambda s: None)
+    return got.select("url", "status", "attempts", (F.col("error") == "no route").alias("broken")).na.fill(False, ["broken"])
 
 
-@query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages)
-SELECT page_id, replace(replace(replace(replace(trim(x), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM t""")
-def p5_select_by_tag(spark, sf):
-    """Elements by tag, here the first title."""
-    n = H.parse_nodes(pages(spark, sf))
-    roots = n.filter("tag = 'title'").groupBy("page_id").agg(F.min_by(F.struct("node_id", "last_desc"), "node_id").alias("r")).select("page_id", "r.*")
-    return nodes.subtree_text(n, roots).withColumnRenamed("text", "title")
+_STATUS = "[404, 410, 500, 403, 200, 301, 200][(page_id % 7 + 1)::INTEGER]"
+_LOOKS = "length(html) >= 500 AND (contains(lower(html), '<article') OR contains(lower(html), '<main') OR contains(lower(html), '</p>'))"
 
 
-@query()
+@query(f"""WITH s AS (SELECT page_id, {_STATUS} AS s, {_LOOKS} AS looks FROM pages), g AS (SELECT *, s < 400 OR (s IN (404, 410) AND looks) AS ok FROM s)
+SELECT page_id, ok AS success, CASE WHEN NOT ok THEN 'HTTP ' || s END AS error, CASE WHEN ok AND s >= 400 THEN 'Extracted after HTTP ' || s || ' (SPA/client-rendered)' ELSE '' END AS warning FROM g""")
+def p32_status_extraction(spark, sf):
+    """Pages with statuses by their id: missing ones that look like articles are extracted with a warning."""
+    status = F.element_at(F.array(*[F.lit(x) for x in (404, 410, 500, 403, 200, 301, 200)]), (F.col("page_id") % 7 + 1).cast("int"))
+    got = article.extract_articles(pages(spark, sf).withColumn("status", status), status_col="status")
+    return got.select("page_id", "success", "error", F.array_join(F.filter("warnings", lambda w: w.startswith("Extracted")), "").alias("warning"))
+
+
+@query("""WITH p AS (SELECT page_id AS u, i AS poll, CASE WHEN page_id % 6 = 5 THEN i ELSE least(i, page_id % 6) END AS c FROM pages, range(1, 9) t(i)),
+m AS (SELECT *, lag(c) OVER (PARTITION BY u ORDER BY poll) = c AS same FROM p), f AS (SELECT u, min(poll) FILTER (same) AS first, max(poll) AS last FROM m GROUP BY u)
+SELECT u::VARCHAR AS url, coalesce(first, last) AS poll, first IS NOT NULL AS stable FROM f""")
+def w14_stable_pages(spark, sf):
+    """SRC5, W14: polls of a page until two are equal."""
+    poll = F.col("poll")
+    p = pages(spark, sf).select("page_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("poll"))
+    content = F.when(F.col("page_id") % 6 == 5, poll).otherwise(F.least(poll, F.col("page_id") % 6)).cast("string")
+    return fetch.stable_pages(p.select(F.col("page_id").cast("string").alias("url"), "poll", content.alias("content"))).select("url", "poll", "stable")
+
+
+# --- Pages of known shapes -------------------------------------------------------------------------------------------
+
+_TAGS, _CLASSES = ("article", "main", "div", "section"), ("post", "sidebar", "", "photo wide", "media")
+
+
+def shapes(spark, sf) -> DataFrame:
+    """A page per page of the table, with four blocks in a row: tag, class, commas, and words in links follow from its id."""
+    i = F.col("page_id")
+    parts = []
+    for b, tag in enumerate(_TAGS):
+        c = F.element_at(F.array(*map(F.lit, _CLASSES)), ((i + b) % len(_CLASSES) + 1).cast("int"))
+        text, link = F.rtrim(F.repeat(F.lit("abcd, "), (F.lit(20) + (i * 7 + b * 31) % 150).cast("int"))), F.rtrim(F.repeat(F.lit("link "), ((i + 13 * b) % 60).cast("int")))
+        parts += [F.lit(f'<{tag} class="'), c, F.lit('"><p>'), text, F.lit('</p><a href="/x">'), link, F.lit(f"</a></{tag}>")]
+    return pages(spark, sf).select("page_id", "url", F.concat(F.lit("<html><body>"), *parts, F.lit("</body></html>")).alias("html"))
+
+
+#: The same blocks in SQL: text and link length, points, weight, score, and whether each is a candidate.
+_SHAPES = f"""b AS (SELECT page_id, b, [{", ".join(f"'{t}'" for t in _TAGS)}][(b + 1)::INTEGER] AS tag, [{", ".join(f"'{c}'" for c in _CLASSES)}][((page_id + b) % {len(_CLASSES)} + 1)::INTEGER] || ' ' AS c,
+  20 + (page_id * 7 + b * 31) % 150 AS n, (page_id + 13 * b) % 60 AS m FROM pages, range(4) t(b)),
+l AS (SELECT *, greatest(5 * m - 1, 0) AS link, 6 * n - 1 + CASE WHEN m > 0 THEN 5 * m ELSE 0 END AS text_length FROM b),
+w AS (SELECT *, link / text_length AS d, 5 + 1 + n + least((6 * n - 1) // 100, 3) + CASE WHEN trim(c) = '' THEN 0 ELSE CASE WHEN {_sql_any('c', rules.POSITIVE)} THEN 25 ELSE 0 END
+  - CASE WHEN {_sql_any('c', rules.NEGATIVE)} THEN 25 ELSE 0 END + CASE WHEN {_sql_any('c', rules.PHOTO)} THEN 10 ELSE 0 END END AS base,
+  NOT (trim(c) <> '' AND {_sql_any('c', rules.UNLIKELY)} AND NOT {_sql_any('c', rules.MAYBE)}) AND (b < 2 OR text_length > {rules.MIN_CANDIDATE_CHARS}) AS candidate FROM l),
+s AS (SELECT *, CASE WHEN d > {rules.LINK_DENSITY_LIMIT} THEN base * (1 - d) ELSE base END::DOUBLE AS score FROM w)"""
+
+
+def _measured(spark, sf):
+    return nodes.scored(nodes.measured(nodes.cleaned(H.parse_nodes(shapes(spark, sf)))))
+
+
+@query(f"WITH {_SHAPES} SELECT page_id, tag, text_length, round(d, 9) AS link_density, round(score, 9) AS score FROM s")
+def a8_content_score(spark, sf):
+    """Text length, link density and score of the blocks."""
+    n = _measured(spark, sf).filter(F.col("tag").isin(*_TAGS))
+    return n.select("page_id", "tag", F.col("text_length").cast("long").alias("text_length"), F.round("link_density", 9).alias("link_density"), F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_SHAPES} SELECT page_id, tag, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 9) DESC, b)::INTEGER AS rank FROM s WHERE candidate")
+def w1_candidates(spark, sf):
+    """All candidates by rank."""
+    n = _measured(spark, sf).withColumn("score", F.round("score", 9))
+    return nodes.candidates(n).select("page_id", "tag", "rank")
+
+
+@query(f"WITH {_SHAPES}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 9) DESC, b) AS r FROM s WHERE candidate), t AS (SELECT * FROM r WHERE r = 1) SELECT p.page_id, coalesce(t.tag, 'body') AS tag FROM pages p LEFT JOIN t USING (page_id)")
+def w3_rank(spark, sf):
+    """The node that holds the article; no block lies in another, so none is refined."""
+    n = staged(_measured(spark, sf).withColumn("score", F.round("score", 9)), "measured")
+    return nodes.chosen(n).join(n.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag")
+
+
+def nested(spark, sf) -> DataFrame:
+    """A page per page of the table: an article of links that holds another one of text; their lengths follow from its id."""
+    i = F.col("page_id")
+    menu = F.repeat(F.lit('<a href="/q">menu entry</a> '), (i % 60).cast("int"))
+    text = F.rtrim(F.repeat(F.lit("abcd, "), (F.lit(10) + (i * 11) % 300).cast("int")))
+    html = F.concat(F.lit('<article class="page">'), menu, F.lit('<article class="post"><p>'), text, F.lit("</p></article></article>"))
+    return pages(spark, sf).select("page_id", "url", html.alias("html"))
+
+
+#: Both articles in SQL, and whether the inner one is taken: by rank, or by the rules of refinement.
+_NESTED = """b AS (SELECT page_id, page_id % 60 AS k, 10 + (page_id * 11) % 300 AS n FROM pages),
+l AS (SELECT *, 6 * n - 1 AS inside, 11 * k + 6 * n - 1 AS outside, 10 * k / (11 * k + 6 * n - 1) AS d, 1 + n + least((6 * n - 1) // 100, 3) AS points FROM b),
+s AS (SELECT *, (30 + points) * CASE WHEN d > 0.25 THEN 1 - d ELSE 1 END AS so, (30 + points)::DOUBLE AS si FROM l),
+r AS (SELECT *, CASE WHEN d > 0.06 AND inside < 0.4 * greatest(outside, 500) THEN 0.3 WHEN 0 < 0.7 * d THEN 0.65 ELSE 0.85 END AS ratio FROM s),
+t AS (SELECT *, round(si, 9) > round(so, 9) OR (inside >= 500 AND si >= greatest(so, 0.1) * ratio AND inside >= 0.5 * greatest(outside, 500)) AS moved FROM r)"""
+
+
+@query(f"WITH {_NESTED} SELECT page_id, moved FROM t")
+def w5_refine(spark, sf):
+    """Whether the inner article is taken."""
+    n = nodes.scored(nodes.measured(nodes.cleaned(H.parse_nodes(nested(spark, sf)))))
+    top = nodes.refined(nodes.candidates(n))
+    return top.select("page_id", (F.col("node_id") > 4).alias("moved"))
+
+
+@query(f"WITH {_NESTED} SELECT page_id, CASE WHEN moved OR k = 0 THEN '' ELSE repeat('menu entry ', k::INTEGER) END || rtrim(repeat('abcd, ', n::INTEGER)) AS text FROM t")
+def r3_text(spark, sf):
+    """Text of the chosen node, by set operations."""
+    clean = staged(nodes.cleaned(H.parse_nodes(nested(spark, sf))), "nodes")
+    return nodes.subtree_text(clean, nodes.chosen(nodes.scored(nodes.measured(clean))))
+
+
+@query(f"WITH {_NESTED} SELECT page_id, (CASE WHEN moved OR k = 0 THEN 0 ELSE 2 * k END + n)::INTEGER AS words, moved OR k = 0 AS alone FROM t")
+def p6_article_of_nested(spark, sf):
+    """The same pages through the extraction in one pass."""
+    got = article.extract_articles(nested(spark, sf))
+    return got.select("page_id", "word_count", F.col("content").contains("menu entry").alias("menu")).select("page_id", F.col("word_count").alias("words"), (~F.col("menu")).alias("alone"))
+
+
+_ROLES = ("navigation", "main", "alert", "")
+
+
+@query(f"""WITH r AS (SELECT page_id, page_id % 4 AS r, page_id % 3 AS k, page_id % 5 AS a FROM pages)
+SELECT page_id, (1 + CASE WHEN r IN (1, 3) THEN 1 ELSE 0 END + CASE WHEN k = 1 THEN a ELSE 0 END)::BIGINT AS paragraphs, (CASE WHEN k = 1 THEN 1 ELSE 0 END)::BIGINT AS asides FROM r""")
+def p2_clean(spark, sf):
+    """An aside of paragraphs, kept for one host in three, and a block with a role."""
+    i = F.col("page_id")
+    role = F.element_at(F.array(*map(F.lit, _ROLES)), (i % 4 + 1).cast("int"))
+    html = F.concat(F.lit("<header><p>no</p></header><form><p>kept</p></form><div role='"), role, F.lit("'><p>r</p></div><aside>"), F.repeat(F.lit("<p>a</p>"), (i % 5).cast("int")), F.lit("</aside><script>'<p>'</script>"))
+    host = F.element_at(F.array(*map(F.lit, ("plain.example", "www.technologyreview.com", "b.example"))), (i % 3 + 1).cast("int"))
+    p = hosts.with_rules(pages(spark, sf).select("page_id", html.alias("html"), F.concat(F.lit("http://"), host, F.lit("/x")).alias("url")), hosts.host_rules(spark))
+    parsed = H.parse_nodes(p).join(p.select("page_id", "kept_tags"), "page_id")
+    n = lambda t, name: F.count_if(F.col("tag") == t).alias(name)
+    return nodes.cleaned(parsed, F.col("kept_tags")).groupBy("page_id").agg(n("p", "paragraphs"), n("aside", "asides"))
+
+
+@query(f"""WITH {_SOURCES}, k AS (SELECT page_id, {_IMAGE} AS image, page_id % 3 AS a, page_id % 4 AS b FROM s)
+SELECT page_id, image, (CASE WHEN a = 0 THEN 0 ELSE 1 END + CASE WHEN image THEN 1 ELSE 0 END) AS links, b = 2 AS newsletter, CASE WHEN image THEN 1 ELSE 0 END AS items FROM k""")
+def p17_sanitize(spark, sf):
+    """Empty links and items, bad images, and blocks of boilerplate, by what is left in the content."""
+    i, src = F.col("page_id"), _image_source()
+    link = F.concat(F.lit('<a href="/l">'), F.when(i % 3 == 0, " ").when(i % 3 == 1, "text").otherwise("<b>t</b>"), F.lit('</a><a href="/p"><img src="'), src, F.lit('"></a>'))
+    block = F.concat(F.lit('<div class="'), F.when(i % 4 == 2, "body").otherwise("newsletter"), F.lit('">Letters of the week</div>'))
+    html = F.concat(F.lit("<article><p>" + "Plain words of the text. " * 12 + "</p><p>"), link, F.lit("</p>"), block, F.lit('<ul><li></li><li><img src="'), src, F.lit('"></li></ul></article>'))
+    got = article.extract_articles(pages(spark, sf).select("page_id", F.lit("").alias("url"), html.alias("html")))
+    c = F.col("content")
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    return got.select("page_id", c.contains("<img").alias("image"), count("<a ").alias("links"), c.contains("Letters").alias("newsletter"), count("<li>").alias("items"))
+
+
+@query(rf"""WITH {_LINKS} SELECT page_id, (pos + 1)::INTEGER AS place, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS href FROM l""")
 def u12_absolute_attributes(spark, sf):
-    """Resolved hrefs of every element that has one."""
+    """Resolved hrefs of every element that has one."""
     found = nodes.links(H.parse_nodes(pages(spark, sf)), only_a=False).join(pages(spark, sf).select("page_id", "url"), "page_id")
-    return found.select("page_id", "node_id", U.resolved(F.col("url"), F.col("href")).alias("href"))
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("node_id")).alias("place")
+    return found.select("page_id", place, U.resolved(F.col("url"), F.col("href")).alias("href"))
 
 
-@query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN ' id-' || event_id || ' ' ELSE '  ' END), ''), 'new') AS request_id FROM events")
-def u20_request_id(spark, sf):
-    """A new id is random, so it is shown as ``new``."""
-    head = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" id-"), F.col("event_id"), F.lit(" "))).otherwise("  ")
-    made = T.request_id(head)
-    return table(spark, sf, "events").select("event_id", F.when(F.length(made) == 32, "new").otherwise(made).alias("request_id"))
+@query(rf"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || 'a' || page_id || '.png 1x, ' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/b.png 2x, https://c.example/c.png' AS srcset FROM pages""")
+def u13_srcset(spark, sf):
+    given = F.concat(F.lit(" a"), F.col("page_id"), F.lit(".png  1x,, /b.png 2x ,https://c.example/c.png"))
+    return pages(spark, sf).select("page_id", U.resolved_srcset(F.col("url"), given).alias("srcset"))
+
+
+@query("""WITH n AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS a, len(regexp_extract_all(html, '<a ')) AS b FROM pages)
+SELECT page_id, i::INTEGER AS place, CASE WHEN i <= a THEN 'li' WHEN i <= a + b THEN 'a' ELSE 'body' END AS tag FROM n, LATERAL (SELECT unnest(range(1, a + b + 2)) AS i)""")
+def p5_select_by_tag(spark, sf):
+    """Elements by tag in the order asked, the root last."""
+    n = H.parse_nodes(pages(spark, sf))
+    return nodes.select_tags(n, ["body", "li", "a"], F.col("tag") == "body").select("page_id", "place", "tag")
+
+
+# --- Crawls on known graphs ------------------------------------------------------------------------------------------
+
+
+def _made_results(spark, sf) -> DataFrame:
+    """Results of a crawl made from the pages' ids: a third fails, some have no words."""
+    i = F.col("page_id")
+    a = pages(spark, sf).select(
+        (i + 1).alias("seq"), "url", (i % 3 != 0).alias("success"), (i % 5).cast("int").alias("word_count"), F.when(i % 3 == 0, "broken").alias("error"),
+        F.array().cast("array<string>").alias("warnings"), F.concat(F.lit('The "page" '), i).alias("title"), F.concat(F.lit("text "), i).alias("markdown"),
+    )
+    return crawl.crawl_results(a, F.lit("2024-01-01T00:00:00+00:00"))
+
 
+_MADE = "r AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'failed' WHEN page_id % 5 = 0 THEN 'skipped' ELSE 'success' END AS status FROM pages)"
 
-@query("""SELECT count(*) AS collected, round(count(*) / 10.0, 6)::DOUBLE AS per_second FROM pages""")
+
+@query(f"WITH {_MADE} SELECT count(*) AS total_pages, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM r")
+def a10_manifest_counts(spark, sf):
+    return crawl.counters(_made_results(spark, sf))
+
+
+@query(f"""WITH {_MADE} SELECT url, '---' || chr(10) || 'url: ' || url || chr(10) || 'title: "The \\"page\\" ' || page_id || '"' || chr(10) || 'extracted_at: 2024-01-01T00:00:00+00:00' || chr(10) || 'word_count: ' || (page_id % 5) || chr(10) || '---' || chr(10) || chr(10) || 'text ' || page_id AS text FROM r WHERE status = 'success'""")
+def snk1_markdown_files(spark, sf):
+    return crawl.markdown_texts(_made_results(spark, sf)).select("url", "text")
+
+
+@query(f"""WITH {_MADE}, n AS (SELECT count(*) AS total, count(*) FILTER (status = 'success') AS good FROM r)
+SELECT 0::BIGINT AS seq, 'job' AS name, total::INTEGER AS words, good::VARCHAR AS status, '3600.0' AS error FROM n
+UNION ALL SELECT page_id + 1, 'The "page" ' || page_id, (page_id % 5)::INTEGER, status, CASE WHEN status = 'failed' THEN 'broken' WHEN status = 'skipped' THEN 'No content extracted' END FROM r""")
+def snk3_manifest(spark, sf):
+    """The manifest's head and results, read back from their JSON."""
+    parts = crawl.manifest(_made_results(spark, sf), crawl.CrawlConfig(), "job", "2024-01-01T00:00:00", "2024-01-01T01:00:00", 3600.0)
+    j = F.from_json("json", "job_id string, total_pages int, successful string, duration_seconds string, title string, word_count int, status string, error string")
+    pick = lambda a, b: F.when(F.col("kind") == "head", F.col(f"j.{a}")).otherwise(F.col(f"j.{b}"))
+    return parts.withColumn("j", j).select("seq", pick("job_id", "title").alias("name"), pick("total_pages", "word_count").alias("words"), pick("successful", "status").alias("status"), pick("duration_seconds", "error").alias("error"))
+
+
+@query(f"""WITH {_MADE} SELECT page_id + 1 AS seq, status, sum((status = 'success')::INT) OVER w::BIGINT AS successful, sum((status = 'failed')::INT) OVER w::BIGINT AS failed,
+sum((status = 'skipped')::INT) OVER w::BIGINT AS skipped, count(*) OVER w AS fetched FROM r WINDOW w AS (ORDER BY page_id ROWS UNBOUNDED PRECEDING)""")
+def st12_progress(spark, sf):
+    return crawl.progress(_made_results(spark, sf), "seq").drop("url")
+
+
+@query("""WITH n AS (SELECT page_id * 0.5 + 2 AS secs, row_number() OVER (ORDER BY page_id) AS n FROM pages) SELECT n AS collected, round(secs::DOUBLE, 6) AS seconds, round((n / secs)::DOUBLE, 6) AS per_second FROM n WHERE n % 10 = 0""")
 def a16_progress_rate(spark, sf):
-    return pages(spark, sf).agg(F.count("*").alias("collected"), F.round(F.count("*") / F.lit(10.0), 6).alias("per_second"))
+    """The rate whenever ten more pages are there; a page comes each half second."""
+    r = crawl.progress_rate(pages(spark, sf).select((F.col("page_id") * 0.5 + 3).alias("at")), "at", started=1.0)
+    return r.select("collected", F.round("seconds", 6).alias("seconds"), F.round("per_second", 6).alias("per_second"))
+
+
+_SEEDS = "regexp_matches(sch || '://' || lower(net), 'spam-farm|blog')"
+
+
+@query(rf"""WITH {_PARTS}, u AS (SELECT sch || '://' || lower(net) || {_PATH} || {_QUERY} AS url, min(page_id) AS i FROM p WHERE {_SEEDS} GROUP BY 1),
+s AS (SELECT url, row_number() OVER (ORDER BY i)::BIGINT AS seq FROM u),
+{_LINKS}, e AS (SELECT s.seq AS pseq, l.pos, s.url AS parent, regexp_extract(l.url, '^([a-z]+://[^/?#]*)', 1) || href AS url FROM l JOIN p USING (page_id) JOIN s ON s.url = p.sch || '://' || lower(p.net) || {_PATH.replace("path", "p.path")} || {_QUERY.replace("q ", "p.q ").replace("|| q", "|| p.q")}),
+d AS (SELECT url, min(row(pseq, pos, parent)) AS m FROM e WHERE url NOT IN (SELECT url FROM s) GROUP BY url),
+k AS (SELECT url, m[3] AS parent, row_number() OVER (ORDER BY m[1], m[2], url) AS r FROM d)
+SELECT url, 0 AS depth, NULL::VARCHAR AS parent, seq FROM s
+UNION ALL SELECT url, 1 AS depth, parent, (r + (SELECT count(*) FROM s))::BIGINT AS seq FROM k""")
+def g5_breadth_first(spark, sf):
+    """Seeds are the pages of some hosts; their links lead out of the snapshot, so one round finds all."""
+    p = pages(spark, sf)
+    seeds = p.filter(F.concat(U.scheme(F.col("url")), F.lit("://"), F.lower(U.netloc(F.col("url")))).rlike("spam-farm|blog")).select(F.col("page_id").alias("seq"), "url")
+    return crawl.breadth_first(spark, crawl.CrawlConfig(max_pages=1 << 40), crawl.from_pages(p), seeds=seeds)
+
+
+@query(rf"""WITH {_PARTS}, u AS (SELECT sch || '://' || lower(net) || {_PATH} || {_QUERY} AS url, page_id % 10 AS map, page_id FROM p WHERE page_id % 10 < 9),
+x AS (SELECT url, min(row(CASE WHEN map < 5 THEN 1 ELSE 0 END, map, page_id)) AS m FROM u WHERE NOT starts_with(url, 'https://spam-farm.example.org/') AND starts_with(url, 'http') GROUP BY url)
+SELECT url, row_number() OVER (ORDER BY m)::BIGINT AS seq FROM x""")
+def g4_sitemap_seeds(spark, sf):
+    """URLs of two sitemap indexes in their order, with a prefix written otherwise denied."""
+    config = crawl.CrawlConfig(sitemaps=("two.xml", "one.xml"), deny_prefixes=("HTTPS://Spam-Farm.Example.org", "no:prefix"), max_pages=1 << 40, follow_links=False)
+    none = spark.createDataFrame([], "seq long, pos int, url string")
+    return crawl.breadth_first(spark, config, lambda level: none, sitemap_documents=_sitemap_documents(spark, sf)).select("url", "seq")
+
+
+def _sitemap_documents(spark, sf) -> DataFrame:
+    """Ten sitemaps that hold the pages by their id, the last of a bad status, and two indexes, which also name each other."""
+    escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    p = pages(spark, sf).select((F.col("page_id") % 10).alias("n"), "page_id", F.concat(F.lit("<url><loc> "), escaped, F.lit(" </loc></url>")).alias("loc"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "loc"))), lambda x: x["loc"]), "")
+    maps = p.groupBy("n").agg(listed.alias("x")).select(F.concat(F.lit("s"), F.col("n"), F.lit(".xml")).alias("source"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.col("x"), F.lit("</urlset>")).alias("xml"), F.when(F.col("n") == 9, 503).otherwise(200).alias("status"))
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+    made = [("one.xml", index("s0.xml", "s1.xml", "s2.xml", "s3.xml", "s4.xml", "two.xml", "https://far.example/s.xml"), 200), ("two.xml", index(*(f"s{i}.xml" for i in range(5, 10)), "one.xml"), 200), ("bad.xml", "<broken", 200)]
+    return maps.unionByName(spark.createDataFrame(made, "source string, xml string, status int"))
+
+
+@query("SELECT s AS source, url FROM pages, (VALUES ('one.xml'), ('two.xml')) t(s) WHERE page_id % 10 < 9")
+def src9_sitemaps(spark, sf):
+    """SRC7-SRC10, J8: all URLs that two indexes lead to, each through the other as well."""
+    sources = spark.createDataFrame([("one.xml",), ("two.xml",), ("bad.xml",), ("none.xml",)], "source string")
+    return sitemaps.load(sources, _sitemap_documents(spark, sf)).select("source", "url")
+
+
+def _tree(spark, sf) -> DataFrame:
+    """Answers of a site whose page i links to 2i + 1 and 2i + 2 (and back to its parent), in discovery form."""
+    i = F.col("page_id")
+    link = lambda n: F.concat(F.lit('<a href="/n/'), n.cast("string"), F.lit('.html?x=1#y">x</a>'))
+    html = F.concat(link(2 * i + 1), F.lit('<link href="style.css"><div href="mailto:x">'), link(2 * i + 2), link(F.floor(F.greatest(i - 1, F.lit(0)) / 2)))
+    return pages(spark, sf).select("page_id", F.concat(F.lit("https://h.example/n/"), i, F.lit(".html")).alias("url"), html.alias("html"))
+
+
+def _site(spark, sf) -> DataFrame:
+    """Answers on the tree, by attempt: every seventh page is limited i % 3 times first, every eleventh is gone, every
+    thirteenth fails once and is then not asked again unless linked anew."""
+    i = F.col("page_id")
+    limits = F.when(i % 7 == 3, (i % 3).cast("int")).otherwise(0)
+    last = F.when(i % 11 == 5, 404).otherwise(200)
+    t = _tree(spark, sf).withColumn("answers", F.concat(F.array_repeat(F.lit(429), limits), F.array(last)))
+    return t.select("url", "html", F.posexplode("answers").alias("n", "status")).select("url", "html", "status", (F.col("n") + 1).alias("attempt"))
+
+
+_START = "https://h.example/n/0.html#top"
+#: Pages of the tree that are reached through good ones; those that links lead to beyond the table are missing.
+_NUMBERS = "t AS (SELECT i, page_id IS NOT NULL AS there FROM range(0, (SELECT 2 * max(page_id) + 3 FROM pages)) x(i) LEFT JOIN pages ON page_id = i)"
+_REACHED = f"""WITH RECURSIVE {_NUMBERS}, n AS (SELECT i, there AND i % 11 <> 5 AS ok, CASE WHEN there AND i % 7 = 3 THEN i % 3 ELSE 0 END AS limits FROM t),
+r AS (SELECT i, ok, limits FROM n WHERE i = 0 UNION ALL SELECT n.i, n.ok, n.limits FROM r JOIN n ON (n.i = 2 * r.i + 1 OR n.i = 2 * r.i + 2) AND r.ok)"""
+
+
+def _discovered(spark, sf, **config) -> discovery.Discovery:
+    start = spark.createDataFrame([(_START,), ("https://h.example/x.pdf",), ("ftp://h/x",)], "url string")
+    return discovery.discover(spark, start, _site(spark, sf), discovery.DiscoveryConfig(max_retries=1, markdown_suffix=".md", **config))
+
+
+@query(f"""{_REACHED} SELECT DISTINCT u AS url FROM r, LATERAL (SELECT unnest(['https://h.example/n/' || i || '.html', CASE WHEN i = 0 THEN 'https://h.example/n/0.html' ELSE 'https://h.example/n/' || i || '.md' END]) AS u) WHERE ok""")
+def g6_discovery(spark, sf):
+    """All that is collected, and its Markdown variants."""
+    return _discovered(spark, sf).urls
+
+
+@query("SELECT 'https://h.example/n/' || page_id || '.html' AS url, 'success' AS outcome FROM pages WHERE page_id < 100")
+def g7_stop(spark, sf):
+    """The queue ends with a hundred pages, those that one worker meets first."""
+    start = spark.createDataFrame([(_START,)], "url string")
+    found = discovery.discover(spark, start, _tree(spark, sf), discovery.DiscoveryConfig(max_pages=100))
+    return found.log.select("url", "outcome")
+
+
+@query(f"{_REACHED} SELECT 'https://h.example/n/' || i || '.html' AS url, limits AS limited, ok AS success FROM r")
+def g8_requeued(spark, sf):
+    """How often each page was limited and went back to the queue, and whether it was had in the end."""
+    runs = _discovered(spark, sf).log.groupBy("url")
+    return runs.agg(F.count_if(F.col("outcome") == "limited").alias("limited"), (F.count_if(F.col("outcome") == "success") > 0).alias("success"))
+
+
+@query(f"{_REACHED} SELECT 'https://h.example/n/' || i || '.md' AS converted, count(*) AS times FROM r WHERE i > 0 GROUP BY ALL")
+def g9_callback(spark, sf):
+    """What the callback for discovered URLs is given, round by round; an error in it is logged."""
+    given: list[DataFrame] = []
+
+    def take(urls: DataFrame, n: int) -> None:
+        given.append(urls)
+        raise ValueError("logged")
+
+    _discovered(spark, sf, on_discovered=take)
+    every = given[0]
+    for g in given[1:]:
+        every = every.unionByName(g)
+    return every.groupBy("converted").agg(F.count("*").alias("times"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERS}, n AS (SELECT i, there AND i % 5 <> 2 AS http, there AND i % 4 <> 1 AS browser FROM t),
+r AS (SELECT i, http OR browser AS ok, browser FROM n WHERE i = 0 UNION ALL SELECT n.i, n.http OR n.browser, n.browser FROM r JOIN n ON (n.i = 2 * r.i + 1 OR n.i = 2 * r.i + 2) AND r.ok)
+SELECT 'https://h.example/n/' || i || '.html' AS url, CASE WHEN ok THEN 'success' ELSE 'failed' END AS outcome FROM r""")
+def st10_fetch_order(spark, sf):
+    """ST10: the browser's answers, then those over HTTP, where a fifth of the pages is gone."""
+    t = _tree(spark, sf)
+    http = t.select("url", "html", F.when(F.col("page_id") % 5 == 2, 410).otherwise(200).alias("status"))
+    found = discovery.discover(spark, spark.createDataFrame([(_START,)], "url string"), http, browser=t.filter("page_id % 4 <> 1").select("url", "html"))
+    return found.log.select("url", "outcome")
+
+
+@query("""WITH u AS (SELECT page_id % 3 = 0 AS known FROM pages) SELECT CASE WHEN known THEN 'skipped' ELSE 'success' END AS outcome, count(*) AS n FROM u GROUP BY ALL""")
+def p30_recent(spark, sf):
+    """Recently visited pages are collected without a fetch."""
+    p = pages(spark, sf).select(F.concat(F.lit("https://h.example/"), F.col("page_id")).alias("url"), F.lit("").alias("html"), "page_id")
+    found = discovery.discover(spark, p.select("url"), p.select("url", "html"), recent=p.filter("page_id % 3 = 0").select("url"))
+    return found.log.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_PARTS} SELECT page_id, NOT regexp_matches(lower(path), '\.({'|'.join(rules.NOT_PAGES)})$') AND contains(path, '/en/') AS wanted FROM p""")
+def p27_accepted(spark, sf):
+    """P27 with a rule of the user's own, as a discovery applies it to its seeds."""
+    p = pages(spark, sf)
+    keyed = p.select("page_id", "url", U.discovered(F.col("url"), allow_query=True).alias("key"))
+    config = discovery.DiscoveryConfig(accept=lambda u: U.path(u).contains("/en/"), allow_query=True)
+    found = discovery.discover(spark, keyed.select("url"), keyed.select(F.col("key").alias("url"), F.lit("").alias("html")).distinct(), config)
+    return keyed.join(found.log.select(F.col("url").alias("key"), F.lit(True).alias("wanted")).distinct(), "key", "left").select("page_id", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+
+
+@query("WITH u AS (SELECT DISTINCT url FROM pages) SELECT url, row_number() OVER (ORDER BY url)::INTEGER AS seq FROM u")
+def w10_seed_order(spark, sf):
+    return jobs.ordered_seeds(pages(spark, sf).select("url"))
+
+
+@query("""WITH f AS (SELECT user_id AS u, date_trunc('hour', ts) AS h, CASE WHEN event_id % 6 = 0 THEN 200 WHEN event_id % 6 = 1 THEN 429 ELSE 500 END AS s FROM events)
+SELECT 'http://h/' || u || '/' || strftime(h, '%Y%m%d%H') AS url FROM f GROUP BY u, h HAVING count(*) FILTER (s < 400) = 0 AND count(*) FILTER (s = 429) > 0""")
+def g8_requeue(spark, sf):
+    """The next round of a crawl of one page a user and hour."""
+    status = F.when(F.col("event_id") % 6 == 0, 200).when(F.col("event_id") % 6 == 1, 429).otherwise(500)
+    url = F.concat(F.lit("http://h/"), F.col("user_id"), F.lit("/"), F.date_format("ts", "yyyyMMddHH"))
+    return jobs.requeued(table(spark, sf, "events").select(url.alias("url"), status.alias("status")))
+
+
+# --- State, from the library ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_EVENTS} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS r FROM e) WHERE r <= 100")
+def w13_ring(spark, sf):
+    return state.ring(keyed_events(spark, sf)).select("key", "seq")
+
+
+@query(ORACLES["st1_rate_fold"].replace("SELECT key, seq, round(delay, 9) AS delay, streak, limits FROM f WHERE n > 0", """, d AS (SELECT key, max(n) AS requests, arg_max(delay, n) AS delay FROM f WHERE n > 0 GROUP BY key),
+t AS (SELECT key, max(ts) AS last, count(*) FILTER (limited) AS limits FROM e GROUP BY key),
+g AS (SELECT o.key, avg(CASE WHEN o.limited THEN 1.0 ELSE 0.0 END) AS share FROM o JOIN d USING (key) JOIN t USING (key) WHERE o.n > d.requests - 100 AND o.ts > t.last - 300 GROUP BY o.key)
+SELECT key, requests, limits, round(delay, 9) AS delay, round(share, 9)::DOUBLE AS recent_share FROM d JOIN t USING (key) JOIN g USING (key)"""))
+def a13_host_stats(spark, sf):
+    s = state.host_stats(keyed_events(spark, sf))
+    return s.select("key", "requests", "limits", F.round("delay", 9).alias("delay"), F.round("recent_share", 9).alias("recent_share"))
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, {_ORDERED}, f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS seq, -1e18::DOUBLE AS start FROM (SELECT DISTINCT key FROM o)
+UNION ALL SELECT o.key, o.n, o.seq, greatest(o.ts, f.start + (o.seq % 4) * 20.0) FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
+SELECT key, seq, round(start, 3) AS start FROM f WHERE n > 0""")
+def st3_one_after_another(spark, sf):
+    """ST3: requests that wait for one another, each for its own delay."""
+    e = keyed_events(spark, sf).withColumn("delay", (F.col("seq") % 4) * 20.0)
+    return state.one_after_another(e).select("key", "seq", F.round("start", 3).alias("start"))
+
+
+@query("SELECT event_id, round((2.0 * (0.8 + 0.4 * (event_id % 11) / 10.0))::DOUBLE, 9) AS delay FROM events")
+def st3_jitter(spark, sf):
+    """Chances that are fixed give fixed delays."""
+    return table(spark, sf, "events").select("event_id", F.round(state.jittered(F.lit(2.0), F.col("event_id") % 11 / 10.0), 9).alias("delay"))
+
+
+@query("""WITH c AS (SELECT user_id::VARCHAR AS store, lpad(event_id::VARCHAR, 12, '0') AS id, epoch_us(ts) / 1e6 AS t, coalesce(props, '') AS p FROM events), n AS (SELECT max(t) + 10 AS now FROM c)
+SELECT store, max(row(t, id, p))[2] AS change_id, sha256(max(row(t, id, p))[3]) AS fingerprint, count(*) AS pending, count(*) > 20 AS too_many, any_value(now) - min(t) > 60 AS too_old,
+(SELECT count(*) FROM c k WHERE k.store = c.store) AS archived FROM c, n GROUP BY store""")
+def st5_storage_merge(spark, sf):
+    """ST5, SNK9: changes applied to their stores, with what the log complains of, and the archive."""
+    e = table(spark, sf, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("store"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("change_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("created_at"), F.coalesce("props", F.lit("")).alias("payload"))
+    c = storage.changes(rows)
+    m = storage.merged(c, c.agg(F.max("created_at")).first()[0] + 10)
+    archived = m.processed.groupBy("store").agg(F.count("*").alias("archived"))
+    out = m.state.join(m.stats, "store").join(archived, "store")
+    return out.select("store", "change_id", F.sha2("payload", 256).alias("fingerprint"), "pending", "too_many", "too_old", "archived")
+
+
+@query(f"""WITH {_EVENTS} SELECT event_type AS name, (200 + 100 * (key % 4)) // 100 || 'xx' AS status_group, count(*) AS n, round(sum(value), 6) AS total, max(value) AS largest FROM e GROUP BY ALL""")
+def a15_metrics(spark, sf):
+    """Counters and timers by tags."""
+    group = observe.status_group(200 + 100 * (F.col("key") % 4))
+    m = keyed_events(spark, sf).select(F.col("event_type").alias("name"), "value", F.create_map(F.lit("status_group"), group, F.lit("user"), F.col("key").cast("string")).alias("tags"))
+    return observe.metric_totals(m, ["status_group"]).withColumn("total", F.round("total", 6))
+
+
+@query(f"""WITH {_JOB_EVENTS}, l AS (SELECT job_id, max(row(t, status)) AS m FROM v WHERE status <> 'odd' GROUP BY job_id) SELECT count(*) FILTER (m[2] = 'running') AS running, count(*) FILTER (m[2] = 'running') < 3 AS can_start FROM l""")
+def a18_can_start(spark, sf):
+    """Whether another job may run, by the states that all events lead to."""
+    return jobs.can_start(jobs.job_states(spark.range(50).toDF("job_id"), _job_events(spark, sf)), 3)
+
+
+@query("""WITH f AS (SELECT event_id, [200, 404, 410, 429, 403, 503, 0, 500, -1][(event_id % 9 + 1)::INTEGER] AS s, event_id % 3 + 1 AS n FROM events)
+SELECT event_id, CASE WHEN s = -1 THEN 'stop' WHEN s IN (404, 410) THEN 'gone' WHEN s = 200 THEN 'done' ELSE 'retry' END AS action,
+(CASE WHEN s = 429 THEN 2.0 WHEN s IN (403, 503) THEN 5.0 * n WHEN s = 0 THEN 2.0 * n ELSE 0 END)::DOUBLE AS wait FROM f""")
+def st9_retry_plan(spark, sf):
+    """What becomes of a fetch: 0 stands for a timeout, -1 for any other error."""
+    s = F.element_at(F.array(*map(F.lit, (200, 404, 410, 429, 403, 503, 0, 500, -1))), (F.col("event_id") % 9 + 1).cast("int"))
+    action, wait = jobs.retry_plan(s, F.col("event_id") % 3 + 1, F.lit(2.0))
+    return table(spark, sf, "events").select("event_id", action.alias("action"), wait.cast("double").alias("wait"))
+
+
+@query("""SELECT event_id, '{"a":[1,{"b":"' || event_type || '","z":null}],"k":' || user_id || '}' AS document FROM events""")
+def u22_canonical_document(spark, sf):
+    text = F.concat(F.lit('{"k": '), F.col("user_id").cast("string"), F.lit(', "a": [1, {"z": null, "b" :"'), F.col("event_type"), F.lit('"}]}'))
+    return table(spark, sf, "events").select("event_id", storage.canonical_document(text).alias("document"))
+
+
+@query(rf"WITH {_PARTS} SELECT page_id, {_STRIPPED} AS url, substr(sha256({_STRIPPED}), 1, 16) AS url_hash FROM p")
+def u6_log_context(spark, sf):
+    c = U.log_context(F.col("url"))
+    return pages(spark, sf).select("page_id", c["url"].alias("url"), c["url_hash"].alias("url_hash"))

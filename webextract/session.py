@@ -7,37 +7,47 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary one (tests); on a cluster there is none that all could see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="webextract-shared-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Rows that go to a Python worker at once, at most: texts may be long and workers share an executor's memory.
-BATCH_ROWS = 1_000
+#: Rows and bytes that go to a Python worker at once, at most: texts may be long and workers share an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the batches that Python workers get."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the batches that Python workers get, where the session's settings allow more."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(name).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     small_batches(spark)
-    return f"{shared_folder(spark)}/webextract/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/webextract/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -51,12 +61,33 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged within the block when it ends; results must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_staged(spark, path)
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Delete a staged table."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it lies in fewer partitions than there are: for small inputs of one file, before Python
+    work. Larger inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 _shipped: set[str] = set()
 
 

@@ -3,18 +3,21 @@
 A node row has its place in document order, its parent and the last of its descendants, so a subtree is an interval. Trees
 are built from the standard library's tokenizer: missing html, head and body are supplied, paragraphs, list items, table
 cells and options end where the next one starts, stray end tags are skipped, and formatting left open goes on in the next
-block.
+block, of like elements three at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NODE_SCHEMA = (
     "page_id long, node_id int, parent_id int, last_desc int, depth int, kind string, tag string, class_id string, "
     "attrs map<string,string>, txt string"
@@ -57,6 +60,15 @@ class Node:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
+    @staticmethod
+    def remove_all(nodes: Iterable[Node]) -> None:
+        """Remove many nodes; a parent's list is made anew once."""
+        gone = set(nodes)
+        for parent in {n.parent for n in gone if n.parent is not None}:
+            parent.children = [c for c in parent.children if c not in gone]
+        for n in gone:
+            n.parent = None
+
     def walk(self) -> Iterator[Node]:
         """Strict descendants in document order."""
         todo = list(reversed(self.children))
@@ -79,6 +91,10 @@ class Node:
         return f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}"
 
 
+#: Like formatting elements (tag and attributes) that go on in the next block, at most.
+LIKE_FORMATTING = 3
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -87,21 +103,37 @@ class _Builder(HTMLParser):
         self.head = self.html.append(Node("head"))
         self.body: Node | None = None
         self.open: list[Node] = [self.html, self.head]
+        self.tags = Counter(n.tag for n in self.open)  # of open elements
         self.again: list[Node] = []
 
     def _start_body(self) -> None:
         if self.body is None:
             self.body = self.html.append(Node("body"))
             self.open = [self.html, self.body]
+            self.tags = Counter(n.tag for n in self.open)
+
+    def _push(self, node: Node) -> None:
+        self.open.append(node)
+        self.tags[node.tag] += 1
 
     def _pop_to(self, i: int, explicit: bool = True) -> None:
         """Close all elements from position ``i`` on; formatting closed by the way is opened again later."""
-        for n in self.open[i + explicit :]:
-            if n.tag in FORMATTING:
-                self.again.append(n)
+        again = [n for n in self.open[i + explicit :] if n.tag in FORMATTING]
+        for n in self.open[i:]:
+            self.tags[n.tag] -= 1
         del self.open[i:]
+        if again:
+            like, kept = Counter(), []
+            for n in reversed(self.again + again):  # the last ones of a kind
+                kind = (n.tag, tuple(sorted(n.attrs.items())))
+                like[kind] += 1
+                if like[kind] <= LIKE_FORMATTING:
+                    kept.append(n)
+            self.again = kept[::-1]
 
     def _find(self, tags: tuple[str, ...], stops=BARRIERS) -> int:
+        if not any(self.tags[t] for t in tags):
+            return 0
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 return i
@@ -112,7 +144,7 @@ class _Builder(HTMLParser):
     def _reopen(self) -> None:
         again, self.again = self.again, []
         for n in again:
-            self.open.append(self.open[-1].append(Node(n.tag, dict(n.attrs))))
+            self._push(self.open[-1].append(Node(n.tag, dict(n.attrs))))
 
     def handle_starttag(self, tag, attrs):
         a = {}
@@ -138,12 +170,12 @@ class _Builder(HTMLParser):
             self._reopen()
         node = self.open[-1].append(Node(tag, a))
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "path", "circle", "rect", "g", "use", "line", "polygon") and self.open[-1].tag == tag:
-            self.open.pop()
+            self.tags[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag):
         if tag == "head":
@@ -219,20 +251,24 @@ _ARROW = pa.schema([
 
 
 def parse_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> node rows. Pages of null html have none; the pages stay in their partitions."""
+    """(page_id, html) -> node rows. Pages of null html, and those that cannot be parsed, have none; the pages stay in their
+    partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(page, *r) for r in node_rows(parse(html))]
+                try:
+                    rows += [(page, *r) for r in node_rows(parse(html))]
+                except Exception:  # whatever the tokenizer meets in a page; its article says so
+                    continue
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return pages.filter(F.col("html").isNotNull()).select("page_id", "html").mapInArrow(run, NODE_SCHEMA)
+    return spread(pages.filter(F.col("html").isNotNull()).select("page_id", "html")).mapInArrow(run, NODE_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,27 +39,35 @@ def is_index(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: (r := _root(x)) is not None and r.tag.rsplit("}", 1)[-1] == "sitemapindex")
 
 
-def is_local(source: Column) -> Column:
-    """Whether a source is a path rather than a URL."""
-    return ~source.rlike("(?i)^https?://") & (source.contains("/") | source.endswith(".xml"))
+def is_local(source: Column, exists: Column | None = None) -> Column:
+    """Whether a source is a path rather than a URL: not http(s), and with a slash, ending in .xml, or known to exist."""
+    path = source.contains("/") | source.endswith(".xml")
+    return ~source.rlike("(?i)^https?://") & (path if exists is None else path | exists)
 
 
 def load(sources: DataFrame, documents: DataFrame) -> DataFrame:
-    """(source) and known documents (source, xml, status) -> (source, url) of all sitemaps that are reached.
+    """(source) and known documents (source, xml, status) -> (source, place, url) of all sitemaps that are reached.
 
     Indexes are followed level by level with a join per level, until a level is empty; a document is read once for each start,
-    which also ends cycles. Local indexes lead to local documents only. Documents that are missing or of status 400 and above give nothing.
+    which also ends cycles. Local indexes lead to local documents only. Documents that are missing or of status 400 and above
+    give nothing. ``place`` orders the URLs of a source as a reader meets them who follows each entry at once.
     """
     good = documents.filter(F.coalesce(F.col("status"), F.lit(200)) < 400).select(F.col("source").alias("at"), is_index("xml").alias("index"), locations("xml").alias("urls"))
     good = staged(good, "sitemaps")
-    level = sources.select("source", F.col("source").alias("at")).distinct()
-    seen = level
+    level = sources.select("source", F.col("source").alias("at")).distinct().withColumn("place", F.array().cast("array<int>"))
+    levels = [level]
     while True:
         here = level.join(good, "at")
-        following = here.filter("index").select("source", F.col("at").alias("parent"), F.explode("urls").alias("at"))
-        following = following.filter(~is_local(F.col("parent")) | is_local(F.col("at"))).select("source", "at").distinct()
-        level = staged(following.join(seen, ["source", "at"], "left_anti"), "sitemaps")
+        following = here.filter("index").select("source", F.col("at").alias("parent"), "place", F.posexplode("urls").alias("pos", "at"))
+        # What is followed is a known document, so it exists.
+        following = following.filter(~is_local(F.col("parent"), F.lit(True)) | is_local(F.col("at"), F.lit(True)))
+        following = following.groupBy("source", "at").agg(F.min(F.concat("place", F.array("pos"))).alias("place"))
+        for before in levels:
+            following = following.join(before.select("source", "at"), ["source", "at"], "left_anti")
+        level = staged(following, "sitemaps")
         if level.isEmpty():
             break
-        seen = staged(seen.unionByName(level), "sitemaps")
-    return seen.join(good, "at").filter(~F.col("index")).select("source", F.explode("urls").alias("url"))
+        levels.append(level)
+    seen = reduce(DataFrame.unionByName, levels)
+    urls = seen.join(good, "at").filter(~F.col("index")).select("source", "place", F.posexplode("urls").alias("pos", "url"))
+    return urls.select("source", F.concat("place", F.array("pos")).alias("place"), "url")

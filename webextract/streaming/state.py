@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
@@ -110,13 +110,62 @@ def rate_stream(events: DataFrame, keep: str = "10 minutes") -> DataFrame:
 def recent_limit_share(events: DataFrame, seconds: int = 300, ring: int = 100) -> DataFrame:
     """(key, ts, seq, limited) -> with share: of the key's last ``ring`` events, those of the last seconds that were limited.
 
-    The ring is a frame of rows, so the state of an event is bounded whatever the key's share of the stream.
+    Both frames end at the event, so what they have in common is the shorter one: running counts at its two ends give the
+    share, and nothing is gathered.
     """
-    w = W.partitionBy("key").orderBy("ts", "seq").rowsBetween(-(ring - 1), 0)
-    held = events.withColumn("held", F.collect_list(F.struct("ts", "limited")).over(w))
-    recent = F.filter("held", lambda e: e["ts"] > F.col("ts") - seconds)
-    share = F.size(F.filter(recent, lambda e: e["limited"])) / F.size(recent)
-    return held.select("key", "ts", "seq", "limited", F.coalesce(share, F.lit(0.0)).alias("share"))
+    w = W.partitionBy("key").orderBy("ts", "seq")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    one = F.when(F.col("limited"), 1).otherwise(0)
+    # Events and limited ones up to this one, and up to those that the time frame and the ring leave out.
+    held = events.withColumn("n", F.row_number().over(w)).withColumn("all_limited", F.sum(one).over(upto))
+    in_ring = F.struct(F.least(F.col("n"), F.lit(ring)).alias("n"), F.sum(one).over(w.rowsBetween(-(ring - 1), 0)).alias("limited"))
+    old = F.struct("n", "all_limited")
+    near = W.partitionBy("key").orderBy("micros").rangeBetween(W.unboundedPreceding, -seconds * 1_000_000)
+    held = held.withColumn("micros", F.round(F.col("ts") * 1e6).cast("long")).withColumn("in_ring", in_ring).withColumn("old", F.max(old).over(near))
+    in_time = F.struct((F.col("n") - F.coalesce("old.n", F.lit(0))).alias("n"), (F.col("all_limited") - F.coalesce("old.all_limited", F.lit(0))).alias("limited"))
+    held = held.withColumn("recent", F.when(F.col("n") - F.coalesce("old.n", F.lit(0)) < ring, in_time).otherwise(F.col("in_ring")))
+    share = F.when(F.col("recent.n") > 0, F.col("recent.limited") / F.col("recent.n")).otherwise(F.lit(0.0))
+    return held.select("key", "ts", "seq", "limited", share.alias("share"))
+
+
+def ring(events: DataFrame, size: int = 100) -> DataFrame:
+    """The last ``size`` events of each key."""
+    w = W.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))
+    return events.withColumn("place_from_end", F.row_number().over(w)).filter(F.col("place_from_end") <= size).drop("place_from_end")
+
+
+def host_stats(events: DataFrame, now: float | None = None, seconds: int = 300, size: int = 100) -> DataFrame:
+    """(key, ts, seq, limited) -> (key, requests, limits, delay, recent_share) after all events; the recent share is that of
+    the ring's events of the last seconds before ``now``, by default each key's last event."""
+    last = rate_fold(events).groupBy("key").agg(F.max_by("delay", F.struct("ts", "seq")).alias("delay"))
+    totals = events.groupBy("key").agg(F.count("*").alias("requests"), F.count_if("limited").alias("limits"), F.max("ts").alias("last_ts"))
+    since = F.lit(float(now)) if now is not None else F.col("last_ts")
+    recent = ring(events, size).join(totals.select("key", "last_ts"), "key").filter(F.col("ts") > since - seconds)
+    share = recent.groupBy("key").agg((F.count_if("limited") / F.count("*")).alias("recent_share"))
+    return totals.drop("last_ts").join(last, "key").join(share, "key", "left").na.fill(0.0, ["recent_share"])
+
+
+def stable_snapshots(snapshots: DataFrame, key: str, order: list[str], fingerprint: str) -> DataFrame:
+    """Snapshots whose fingerprint equals the key's one before: the page has come to rest."""
+    w = W.partitionBy(key).orderBy(*order)
+    return snapshots.withColumn("before", F.lag(fingerprint).over(w)).filter(F.col("before") == F.col(fingerprint)).drop("before")
+
+
+def jittered(delay: Column, chance: Column) -> Column:
+    """A delay times 0.8 to 1.2, by a chance from 0 to 1."""
+    return delay * (F.lit(0.8) + F.lit(0.4) * chance)
+
+
+def one_after_another(requests: DataFrame) -> DataFrame:
+    """(key, ts, seq, delay) -> start: a request starts its own delay after the one before it of the same lock, or when it comes.
+
+    start_n = max(ts_n, start_(n-1) + delay_n) = S_n + max over i <= n of (ts_i - S_i), S the running sum of delays. One lock
+    is one line of requests by nature; ``key`` names it (a crawl, or a host).
+    """
+    w = W.partitionBy("key").orderBy("ts", "seq")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    waits = requests.withColumn("waits", F.sum("delay").over(upto))
+    return waits.withColumn("start", F.max(F.col("ts") - F.col("waits")).over(upto) + F.col("waits")).drop("waits")
 
 
 def last_writes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
