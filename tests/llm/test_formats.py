@@ -70,6 +70,16 @@ def test_chat_round_trip(turns):
     assert chat_format.masked_text(formatted, at[:, 0], at[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a b"]), st.text(alphabet="a<|>\\ turnexd日é\n\t🎈 ", max_size=30)), max_size=4), max_size=4))
+def test_chat_tokens_are_those_of_whole_texts(conversations):
+    given = [chat_format.render(c)[0] for c in conversations]
+    got = chat_format.encoded(PartEncoder(CHAT), *words.text_bytes(pa.array(given, pa.string())))
+    for text, (ids, start, end) in zip(given, got, strict=True):
+        code = CHAT.encode(text, add_special_tokens=False)
+        assert ids.tolist() == code.ids and list(zip(start.tolist(), end.tolist())) == code.offsets
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 1, "assistant", "b", 9), (1, 0, "user", None, 9), (2, 0, None, "x", 9), (None, 0, "assistant", "n", 9), (1, 1, "assistant", "b", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
@@ -78,6 +88,9 @@ def test_chat_odd_rows(spark):
     assert got[1].loss_chars == 2 and got[1].loss_sha256 == sha256(b"bb").hexdigest()
     assert got[2].loss_chars == 0 and got[None].loss_chars == 1
     assert chat_format.format_conversations(df.limit(0), tokenizer_file).count() == 0
+    long_ = [(7, 0, "user", "é x " * 200_000), (7, 1, "assistant", "y" * 300_000 + " end")]
+    row = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(long_, "conv_id long, turn long, role string, text string"), tokenizer_file)).first()
+    assert row.loss_sha256 == sha256(long_[1][3].encode()).hexdigest() and row.n_turns == 2
 
 
 def test_chat_query(spark, small):
@@ -109,6 +122,29 @@ def test_token_table_query(spark, small, tokenizer):
     assert got == brute_tokens(rows, tokenizer)
 
 
+def test_token_table_files(spark, small, tmp_path, monkeypatch):
+    """The files have dictionary pages, several bounded row groups, and page indexes."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_tables, "FILE_BYTES", 100_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    big = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(12)))).select((F.col("doc_id") * 100 + F.col("copy")).alias("doc_id"), "text").coalesce(1)
+    token_tables.write_token_table(big, f"file://{tmp_path}/t", tokenizer_file)
+    low, groups = None, 0
+    assert len(list(tmp_path.glob("t/part-*.parquet"))) > 4  # more than the session's partitions
+    for f in sorted(tmp_path.glob("t/part-*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        ids = [j for j in range(meta.num_columns) if meta.schema.column(j).path.startswith("ids")][0]
+        groups = max(groups, meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            column, key = meta.row_group(g).column(ids), meta.row_group(g).column(0)
+            assert column.has_dictionary_page and {"PLAIN_DICTIONARY", "RLE_DICTIONARY"} & set(column.encodings) and column.total_uncompressed_size <= 2 * token_tables.ROW_GROUP_BYTES
+            assert key.statistics.has_min_max and (low is None or key.statistics.min >= low)
+            assert key.has_column_index and key.has_offset_index and column.has_offset_index
+            low = key.statistics.max
+    assert groups >= 1
+
+
 def test_token_table_odd_rows(spark, tokenizer, tmp_path):
     rows = [(5, None), (3, ""), (9, "x " * 70_000), (5, "two"), (3, ""), (1, "\n\n a  b")]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, ids int").repartition(3)

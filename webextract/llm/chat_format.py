@@ -4,8 +4,8 @@ A turn is ``<|turn|>`` role ``<|text|>`` text ``<|end|>``. In roles and texts a
 ``<|`` as ``<\|``, so no control string can come from a text and reading back is exact: a backslash stands for the
 character after it. The control strings are special tokens, so no token lies across a border of a turn's text.
 
-The whole conversation is encoded once, with offsets. The spans of its assistant texts and those of the tokens are both
-in order, so the tokens under a span are found by two binary searches.
+The whole conversation is encoded once, with offsets, which follow from the bytes that each token stands for. The spans of
+its assistant texts and those of the tokens are both in order, so the tokens under a span are found by two binary searches.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import PartEncoder
 from .token_tables import load_tokenizer
+from .words import runs, text_bytes
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 SCHEMA = "conv_id long, formatted string, ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>"
@@ -87,6 +89,36 @@ def chat_tokenizer(path: str):
     return t
 
 
+_encoders: dict[str, PartEncoder] = {}
+
+
+def chat_encoder(path: str) -> PartEncoder:
+    """This worker's encoder of rendered conversations."""
+    if path not in _encoders:
+        _encoders[path] = PartEncoder(chat_tokenizer(path))
+    return _encoders[path]
+
+
+def encoded(encoder: PartEncoder, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, start, end) of the tokens of each text, in characters; a token that is part of a character has that one."""
+    ids, sizes = encoder.encode(data, offsets)
+    upto = np.concatenate([[0], np.cumsum(encoder.token_bytes[ids])])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    if (upto[first] == offsets).all():
+        characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # that begin before each byte
+        start, end = characters[upto[:-1] + 1] - 1, characters[upto[1:]]
+        for i in range(len(sizes)):
+            own, base = slice(first[i], first[i + 1]), characters[offsets[i]]
+            out.append((ids[own], (start[own] - base).astype(np.int32), (end[own] - base).astype(np.int32)))
+        return out
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):  # not a byte-level vocabulary
+        code = encoder.tokenizer.encode(bytes(data[a:b]).decode(), add_special_tokens=False)
+        at = np.array(code.offsets, np.int32).reshape(-1, 2)
+        out.append((np.array(code.ids, np.int32), at[:, 0], at[:, 1]))
+    return out
+
+
 def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per conv_id of ``turns`` (conv_id, turn, role, text): its text, token ids, their offsets and loss mask.
 
@@ -103,17 +135,19 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = chat_tokenizer(tokenizer_path)
+        encoder = chat_encoder(tokenizer_path)
         schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("token_starts", pa.list_(pa.int32())), ("token_ends", pa.list_(pa.int32())), ("loss", pa.list_(pa.bool_()))])
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(low, 256), []
-                for conv, said in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    formatted, spans = render([(x["role"], x["text"]) for x in said])
-                    code = tokenizer.encode(formatted, add_special_tokens=False)
-                    at = np.array(code.offsets, np.int32).reshape(-1, 2)
-                    rows.append((conv, formatted, code.ids, at[:, 0], at[:, 1], token_mask(at[:, 0], at[:, 1], spans)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            made = [render([(x["role"], x["text"]) for x in said]) for said in batch.column(1).to_pylist()]
+            texts = pa.array([t for t, _ in made], pa.large_string())
+            for low, high, data, offsets in runs(*text_bytes(texts)):
+                lists: list[list[np.ndarray]] = [[], [], [], []]
+                for (ids, start, end), (_, spans) in zip(encoded(encoder, data, offsets), made[low:high], strict=True):
+                    for column, x in zip(lists, (ids, start, end, token_mask(start, end, spans)), strict=True):
+                        column.append(x)
+                at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])]).astype(np.int32))
+                flat = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), t)) for x, t in zip(lists, [pa.int32()] * 3 + [pa.bool_()], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), texts.slice(low, high - low).cast(pa.string()), *flat], schema=schema)
 
     return whole.mapInArrow(run, SCHEMA)
 

@@ -14,7 +14,7 @@ import numpy as np
 from .words import byte_hashes
 
 #: Parts kept by a worker; beyond it the store starts anew. An entry takes about 40 bytes.
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 400_000
 #: New parts that are encoded as one text.
 JOINED_PARTS = 2_000
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])

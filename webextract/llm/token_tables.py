@@ -22,6 +22,8 @@ from .words import runs, text_bytes
 
 #: Bytes of a row group and of a page, and bytes up to which a column chunk's dictionary may grow (50,000 ids take 200 kB).
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10, 2 << 20
+#: Bytes of text whose ids go to one file, at most about.
+FILE_BYTES = 256 << 20
 #: Files up to which the table of files is broadcast (a few hundred bytes each).
 FILES_TO_BROADCAST = 20_000
 
@@ -72,7 +74,10 @@ def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
                 start += int(at[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    files = -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(files, "doc_id") if files > usual else rows.repartitionByRange("doc_id")
+    ordered = ranged.sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, TOKENS_SCHEMA)
         .write.option("parquet.block.size", ROW_GROUP_BYTES)
