@@ -27,9 +27,9 @@ def query(f):
 
 @query
 def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page against the list entries active when it was fetched."""
+    """Every page against the list entries active when it was fetched; the entries are made from the pages' own hosts."""
     pages = table(spark, sf_dir, "pages").withColumn("fetched_at", url_filters.fetch_time(F.col("page_id")))
-    found = url_filters.filter_captures(pages, url_filters.example_entries(spark), id_col="page_id", url_col="url", time_col="fetched_at")
+    found = url_filters.filter_captures(pages, url_filters.made_entries(pages), id_col="page_id", url_col="url", time_col="fetched_at")
     return found.withColumnRenamed("capture_id", "page_id")
 
 

@@ -3,17 +3,20 @@
 Dated list entries (added, removed) become validity intervals. A capture's URL gives the keys under which an entry could
 match it: its host, each domain its host ends with, and each path prefix. An equi-join on the key, with the fetch time
 inside the interval, evaluates every capture against the entries active when it was fetched. Lists of a checked size are
-broadcast; longer ones are joined by key with salt, so a host of any share of the captures is spread.
+broadcast; longer ones are joined by key with salt: a key of many captures is dealt to as many tasks as its captures need, so a host or a whole top-level domain of any
+share of the captures is spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Intervals up to which a list is broadcast (about 100 bytes each), and salts of the join beyond.
-ROWS_TO_BROADCAST, SALTS = 200_000, 16
+from ..session import staged
+
+#: Intervals up to which a list is broadcast (about 100 bytes each), and captures of one key that meet in a task beyond.
+ROWS_TO_BROADCAST, KEY_ROWS = 200_000, 100_000
 ENTRY_SCHEMA = "list string, kind string, pattern string, listed_at timestamp_ntz, action string"
 
 #: Entries as (list, kind, pattern, date, action).
@@ -88,8 +91,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, id_col: str, url
     if intervals.count() <= ROWS_TO_BROADCAST:
         joined = keyed.join(F.broadcast(intervals), "key")
     else:
-        salted = intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("capture_id", "url", "fetched_at"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+        # Of the listed keys, those of more captures than a task should take are few: one for each KEY_ROWS keys of captures.
+        many = keyed.groupBy("key").agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("deals")).filter("deals > 1")
+        many = staged(many.join(intervals.select("key").distinct(), "key", "left_semi"), "hot-keys")
+        small = F.broadcast(many) if many.count() <= ROWS_TO_BROADCAST else many
+        deals = F.coalesce("deals", F.lit(1))
+        salted = intervals.join(small, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+        dealt = keyed.join(small, "key", "left").withColumn("salt", F.pmod(F.xxhash64("capture_id", "url", "fetched_at"), deals).cast("int")).drop("deals")
+        joined = dealt.join(salted, ["key", "salt"])
     active = joined.filter((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     order = F.struct("specificity", (F.col("action") == "allow").alias("allows"), "list", "action")
     decided = active.groupBy("capture_id", "url", "fetched_at").agg(F.count("*").alias("n_active"), F.max(order).alias("best"))
@@ -102,11 +111,35 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, id_col: str, url
     )
 
 
-def example_entries(spark: SparkSession) -> DataFrame:
-    """ENTRIES as a table."""
-    return spark.createDataFrame([tuple(e) for e in ENTRIES], "list string, kind string, pattern string, day string, action string").select(
-        "list", "kind", "pattern", F.col("day").cast("timestamp_ntz").alias("listed_at"), "action"
-    )
+def made_entries(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Entries for about all hosts of ``pages``, whose lists and dates follow from the host's MD5, and those of ENTRIES.
+
+    The tables hold no lists. So the list grows with the hosts: a quarter each are spam for a while, malware with their whole
+    domain, trusted in part, or adult in part, twice. Each entry comes once, however many pages a host has.
+    """
+    digit = lambda i: F.position(F.substring(F.md5("host"), i, 1), F.lit("0123456789abcdef")) - 1
+    hosts = pages.select(url_host(F.col(url_col)).alias("host")).filter("host <> ''").distinct()
+    n = (digit(1) * 16 + digit(2)).alias("n")
+    hosts = hosts.select("host", n)
+    domain = F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".")
+    day = F.col("n")
+
+    def entry(kind: int, name: str, match: str, pattern: Column, at: Column, action: str) -> Column:
+        listed = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(at.cast("int"))
+        one = F.struct(F.lit(name).alias("list"), F.lit(match).alias("kind"), pattern.alias("pattern"), listed.alias("listed_at"), F.lit(action).alias("action"))
+        return F.when(F.col("n") % 4 == kind, one)
+
+    rows = F.array(
+        entry(0, "spam", "host", F.col("host"), day, "add"), entry(0, "spam", "host", F.col("host"), day + 60, "remove"),
+        entry(1, "malware", "domain", F.when(F.size(F.split("host", r"\.")) >= 3, domain), day, "add"),
+        entry(2, "trusted", "prefix", F.concat("host", F.lit("/en")), F.floor(day / 2), "allow"),
+        entry(3, "adult", "prefix", F.concat("host", F.lit("/de")), day, "add"), entry(3, "adult", "prefix", F.concat("host", F.lit("/de")), day + 30, "remove"),
+        entry(3, "adult", "prefix", F.concat("host", F.lit("/de/")), day + 90, "add"),
+    )
+    made = hosts.select(F.explode(F.filter(rows, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    fixed = pages.sparkSession.createDataFrame([tuple(e) for e in ENTRIES], "list string, kind string, pattern string, day string, action string")
+    fixed = fixed.select("list", "kind", "pattern", F.col("day").cast("timestamp_ntz").alias("listed_at"), "action")
+    return made.unionByName(fixed).distinct()
 
 
 def fetch_time(page_id: Column) -> Column:
@@ -114,15 +147,27 @@ def fetch_time(page_id: Column) -> Column:
     return F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.pmod(page_id * 37, F.lit(366)).cast("int"))
 
 
-SQL = """
-WITH e(list, kind, pattern, listed_at, action) AS (VALUES {values}),
-i AS (
-  SELECT list, action, kind || ':' || pattern AS key, CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END * 100000 + length(pattern) AS spec,
-         listed_at::TIMESTAMP AS valid_from, lead(listed_at::TIMESTAMP) OVER (PARTITION BY list, kind, pattern ORDER BY listed_at) AS valid_to FROM e),
-c AS (
+SQL = r"""
+WITH c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(((page_id * 37) % 366)::INTEGER) AS fetched_at,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (
+  SELECT DISTINCT host, (strpos('0123456789abcdef', md5(host)[1]) - 1) * 16 + strpos('0123456789abcdef', md5(host)[2]) - 1 AS n FROM c WHERE host <> ''),
+made AS (
+  SELECT 'spam' AS list, 'host' AS kind, host AS pattern, n AS day, 'add' AS action FROM h WHERE n % 4 = 0
+  UNION ALL SELECT 'spam', 'host', host, n + 60, 'remove' FROM h WHERE n % 4 = 0
+  UNION ALL SELECT 'malware', 'domain', regexp_extract(host, '([^.]*[.][^.]*[.][^.]*)$', 1), n, 'add' FROM h WHERE n % 4 = 1 AND regexp_matches(host, '[.].*[.]')
+  UNION ALL SELECT 'trusted', 'prefix', host || '/en', n // 2, 'allow' FROM h WHERE n % 4 = 2
+  UNION ALL SELECT 'adult', 'prefix', host || '/de', n, 'add' FROM h WHERE n % 4 = 3
+  UNION ALL SELECT 'adult', 'prefix', host || '/de', n + 30, 'remove' FROM h WHERE n % 4 = 3
+  UNION ALL SELECT 'adult', 'prefix', host || '/de/', n + 90, 'add' FROM h WHERE n % 4 = 3),
+e AS (
+  SELECT DISTINCT list, kind, pattern, TIMESTAMP '2024-01-01' + to_days(day::INTEGER) AS listed_at, action FROM made
+  UNION SELECT list, kind, pattern, listed_at::TIMESTAMP, action FROM (VALUES {values}) v(list, kind, pattern, listed_at, action)),
+i AS (
+  SELECT list, action, kind || ':' || rtrim(pattern, '/') AS key, CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END * 100000 + length(pattern) AS spec,
+         listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY list, kind, pattern ORDER BY listed_at, action = 'remove', action) AS valid_to FROM e),
 m AS (
   SELECT c.page_id, c.url, c.fetched_at, i.list, i.action, i.spec FROM c JOIN i
   ON i.action <> 'remove' AND i.valid_from <= c.fetched_at AND (i.valid_to IS NULL OR c.fetched_at < i.valid_to) AND (
@@ -134,4 +179,4 @@ b AS (
 SELECT c.page_id, c.url, c.fetched_at, coalesce(b.n_active, 0) AS n_active, b.best[3] AS list, b.best[4] AS action,
        coalesce(b.best[4] <> 'allow', false) AS blocked
 FROM c LEFT JOIN b ON c.page_id = b.page_id AND c.url = b.url AND c.fetched_at = b.fetched_at
-""".format(values=", ".join(str(e) for e in ENTRIES))
+""".replace("{values}", ", ".join(str(e) for e in ENTRIES))
