@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import release, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = staged(near.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, staged(near.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(before)
         last, sign = sign, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if sign == last:
             break

@@ -25,7 +25,7 @@ WINDOW = 13
 #: Bytes of benchmark text that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 #: Kept suffixes and bytes of text that make a shard.
-SHARD_SUFFIXES, SHARD_BYTES = 500_000, 64 << 20
+SHARD_SUFFIXES, SHARD_BYTES = 200_000, 8 << 20
 MATCH = "struct<item_id:string,item_at:int,doc_at:int,length:int>"
 SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, matches array<{MATCH}>"
 _MATCH_TYPE = pa.struct([("item_id", pa.string()), ("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())])

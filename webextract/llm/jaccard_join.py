@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import staged
+from ..session import release, staged
 from .components import connected_components
 from .words import SPACED_LOWER, mix, runs, split, text_bytes, windows
 
@@ -488,6 +488,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
+    release(members, placed, held, apart, links, more)
     # The smallest id of each component's classes.
     joined = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "rep", F.coalesce("component", "cid").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")).filter("classes > 1")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import staged
+from ..session import release, staged
 
 #: Rows that a block of the shuffled order, or a range of finish times, should hold.
 BLOCK_ROWS = 2048
@@ -82,7 +82,7 @@ def fair_mix(
         ),
         "mix-sizes",
     )
-    rows = sized.count()
+    whole, rows = sized, sized.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / BLOCK_ROWS, 16))) if rows > BLOCK_ROWS else 1
     sized = sized.withColumn("block", F.substring("key", 1, digits))
 
@@ -104,6 +104,8 @@ def fair_mix(
         "mix-places",
     )
 
+    release(whole)
+
     # An entry is a document in one pass. Ranges of finish time up to the level hold about BLOCK_ROWS entries each.
     ranges = max(1, rows * passes // BLOCK_ROWS)
     entry = lambda p: F.struct(
@@ -184,5 +186,5 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source"
     docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     plan = fair_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, row_col=row, **options)
     plan = plan.filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
-    joined = docs.join(plan, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    joined = docs.join(plan.hint("merge"), row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != row])

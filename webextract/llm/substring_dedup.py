@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import release, staged
 from .jaccard_join import wanted_texts, whole_groups
 from .words import SPACED, runs, split, text_bytes, windows
 
@@ -212,8 +212,9 @@ def merged(ends: list[int], width: int = WINDOW) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<a:int,b:int>>, kept string"
 
 
-def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(id, h, spans): word spans of each (id, text) that a document of smaller id has too, in parts to be united.
+def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, h, spans): word spans of each (id, text) that a document of smaller id has too, in parts to be united; and the
+    staged table that they are read from.
 
     ``h`` is the text's xxhash64, which tells rows of one id apart.
     """
@@ -221,9 +222,9 @@ def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     buckets = LEAST_BUCKETS
     while buckets * BUCKET_BYTES < size:
         buckets *= 2
-    found = staged(recurring(packed_windows(docs, buckets, key_bytes), buckets, key_bytes), "recurring")
-    owners = found.filter(F.col("keys").isNotNull())
-    members = found.filter(F.col("keys").isNull()).select("owner", "member").distinct()
+    held = staged(recurring(packed_windows(docs, buckets, key_bytes), buckets, key_bytes), "recurring")
+    owners = held.filter(F.col("keys").isNotNull())
+    members = held.filter(F.col("keys").isNull()).select("owner", "member").distinct()
     owned = int(owners.agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
     shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-owned // SHARD_WINDOWS))))
     routed = staged(members.select(shard.alias("shard"), F.col("member").alias("id")).distinct(), "routes")
@@ -246,10 +247,11 @@ def repeated_spans(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
 
     found = rows.select("shard", "task", "kind", "id", "h", "text", "keys").mapInArrow(run, "id long, h long, spans array<struct<a:int,b:int>>, window binary")
     found = staged(found, "found")
+    release(held, routed)
     odd = found.filter(F.col("window").isNotNull())
     first = odd.groupBy("window").agg(F.min("id").alias("owner"))
     later = odd.join(first, "window").filter(F.col("owner") < F.col("id"))
-    return found.filter(F.col("window").isNull()).select("id", "h", "spans").unionByName(later.select("id", "h", "spans"))
+    return found.filter(F.col("window").isNull()).select("id", "h", "spans").unionByName(later.select("id", "h", "spans")), found
 
 
 def _stream(table: pa.Table, key_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -340,8 +342,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = repeated_spans(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), key_bytes)
+    parts, found = repeated_spans(rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()), key_bytes)
     spans = staged(parts.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(found)
     if (spans.agg(F.sum(48 + 16 * F.size("spans").cast("long"))).first()[0] or 0) <= SPANS_TO_BROADCAST:
         spans = F.broadcast(spans)
     joined = rows.withColumn("h", F.xxhash64("text")).join(spans, ["id", "h"], "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import release, staged
 from .words import ALNUM_LOWER, SPACED, Words, runs, split, text_bytes
 
 #: Labelled rows that a model is fitted on, at most about. What is learnt from them, the lexicon too, is bounded by them.
@@ -291,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", "toxic", "part"])
 
     rows = sample.filter("part > 0").select("text", F.col("toxic").cast("int"), "part").mapInArrow(extract, "x array<double>, toxic int, part int").collect()
+    release(sample)
     rows.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
     x, y, part = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["toxic"] == 1 for r in rows], float), np.array([r["part"] for r in rows])
     if not len(y) or y[part == 1].size == 0 or y[part == 1].min() == y[part == 1].max():
