@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows and bytes that go to a Python worker at once, at most: texts may be long and workers share an executor's memory.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,7 +58,15 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing is read from any more: what was made of them has been staged itself."""
+    for t in tables:
+        drop_staged(t.sparkSession, t.staged_at)
 
 
 _scopes: list[list[str]] = []
