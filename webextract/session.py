@@ -90,10 +90,12 @@ def drop_staged(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it lies in fewer partitions than there are: for small inputs of one file, before Python
-    work. Larger inputs stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+    """``df`` dealt over all cores if it is read in fewer partitions than there are: for small inputs of one file, before
+    work on each row. Larger inputs, and what comes out of a shuffle, stay as they are."""
+    n, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    return df.repartition(n) if plan.execute().getNumPartitions() < n else df
 
 
 _shipped: set[str] = set()
