@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import spread, staged
 from .words import ALNUM_LOWER, Words, runs, split, text_bytes
 
 WINDOW = 13
@@ -212,7 +212,7 @@ def _judged(docs: DataFrame, blocks: list[DataFrame], width: int, id_col: str, t
                 }
                 yield from pa.table(columns | {k: held[k] for k in more}).to_batches(max_chunksize=4096)
 
-        return (_hashed(rows, "text") if more else rows).mapInArrow(run, SCHEMA + "".join(f", {k} long" for k in more))
+        return spread(_hashed(rows, "text") if more else rows).mapInArrow(run, SCHEMA + "".join(f", {k} long" for k in more))
 
     if len(blocks) == 1:
         out = scanned(_index(blocks[0], width), False)
@@ -262,4 +262,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW
             keep = pa.array([not is_contaminated(int(n), covered(m)) for n, m in zip(counts.tolist(), found, strict=True)], pa.bool_())
             yield from held.filter(keep).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

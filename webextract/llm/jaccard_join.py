@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import release, staged
+from ..session import release, spread, staged
 from .components import connected_components
 from .words import SPACED_LOWER, mix, runs, split, text_bytes, windows
 
@@ -147,7 +147,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = [batch.column(k).slice(a, b - a) for k in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns)], names=["doc_id", "h1", "h2", "n", "c1", "c2", "spare0", "spare1"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_hashes(F.col(text_col))).mapInArrow(run, SETS_SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_hashes(F.col(text_col)))
+    return spread(rows).mapInArrow(run, SETS_SCHEMA)
 
 
 def packed_keys(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
@@ -176,7 +177,7 @@ def packed_keys(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
                     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "classes", "counts", "keys"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, classes binary, counts binary, keys binary")
+    return spread(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "bucket int, classes binary, counts binary, keys binary")
 
 
 GROUP_SCHEMA = "gid long, c1 long, bit int, keys long, members long"

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import release, staged
+from ..session import release, spread, staged
 
 #: Rows that a block of the shuffled order, or a range of finish times, should hold.
 BLOCK_ROWS = 2048
@@ -72,7 +72,7 @@ def fair_mix(
     does not matter. No rows, or no words at all: nothing is taken. Other columns of ``docs`` are not read.
     """
     sized = staged(
-        docs.select(
+        spread(docs).select(
             F.col(id_col).alias("doc_id"),
             (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
             F.col(source_col).alias("source"),

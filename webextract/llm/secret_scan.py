@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .words import runs, text_bytes
 
 KINDS = ("assign", "access", "hex")
@@ -350,4 +351,4 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 types = [pa.int64()] * 3 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, staged
+from ..session import release, spread, staged
 from .jaccard_join import wanted_texts, whole_groups
 from .words import SPACED, runs, split, text_bytes, windows
 
@@ -74,7 +74,7 @@ def packed_windows(docs: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) ->
                     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "ids", "counts", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, "bucket int, ids binary, counts binary, keys binary")
+    return spread(docs.select("id", "text")).mapInArrow(run, "bucket int, ids binary, counts binary, keys binary")
 
 
 def _firsts(ids: np.ndarray, of: np.ndarray, key: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
@@ -347,5 +347,5 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     release(found)
     if (spans.agg(F.sum(48 + 16 * F.size("spans").cast("long"))).first()[0] or 0) <= SPANS_TO_BROADCAST:
         spans = F.broadcast(spans)
-    joined = rows.withColumn("h", F.xxhash64("text")).join(spans, ["id", "h"], "left")
+    joined = spread(rows).withColumn("h", F.xxhash64("text")).join(spans, ["id", "h"], "left")
     return joined.select("id", "text", "spans").mapInArrow(_cleaned, SCHEMA)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, staged
+from ..session import release, spread, staged
 from .words import ALNUM_LOWER, SPACED, Words, runs, split, text_bytes
 
 #: Labelled rows that a model is fitted on, at most about. What is learnt from them, the lexicon too, is bounded by them.
@@ -255,7 +255,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                     every = np.bincount(inverse, minlength=len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), length)), pa.array(bad), pa.array(every - bad)], names=["key", "length", "bad", "good"])
 
-    counts = sample.filter("part = 0").select("text", F.col("toxic").cast("int")).mapInArrow(count, "key long, length long, bad long, good long")
+    counts = spread(sample.filter("part = 0")).select("text", F.col("toxic").cast("int")).mapInArrow(count, "key long, length long, bad long, good long")
     n = sample.filter("part = 0").agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     odds = F.log((F.col("bad") + 0.5) / F.lit(n[0] + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n[1] + 1.0))
     best = (
@@ -284,13 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     not calibrated.
     """
     sample = staged(labelled_sample(docs, labels, sample_rows, id_col, text_col), "sample")
+    rows = spread(sample)
     lexicon = learn_lexicon(sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in _apply(batches, 0, lambda d, o: features(d, o, lexicon)):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", "toxic", "part"])
 
-    rows = sample.filter("part > 0").select("text", F.col("toxic").cast("int"), "part").mapInArrow(extract, "x array<double>, toxic int, part int").collect()
+    rows = rows.filter("part > 0").select("text", F.col("toxic").cast("int"), "part").mapInArrow(extract, "x array<double>, toxic int, part int").collect()
     release(sample)
     rows.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
     x, y, part = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["toxic"] == 1 for r in rows], float), np.array([r["part"] for r in rows])
@@ -323,7 +324,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -338,4 +339,4 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thre
         for part, score in _apply(batches, column, model.scores):
             yield part.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
