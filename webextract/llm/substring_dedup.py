@@ -4,9 +4,10 @@ A window is 13 consecutive words. Of the documents of a run of texts that have a
 the others: no more is needed to remove it there. So only that one's hash goes on, and a window that any share of all
 documents has is in a bucket once for each run. The hashes travel packed, one row per run and bucket; a bucket finds the
 windows that more than one run has, and of each its owner, the document of smallest id. The owners' passages are then read
-again and confirmed as words: those of a shard of owners are compiled to an Aho-Corasick automaton over word
-numbers, and every document that may hold one of them streams through it whole. An occurrence in a document other than
-the owner is removed. A shard with many documents is dealt to several tasks, each with the shard's automaton.
+again and confirmed as words: those of a shard of owners are cut into blocks, of which every window holds one whole, and
+compiled to an Aho-Corasick automaton over word numbers. Every document that may hold one of them streams through it whole;
+of each block found, the words before and behind are compared. An occurrence in a document other than the owner is
+removed. A shard with many documents is dealt to several tasks, each with the shard's automaton.
 
 Where two different windows have one hash, only the smallest document's is in an automaton. Windows of the hash that the
 automaton does not hold are then told apart by their words, and owned by the smallest document that has them.
@@ -164,49 +165,87 @@ def recurring(packed: DataFrame, buckets: int, key_bytes: int = KEY_BYTES) -> Da
     return packed.groupBy("bucket").applyInArrow(group, "owner long, member long, keys binary")
 
 
+#: Words of a block. Blocks stand at every BLOCK-th word of a passage, so each window of it holds one whole.
+BLOCK = (WINDOW + 1) // 2
+#: Words of a window besides its block, and places of blocks compared at once.
+SIDE, PAIRS = WINDOW - BLOCK, 100_000
+
+
 class Phrases:
-    """An automaton of windows, with the owner of each."""
+    """An automaton of the blocks of recurring passages, with the owner of each passage."""
 
-    def __init__(self, windows_: list[np.ndarray], owners: list[int]):
-        """windows_: word hashes [window, word] of each owner."""
+    def __init__(self, passages: list[np.ndarray], owners: list[int]):
+        """passages: word hashes of stretches all of whose windows recur."""
         import ahocorasick
 
-        self.owners = owners
-        self.vocabulary = np.unique(np.concatenate([w.ravel() for w in windows_]))
+        sizes = np.array([len(p) for p in passages])
+        self.vocabulary, numbers = np.unique(np.concatenate(passages), return_inverse=True)
+        # All passages in one line, with room between them for words that equal none.
+        start = np.cumsum(sizes + SIDE) - sizes
+        self.line = np.full(int(start[-1] + sizes[-1]) + SIDE, -1, np.int32)
+        self.line[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(numbers))] = numbers + 1
+        at: dict[tuple[int, ...], list[int]] = {}
+        owner: dict[int, int] = {}
+        for p, n, who in zip(start.tolist(), sizes.tolist(), owners, strict=True):
+            words = self.line[p : p + n].tolist()
+            for m in range(0, n - BLOCK + 1, BLOCK):
+                at.setdefault(tuple(words[m : m + BLOCK]), []).append(p + m)
+                owner[p + m] = who
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, w in sorted(enumerate(windows_), key=lambda x: -owners[x[0]]):  # of a window's owners the smallest stays
-            for phrase in (np.searchsorted(self.vocabulary, w) + 1).tolist():
-                self.automaton.add_word(tuple(phrase), i)
+        for i, block in enumerate(at):
+            self.automaton.add_word(block, i)
         self.automaton.make_automaton()
+        self.count = np.array([len(x) for x in at.values()])
+        self.first = np.cumsum(self.count) - self.count
+        self.places = np.array([x for found in at.values() for x in found])
+        self.owners = np.array([owner[x] for x in self.places.tolist()], np.int64)
 
-    def occurrences(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(last word, owner) of all windows in a document that the automaton holds."""
+    def occurrences(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, end, owner) of stretches of a document that lie in a passage and hold a window or more.
+
+        Blocks are found by the automaton; of the words before and behind each, those of the windows that hold it are compared.
+        """
+        none = (np.zeros(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
+        words = np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
         # A stretch of fewer known words than a window holds no occurrence; the others stream with a break between them.
-        edge = np.flatnonzero(np.diff(known.view(np.int8), prepend=0, append=0))
+        edge = np.flatnonzero(np.diff((words > 0).view(np.int8), prepend=0, append=0))
         start, end = edge[::2], edge[1::2]
         long_ = end - start >= WINDOW
         start, size = start[long_], (end - start)[long_] + 1
         if not len(start):
-            return []
+            return none
         place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-        numbers = at[np.minimum(place, len(at) - 1)] + 1
+        numbers = words[np.minimum(place, len(words) - 1)]
         numbers[np.cumsum(size) - 1] = 0
-        place = place.tolist()
-        return [(place[end], self.owners[i]) for end, i in self.automaton.iter(tuple(numbers.tolist()))]
-
-
-def merged(ends: list[int], width: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans covered by the windows that end at the given words."""
-    out: list[tuple[int, int]] = []
-    for e in sorted(ends):
-        a, b = e - width + 1, e + 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+        hits = np.array(list(self.automaton.iter(tuple(numbers.tolist()))), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return none
+        low, block = place[hits[:, 0]] - BLOCK + 1, hits[:, 1]
+        upto = np.cumsum(self.count[block])
+        padded = np.concatenate([np.full(SIDE, -2, np.int32), words, np.full(SIDE, -2, np.int32)])
+        step, out = np.arange(SIDE), []
+        i = 0
+        while i < len(low):  # as many hits at a time as have about PAIRS places
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right")))
+            n = self.count[block[i:j]]
+            entry = np.repeat(self.first[block[i:j]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            here, there = np.repeat(low[i:j], n), self.places[entry]
+            before = padded[(here + SIDE - 1)[:, None] - step] == self.line[(there - 1)[:, None] - step]
+            behind = padded[(here + SIDE + BLOCK)[:, None] + step] == self.line[(there + BLOCK)[:, None] + step]
+            left, right = (np.cumprod(x, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64) for x in (before, behind))
+            good = left + right >= SIDE
+            out.append(((here - left)[good], (here + BLOCK + right)[good], self.owners[entry][good]))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of n words lie in a span."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, a, 1)
+    np.add.at(change, b, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<a:int,b:int>>, kept string"
@@ -262,7 +301,7 @@ def _stream(table: pa.Table, key_bytes: int) -> Iterator[pa.RecordBatch]:
     owned = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sources["keys"]] or [np.zeros(0, np.uint64)]))
     held: list[np.ndarray] = []
     owners: list[int] = []
-    names, blobs = ids[kinds == 0], sources["keys"]
+    names, blobs, count = ids[kinds == 0], sources["keys"], 0
     for low, high, data, offsets in runs(*text_bytes(sources["text"])):
         w = split(data, offsets, SPACED)
         hashes = w.hashes()
@@ -270,14 +309,16 @@ def _stream(table: pa.Table, key_bytes: int) -> Iterator[pa.RecordBatch]:
         for i in range(high - low):
             at = np.arange(w.first[i], w.first[i + 1])
             wanted = np.frombuffer(blobs[low + i].as_buffer(), np.uint64)
-            at = at[good[at] & np.isin(_kept(key[at], key_bytes), wanted)]
+            at = _once(at[good[at] & np.isin(_kept(key[at], key_bytes), wanted)], key, hashes)
             for c in range(0, len(at), AUTOMATON_WINDOWS):
-                part = hashes[at[c : c + AUTOMATON_WINDOWS, None] + np.arange(WINDOW)]
-                held.append(np.unique(part, axis=0))
-                owners.append(int(names[low + i]))
-                if sum(map(len, held)) >= AUTOMATON_WINDOWS:
+                part = at[c : c + AUTOMATON_WINDOWS]
+                for run in np.split(part, np.flatnonzero(np.diff(part) > 1) + 1):
+                    held.append(hashes[run[0] : run[-1] + WINDOW])
+                    owners.append(int(names[low + i]))
+                count += len(part)
+                if count >= AUTOMATON_WINDOWS:
                     phrases.append(Phrases(held, owners))
-                    held, owners = [], []
+                    held, owners, count = [], [], 0
     # Automata are few: the shard's windows are about SHARD_WINDOWS, unless one owner has more.
     if held:
         phrases.append(Phrases(held, owners))
@@ -291,18 +332,32 @@ def _stream(table: pa.Table, key_bytes: int) -> Iterator[pa.RecordBatch]:
         for i in range(high - low):
             a, b = w.first[i], w.first[i + 1]
             doc, mark = int(names[low + i]), int(marks[low + i])
-            found = [x for p in phrases for x in p.occurrences(hashes[a:b])]
-            ends = [e for e, owner in found if owner < doc]
-            if ends:
-                out.append((doc, mark, [{"a": x, "b": y} for x, y in merged(ends)], None))
-            odd = set(np.flatnonzero(maybe[a:b]).tolist()) - {e - WINDOW + 1 for e, _ in found}
-            for at in sorted(odd):  # a window whose hash is that of another one
+            n = int(b - a)
+            found = [p.occurrences(hashes[a:b]) for p in phrases]
+            x, y, owner = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+            smaller = owner < doc
+            if smaller.any():
+                edge = np.flatnonzero(np.diff(covered(n, x[smaller], y[smaller]).view(np.int8), prepend=0, append=0))
+                out.append((doc, mark, [{"a": p, "b": q} for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)], None))
+            odd = maybe[a:b] & ~covered(n, x, y - WINDOW + 1)
+            for at in np.flatnonzero(odd).tolist():  # a window whose hash is that of another one
                 text = b" ".join(bytes(data[x:y]) for x, y in zip(w.starts[a + at : a + at + WINDOW], w.ends[a + at : a + at + WINDOW], strict=True))
                 out.append((doc, mark, [{"a": at, "b": at + WINDOW}], text))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["id", "h", "spans", "window"])
 
 
+def _once(at: np.ndarray, key: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of windows that begin at the given words, the first of each kind, in order."""
+    _, first, of = np.unique(key[at], return_index=True, return_inverse=True)
+    if len(first) == len(at):
+        return at
+    rows = hashes[at[:, None] + np.arange(WINDOW)]
+    if (rows != rows[first][of]).any():  # different windows of one hash
+        first = np.unique(rows, axis=0, return_index=True)[1]
+    return at[np.sort(first)]
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in runs(*text_bytes(batch.column(1))):
