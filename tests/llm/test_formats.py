@@ -51,12 +51,14 @@ def test_parts_of_one_polynomial(tokenizer, monkeypatch):
     check()
 
 
-def test_part_store_starts_anew(tokenizer, monkeypatch):
-    monkeypatch.setattr("webextract.llm.encoding.MEMO_PARTS", 3)
-    e = PartEncoder(tokenizer)
-    for text in ("one two", "three four", "a b c d e f", "one two"):
-        data, offsets = words.text_bytes(pa.array([text]))
-        assert e.encode(data, offsets)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_part_store_forgets(tokenizer, monkeypatch):
+    for most in (3, 4, 7):
+        monkeypatch.setattr("webextract.llm.encoding.MEMO_PARTS", most)
+        e = PartEncoder(tokenizer)
+        for text in ("one two", "three four", "a b c d e f g h", "one two", "one, two. one! three", "one five six", "seven one", "one"):
+            data, offsets = words.text_bytes(pa.array([text]))
+            assert e.encode(data, offsets)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(e.keys) <= most
 
 
 @settings(max_examples=150, deadline=None)
