@@ -100,7 +100,7 @@ def on_seed_hosts(urls: DataFrame, seeds: DataFrame) -> DataFrame:
     return found.withColumn("same_host", F.coalesce("same_host", F.lit(False)) & U.scheme(F.col("url")).isin("http", "https"))
 
 
-#: Rows of a level up to which it is cut by a top-k and broadcast to its pages (its URLs and numbers).
+#: Rows of a level up to which it is numbered in one task and broadcast to its pages (its URLs and numbers).
 LEVEL_ROWS = 100_000
 #: (url, seq) of a level's pages -> (seq, pos, url): their links in crawl form.
 Expand = Callable[[DataFrame], DataFrame]
@@ -143,10 +143,13 @@ def breadth_first(
         for before in levels:
             df = df.join(before.select("url"), "url", "left_anti")
         one = df.filter(F.col("url").isNotNull() & good).groupBy("url").agg(F.min(F.struct("place", "parent")).alias("m")).select("url", "m.place", "m.parent")
-        left = max(0, config.max_pages - count)
-        if left <= LEVEL_ROWS:  # a top-k, not a sort of all
-            one = one.orderBy("place", "url").limit(left)
-        one = numbered(one, "place", "url").filter(F.col("seq") <= left)
+        one, left = staged(one, "admitted"), max(0, config.max_pages - count)
+        rows = one.count()
+        if min(rows, left) <= LEVEL_ROWS:  # a top-k in one task, not a sort of all
+            best = one.orderBy("place", "url").limit(left) if left < rows else one
+            one = best.withColumn("seq", F.row_number().over(W.orderBy("place", "url")))
+        else:
+            one = numbered(one, "place", "url").filter(F.col("seq") <= left)
         return staged(one.select("url", F.lit(depth).alias("depth"), "parent", (F.col("seq") + count).alias("seq")), "frontier")
 
     listed = seeds.select("seq", "url") if seeds is not None else spark.createDataFrame(list(enumerate(config.seeds)), "seq long, url string")
