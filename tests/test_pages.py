@@ -193,6 +193,15 @@ def test_corpus(meta):
     assert got["success"] and text(got["content"]) == text((meta.parent / "expected.html").read_text())
 
 
+def test_articles_of_a_stream(spark, tmp_path):
+    df, rows = frame(spark)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = article.extract_articles(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+
+
 def test_articles_frame(spark):
     df, rows = frame(spark)
     got = article.extract_articles(df.unionByName(spark.createDataFrame([(999, None, None)], df.schema)))

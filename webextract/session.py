@@ -91,7 +91,9 @@ def drop_staged(spark: SparkSession, path: str) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it is read in fewer partitions than there are: for small inputs of one file, before
-    work on each row. Larger inputs, and what comes out of a shuffle, stay as they are."""
+    work on each row. Larger inputs, streams, and what comes out of a shuffle, stay as they are."""
+    if df.isStreaming:
+        return df
     n, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().executedPlan()
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df
