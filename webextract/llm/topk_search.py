@@ -210,7 +210,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, scale: int = 64,
     Queries are the rows for which ``is_query``, a condition on ``vec_id``, holds; a query's candidates are all rows of
     another id and as many components. Rows of null id and vectors null, empty, or holding null or non-finite components
     take no part. Rows that share an id are candidates each; a query id of several rows is answered for the first by its
-    components. No rows: no answers. Other columns are not read.
+    components. Scores are 64-bit integers, so components must be below about 2**25 in size for vectors of a thousand of them.
+    No rows: no answers. Other columns are not read.
     """
     rows = usable(vectors, id_col, vector_col)
     count = rows.count()
