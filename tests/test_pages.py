@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webextract.operators import article, nodes
 from webextract.plans import rules
+from webextract.session import staged
 from webextract.sources import html as H
 
 PAGES = {
@@ -57,6 +58,16 @@ def test_set_based_equals_tree(spark):
     assert got == want
 
 
+def test_node_tables_are_not_broadcast(spark):
+    """However small their files are: staged nodes inflate to many times that."""
+    df, rows = frame(spark)
+    clean = staged(nodes.cleaned(H.parse_nodes(df)), "nodes")
+    got = nodes.subtree_text(clean, nodes.chosen(nodes.scored(nodes.measured(clean))))
+    assert got.count() == len([1 for _, _, html in rows if html is not None])
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 tree = st.recursive(st.text(alphabet="ab, .", max_size=30), lambda c: st.tuples(st.sampled_from(["div", "p", "a", "nav", "span", "li", "b"]), st.lists(c, max_size=4)), max_leaves=25)
 
 

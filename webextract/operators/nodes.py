@@ -16,6 +16,12 @@ from ..plans import rules
 from ..session import staged
 
 
+def _by_page(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by page_id through a shuffle at every size: nodes compress so well that tables which look small enough to be
+    broadcast, by the bytes of their files, do not fit the driver's memory."""
+    return left.join(right.hint("merge"), "page_id", how)
+
+
 def _under(is_root: Column) -> Column:
     """Whether a node lies in the subtree of an earlier node, or of itself, for which ``is_root`` holds."""
     upto = W.partitionBy("page_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
@@ -90,7 +96,7 @@ def refined(ranked: DataFrame, rounds: int = 3) -> DataFrame:
     slim = staged(ranked.select("page_id", "tag", "rank", *fields), "candidates")
     now = slim.filter("rank = 1").select("page_id", F.struct(*fields).alias("t"))
     for _ in range(rounds):
-        c = now.join(slim, "page_id")
+        c = _by_page(now, slim)
         low, length, density = F.greatest("t.score", F.lit(0.1)), F.greatest("t.text_length", F.lit(500)), F.greatest("t.link_density", F.lit(0.0))
         ratio = F.when((density > 0.06) & (F.col("link_density") < 0.03) & (F.col("text_length") < 0.4 * length), 0.3).otherwise(0.85)
         ratio = F.when((F.col("tag") == "article") & (F.col("link_density") < 0.7 * density), F.least(ratio, F.lit(0.65))).otherwise(ratio)
@@ -108,7 +114,7 @@ def chosen(elements: DataFrame) -> DataFrame:
     top = refined(candidates(elements))
     body = F.min_by(F.struct("node_id", "last_desc", "score"), F.when(F.col("tag") == "body", F.col("node_id"))).alias("b")
     bodies = elements.groupBy("page_id").agg(body).filter(F.col("b").isNotNull())
-    found = bodies.join(top.select("page_id", F.struct("node_id", "last_desc", "score").alias("t")), "page_id", "left")
+    found = _by_page(bodies, top.select("page_id", F.struct("node_id", "last_desc", "score").alias("t")), "left")
     return found.select("page_id", F.coalesce("t", "b").alias("n")).select("page_id", "n.*")
 
 
@@ -124,9 +130,9 @@ def select_tags(nodes: DataFrame, tags: list[str], root: Column | None = None) -
 def subtree_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(page_id, text) of each root (page_id, node_id, last_desc): texts of the subtree joined by one space."""
     r = roots.select("page_id", F.col("node_id").alias("root"), F.col("last_desc").alias("upto"))
-    inside = nodes.filter(F.col("txt").isNotNull()).join(r, "page_id").filter((F.col("node_id") > F.col("root")) & (F.col("node_id") <= F.col("upto")))
+    inside = _by_page(nodes.filter(F.col("txt").isNotNull()), r).filter((F.col("node_id") > F.col("root")) & (F.col("node_id") <= F.col("upto")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "txt"))), lambda x: x["txt"]), " ")
-    return r.select("page_id").join(inside.groupBy("page_id").agg(text.alias("text")), "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _by_page(r.select("page_id"), inside.groupBy("page_id").agg(text.alias("text")), "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def titles(nodes: DataFrame, pages: DataFrame) -> DataFrame:
