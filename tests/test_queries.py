@@ -3,6 +3,7 @@ from collections import Counter
 import duckdb
 
 from webextract import queries
+from webextract.operators import jobs
 
 
 def same_as_sql(spark, tmp_path, name, urls, html="<h1>t</h1>"):
@@ -22,3 +23,12 @@ TWICE = ["http://h/a", "http://h/a", "HTTP://H/a#x", "http://h/a?q=1", "http://h
 
 def test_visited_pages_of_one_url(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "j2_not_visited", TWICE)
+
+
+def test_cached_answers_of_one_url(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "j7_response_cache", TWICE)
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "key string")
+    stored = spark.createDataFrame([("a", 9, 1), ("a", 3, 2), ("b", None, 1), (None, 4, 1)], "key string, answer long, place int")
+    show = lambda df: sorted((str(r.key), r.answer, r.hit) for r in df.collect())
+    assert show(jobs.response_cache(asked, stored).drop("place")) == [("None", None, False), ("a", 3, True), ("a", 3, True), ("b", None, False)]
+    assert show(jobs.response_cache(asked, stored.drop("place")))[1:3] == [("a", 9, True)] * 2

@@ -32,8 +32,10 @@ def with_results(states: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def response_cache(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requests (key) with the stored answer of their key and whether it was a hit; a stored null reads as a miss."""
-    return requests.join(stored, "key", "left").withColumn("hit", F.col("answer").isNotNull())
+    """Requests (key) with the stored answer of their key and whether it was a hit; a stored null reads as a miss. Each request
+    is one row: of answers (key, answer[, place]) of one key the last by place counts, or the greatest where there is none."""
+    last = F.max_by("answer", "place") if "place" in stored.columns else F.max("answer")
+    return requests.join(stored.groupBy("key").agg(last.alias("answer")), "key", "left").withColumn("hit", F.col("answer").isNotNull())
 
 
 def requeued(fetched: DataFrame) -> DataFrame:
