@@ -3,7 +3,7 @@ from collections import Counter
 import duckdb
 
 from webextract import queries
-from webextract.operators import jobs
+from webextract.operators import fetch, jobs
 
 
 def same_as_sql(spark, tmp_path, name, urls, html="<h1>t</h1>"):
@@ -32,3 +32,11 @@ def test_cached_answers_of_one_url(spark, tmp_path):
     show = lambda df: sorted((str(r.key), r.answer, r.hit) for r in df.collect())
     assert show(jobs.response_cache(asked, stored).drop("place")) == [("None", None, False), ("a", 3, True), ("a", 3, True), ("b", None, False)]
     assert show(jobs.response_cache(asked, stored.drop("place")))[1:3] == [("a", 9, True)] * 2
+
+
+def test_snapshots_of_one_url(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "j9_fetch_snapshot", TWICE)
+    wanted = spark.createDataFrame([("h/a", 1), ("h/a", 2), (None, 3)], "url string, n int")
+    snapshot = spark.createDataFrame([("http://h/a#2", "B", 200), ("http://h/a", "C", 404), ("http://h/a", "A", 404), (None, "N", 200)], "url string, html string, status int")
+    got = sorted((r.n, r.html, r.status, r.error) for r in fetch.from_snapshot(wanted, snapshot).collect())
+    assert got == [(1, "A", 404, None), (2, "A", 404, None), (3, None, None, "Not in snapshot: ")]

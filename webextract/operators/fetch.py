@@ -22,11 +22,14 @@ ATTEMPTS, RETRIED, POLLS, SELECTOR_TIMEOUT, UNKNOWN_STATUS = 3, (408, 429), 20,
 
 def from_snapshot(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Wanted rows (url, ...) with html and status of their URL in a snapshot (url, html[, status]), compared in crawl form;
-    both null, and ``error`` set, where the snapshot has no such page."""
+    both null, and ``error`` set, where the snapshot has no such page. Each wanted row is one row: of pages of one URL the first
+    by URL as written, status and html counts."""
     status = F.col("status").cast("int") if "status" in snapshot.columns else F.lit(200)
-    known = snapshot.select(U.normalized(F.col("url")).alias("fetch_key"), "html", status.alias("status"), F.lit(True).alias("known"))
+    known = snapshot.select(U.normalized(F.col("url")).alias("fetch_key"), "html", status.alias("status"), F.lit(True).alias("known"), F.col("url").alias("written"))
+    first = W.partitionBy("fetch_key").orderBy("written", "status", "html")
+    known = known.filter(F.col("fetch_key").isNotNull()).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth", "written")
     found = urls.withColumn("fetch_key", U.normalized(F.col("url"))).join(known, "fetch_key", "left")
-    return found.withColumn("error", F.when(F.col("known").isNull(), F.concat(F.lit("Not in snapshot: "), F.col("url")))).drop("fetch_key", "known")
+    return found.withColumn("error", F.when(F.col("known").isNull(), F.concat(F.lit("Not in snapshot: "), F.coalesce("url", F.lit(""))))).drop("fetch_key", "known")
 
 
 def fetch_once(fetch: Fetch, url: str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, int | None, str | None, int]:
